@@ -6,9 +6,10 @@
    class only (a star), never with all others.
 3. A joint likelihood estimate from both sketches drops hopeless pairs; the rest are verified
    on their full shingle sets, recomputed from the texts.
-4. Verified links give components. Buckets that still hold several components are searched
-   in blocks, sketch against sketch across components; survivors are verified and joined in.
-   So a pair that shares a bucket stays unlinked only if both tests refuse it.
+4. Verified links give components. Buckets that still hold several are searched in blocks,
+   sketch against sketch across components and then set against set within the task, which
+   gives no more links than connect the components. So a pair that shares a bucket stays
+   unlinked only if the tests refuse it, and no task emits all pairs of a group.
 
 With 32 bands of 6 registers a pair at similarity 0.85 shares no bucket with probability 3e-7.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tesserine.llm import shared
 from tesserine.llm.components import roots
-from tesserine.llm.sketches import may_reach, registers
+from tesserine.llm.sketches import enough_equal, may_reach, registers
 from tesserine.llm.words import Words, grams, pieces
 
 _NO_ID = -(1 << 63)
@@ -97,27 +98,62 @@ def _linked(percent: int):
     return run
 
 
-def _across(similarity: float):
-    """Plausible pairs of different components between two blocks of a bucket."""
+def _across(similarity: float, percent: int, rows: int):
+    """Links of different components between two blocks of a bucket, no more than connect them.
+
+    A pair is looked at in the first band that it shares only. Shingles are compared by 32 bits
+    here, which can't miss a link; the caller verifies what is found on the full sets.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         regs, sizes = _matrix(table.column("regs").combine_chunks()), table.column("n").to_numpy()
-        comp, cid, side = (table.column(c).to_numpy() for c in ("comp", "cid", "side"))
-        rows = np.flatnonzero(side != 1)
+        comp, cid, side, band = (table.column(c).to_numpy() for c in ("comp", "cid", "side", "band"))
+        least, band = enough_equal(regs.shape[1], similarity), int(band[0])
+        earlier = regs[:, : band * rows]
         others = np.flatnonzero(side != 0)
-        left, right = [], []
-        for i in rows:
+        pairs = []
+        for i in np.flatnonzero(side != 1):
             other = others[(comp[others] != comp[i]) & ((cid[others] > cid[i]) | (side[i] == 0))]
-            if len(other):
-                ok = may_reach(np.broadcast_to(regs[i], (len(other), regs.shape[1])), regs[other], np.full(len(other), sizes[i]), sizes[other], similarity)
-                right.extend(cid[other[ok]].tolist())
-                left.extend([int(cid[i])] * int(ok.sum()))
+            other = other[(regs[other] == regs[i]).sum(axis=1) >= least]
+            if band and len(other):
+                other = other[~(earlier[other] == earlier[i]).reshape(len(other), band, rows).all(axis=2).any(axis=1)]
+            pairs.append(np.column_stack([np.full(len(other), i), other]))
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
+        sets: dict[int, np.ndarray] = {}
+        elements = table.column("elements")
+        small = lambda i: sets[i] if i in sets else sets.setdefault(i, np.frombuffer(elements[i].as_py(), np.uint32))
+        left, right = [], []
+        for at in range(0, len(pairs), 20_000):
+            x, y = pairs[at : at + 20_000].T
+            ok = may_reach(regs[x], regs[y], sizes[x], sizes[y], similarity)
+            for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                one, two = find(int(comp[i])), find(int(comp[j]))
+                if one != two:
+                    common = len(np.intersect1d(small(i), small(j), assume_unique=True))
+                    if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                        root[max(one, two)] = min(one, two)
+                        left.append(int(cid[i]))
+                        right.append(int(cid[j]))
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: int = 32, rows: int = 6, block: int = 512) -> DataFrame:
+def _halves(batches):
+    """Sets with 32 bits of each element; an element of the set is counted once for each of its full hashes."""
+    for batch in batches:
+        short = [np.frombuffer(e, np.uint64).astype(np.uint32).tobytes() for e in batch.column("elements").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(short, pa.binary())], ["set_key", "elements"])
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: int = 32, rows: int = 6, block: int = 256) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     docs: doc_id, text, and any other columns. Texts with a Jaccard similarity of at least
@@ -132,7 +168,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     staged = shared.stage(docs.mapInArrow(_sketched(words, m), "doc_id long, n_shingles long, set_key long, regs binary"), "sketches")
     classes = staged.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("cid")).agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
     classes = shared.stage(classes, "classes")
-    banded = classes.select("cid", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, i * {2 * rows} + 1, {2 * rows})))")).alias("band", "bucket")).select("cid", "bucket")
+    banded = classes.select("cid", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, i * {2 * rows} + 1, {2 * rows})))")).alias("band", "bucket"))
     shared_buckets = shared.stage(banded.groupBy("bucket").agg(F.min("cid").alias("star"), F.count("*").alias("members")).where("members > 1"), "buckets")
     members = shared.stage(banded.join(shared_buckets, "bucket"), "members")
 
@@ -140,16 +176,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     stars = members.where("cid <> star").select(F.col("cid").alias("a"), F.col("star").alias("b")).distinct()
     plausible = stars.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_plausible(similarity), "a long, b long")
     links = _verified(docs, classes, shared.stage(plausible, "pairs"), words, percent)
-
     comps = shared.stage(roots(links), "comps")
-    in_comp = members.join(comps, members.cid == comps.node, "left").select("bucket", "members", "cid", F.coalesce("root", "cid").alias("comp"))
-    open_buckets = in_comp.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    rest = in_comp.join(open_buckets, "bucket").join(classes.select("cid", "n", "regs"), "cid")
-    rest = rest.withColumn("blocks", F.ceil(F.col("members") / block)).withColumn("i", F.expr("pmod(xxhash64(cid), blocks)"))
+
+    rest = _open(members, classes, comps, block)
+    short = _full_sets(docs, classes, rest.select("cid").distinct(), words).mapInArrow(_halves, "set_key long, elements binary")
+    rest = rest.join(short, rest.cid == short.set_key)
     paired = rest.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j")).select(
-        "bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.expr("CASE WHEN i = j THEN 2 WHEN i < j THEN 0 ELSE 1 END").alias("side"), "cid", "comp", "n", "regs"
+        "bucket", "band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.expr("CASE WHEN i = j THEN 2 WHEN i < j THEN 0 ELSE 1 END").alias("side"), "cid", "comp", "n", "regs", "elements"
     )
-    across = paired.groupBy("bucket", "lo", "hi").applyInArrow(_across(similarity), "a long, b long").distinct()
+    across = paired.groupBy("bucket", "lo", "hi").applyInArrow(_across(similarity, percent, rows), "a long, b long").distinct()
     across = shared.stage(across, "across")
     if not across.isEmpty():
         links = links.union(_verified(docs, classes, across, words, percent))
@@ -166,15 +201,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     )
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+def _open(members: DataFrame, classes: DataFrame, comps: DataFrame, block: int) -> DataFrame:
+    """Members of the buckets that hold several components, with sketches, dealt to blocks i of their bucket."""
+    in_comp = members.join(comps, members.cid == comps.node, "left").select("bucket", "band", "members", "cid", F.coalesce("root", "cid").alias("comp"))
+    several = in_comp.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    rest = in_comp.join(several, "bucket").join(classes.select("cid", "n", "regs"), "cid")
+    return shared.stage(rest.withColumn("blocks", F.ceil(F.col("members") / block)).withColumn("i", F.expr("pmod(xxhash64(cid), blocks)")), "open")
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(set_key, elements) of the wanted classes, recomputed from the texts."""
     wanted = shared.stage(wanted.join(classes.select("cid", "label"), "cid").select(F.col("cid").alias("set_key"), F.coalesce("label", F.lit(_NO_ID)).alias("key")), "wanted")
     keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text")
     few = wanted.count() <= shared.BROADCAST_ROWS
     texts = keyed.join(F.broadcast(wanted) if few else wanted, "key").select("set_key", "text")
-    sets = texts.mapInArrow(_sets(words), "set_key long, elements binary").dropDuplicates(["set_key"])
-    sets = shared.stage(sets, "sets")
+    return shared.stage(texts.mapInArrow(_sets(words), "set_key long, elements binary").dropDuplicates(["set_key"]), "sets")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets are similar enough."""
+    sets = _full_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), words)
     side = lambda s: sets.select(F.col("set_key").alias(s), F.col("elements").alias(f"set_{s}"))
     checked = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked(percent), "a long, b long")
     return shared.stage(checked, "links")

@@ -29,6 +29,11 @@ def registers(elements: np.ndarray, m: int) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, LAST).astype("<u2")
 
 
+def enough_equal(m: int, similarity: float) -> int:
+    """Equal registers that a pair at the similarity falls short of by chance less than once in 3 million times."""
+    return int(m * similarity - 5 * np.sqrt(m * similarity * (1 - similarity)))
+
+
 def may_reach(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float, slack: float = 13.0) -> np.ndarray:
     """Whether row pairs of registers may have the Jaccard similarity.
 
