@@ -128,8 +128,26 @@ def _parse(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "n": pa.array(counts, pa.int64())})
 
 
-def duplicate_factors(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, spans): the factors of each document that has any, as structs of start and n seeds.
+def _merged(window: int):
+    """Word intervals that the factors of a document cover, merged: pairs of begin and end."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for spans in batch.column("spans").to_pylist():
+                starts = np.array([s["start"] for s in spans], np.int64)
+                ends = starts + np.array([s["n"] for s in spans], np.int64) + window - 1
+                order = np.argsort(starts, kind="stable")
+                starts, reach = starts[order], np.maximum.accumulate(ends[order])
+                first = np.flatnonzero(np.append(True, starts[1:] > reach[:-1]))
+                out.append(np.column_stack([starts[first], reach[np.append(first[1:] - 1, len(reach) - 1)]]).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "spans"])
+
+    return run
+
+
+def duplicate_spans(docs: DataFrame, window: int = 13) -> DataFrame:
+    """(doc_id, spans): the word intervals of each document that has any, packed as 64-bit begins and ends.
 
     docs: doc_id (not null), text. A seed counts where its word sequence also starts in a
     document with a smaller doc_id; seeds repeated within one document don't.
@@ -137,25 +155,24 @@ def duplicate_factors(docs: DataFrame, window: int = 13) -> DataFrame:
     size = shared.plan_bytes(docs) or 256 << 20
     blocks = min(65536, max(64, size // 1_600_000))
     factors = docs.mapInArrow(_segments(window, blocks), _SEGMENTS).groupBy("block").applyInArrow(_parse, "doc_id long, start long, n long")
-    return factors.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return factors.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")).mapInArrow(_merged(window), "doc_id long, spans binary")
 
 
-def _covered(n_words: int, spans: list[dict], window: int) -> np.ndarray:
-    marks = np.zeros(n_words + 1, np.int64)
-    for s in spans:
-        marks[s["start"]] += 1
-        marks[min(n_words, s["start"] + s["n"] + window - 1)] -= 1
-    return np.cumsum(marks[:-1]) > 0
+def _covered(n_words: int, spans: bytes) -> np.ndarray:
+    gone = np.zeros(n_words, bool)
+    for a, b in np.frombuffer(spans, "<i8").reshape(-1, 2).tolist():
+        gone[a:b] = True
+    return gone
 
 
-def _cut(window: int, texts: bool):
+def _cut(texts: bool):
     def run(batches):
         for batch in batches:
             kept, total, removed = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = (text or "").encode().split()  # bytes.split() cuts at \x20 and \x09-\x0D
                 total.append(len(words))
-                gone = _covered(len(words), spans, window) if spans else None
+                gone = _covered(len(words), spans) if spans else None
                 removed.append(int(gone.sum()) if spans else 0)
                 if texts and not spans:
                     kept.append(text)
@@ -180,11 +197,11 @@ def substring_dedup(docs: DataFrame, window: int = 13, texts: bool = True) -> Da
     """
     docs = docs.drop("n_words", "n_removed", "kept", "spans", "__key")
     keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(_NO_ID)))
-    spans = shared.stage(duplicate_factors(keyed.select(F.col("__key").alias("doc_id"), "text"), window), "factors")
+    spans = shared.stage(duplicate_spans(keyed.select(F.col("__key").alias("doc_id"), "text"), window), "spans")
     spans = spans.select(F.col("doc_id").alias("__found"), "spans")
-    few = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    small = few[0] <= shared.BROADCAST_ROWS and (few[1] or 0) * 24 + few[0] * 64 <= shared.BROADCAST_BYTES
+    few = spans.agg(F.count("*"), F.sum(F.octet_length("spans"))).first()
+    small = few[0] <= shared.BROADCAST_ROWS and (few[1] or 0) + few[0] * 64 <= shared.BROADCAST_BYTES
     joined = keyed.join(F.broadcast(spans) if small else spans, F.col("__key") == F.col("__found"), "left").drop("__key", "__found")
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", n_words long, n_removed long, kept string"
-    return joined.mapInArrow(_cut(window, texts), schema)
+    return joined.mapInArrow(_cut(texts), schema)
