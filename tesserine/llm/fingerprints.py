@@ -26,7 +26,7 @@ _NO_ID = -(1 << 63)
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 3, slots: int = 64, least: int = 2, pool: str = "__fp") -> DataFrame:
-    """``df`` with the sorted array ``out`` of bin << 32 | tuple hash of the column ``text``; no k-mers give an empty array."""
+    """``df`` with the sorted integer array ``out`` of bin and tuple hash of the column ``text``; no k-mers give an empty array."""
     u, p, s, q, t = (f"{pool}_{x}" for x in "upsqt")
     mask = (1 << _AT) - 1
     bits = slots.bit_length() - 1
@@ -47,19 +47,19 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 3, slots: int
     df = df.select(*names, p, t, F.expr(f"CASE WHEN size({t}) > 0 THEN filter(sequence(0, size({t}) - 1), i -> i = 0 OR {bin_of(f'get({t}, i)')} <> {bin_of(f'get({t}, i - 1)')}) ELSE array() END").alias(s))
     chosen = f"array_sort(transform(slice({t}, b + 1, coalesce(get({s}, r + 1), size({t})) - b), x -> x & {mask}L))"
     tuple_hash = f"xxhash64(transform({chosen}, a -> shiftright(get({p}, int(a)), {_AT})))"
-    return df.select(*names, F.expr(f"transform({s}, (b, r) -> shiftleft({bin_of(f'get({t}, b)')}, 32) | ({tuple_hash} & 4294967295L))").alias(out))
+    return df.select(*names, F.expr(f"transform({s}, (b, r) -> int(shiftleft({bin_of(f'get({t}, b)')}, {32 - bits}) - 2147483648L | ({tuple_hash} & {(1 << (32 - bits)) - 1}L)))").alias(out))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, slots: int = 64) -> Column:
     """Share of equal bins among those that either fingerprint fills; 1 for two empty ones."""
-    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, 32))
+    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, 32 - slots.bit_length() + 1))
     either = F.size(F.array_union(bins(a), bins(b)))
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
 def as_text(a: Column) -> Column:
-    """Two hex digits of the bin and eight of the hash for each filled bin."""
-    return F.array_join(F.transform(a, lambda v: F.lower(F.lpad(F.hex(v), 10, "0"))), "")
+    """Eight hex digits for each filled bin: the bin first, then the hash."""
+    return F.array_join(F.transform(a, lambda v: F.lower(F.lpad(F.hex(v.cast("long") + F.lit(1 << 31)), 8, "0"))), "")
 
 
 def successors(keys: DataFrame, width_log2: int = 12) -> DataFrame:
@@ -89,20 +89,20 @@ def fingerprints(docs: DataFrame, k: int = 3, slots: int = 64, least: int = 2) -
     document of the next doc_id as their next; where that id has several rows, the start that
     sorts first and the shortest text's fingerprint. A single document is its own next. An empty table gives no rows.
     """
-    docs = docs.select(docs["doc_id"], F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     sizes = shared.stage(docs.select("key", F.length("text").cast("int").alias("n")).groupBy("key").agg(F.max("n").alias("n")), "sizes")
     ordered = successors(sizes.select("key"))
     first = sizes.agg(F.min("key")).first()[0]
     ordered = ordered.select("key", F.coalesce("next", F.lit(first)).alias("next"))
     asked = shared.stage(ordered.join(sizes, "key").select(F.col("next").alias("key"), F.col("key").alias("asker"), F.floor(F.col("n") / 2).cast("int").alias("half")), "asked")
-    heads = docs.select("key", "text").join(asked, "key").select(F.col("asker").alias("key"), F.expr("left(text, half)").alias("head"), F.col("key").alias("next"))
+    heads = docs.join(asked, "key").select(F.col("asker").alias("key"), F.expr("left(text, half)").alias("head"), F.col("key").alias("next"))
     heads = heads.groupBy("key").agg(F.min(F.struct("head", "next")).alias("h")).select("key", "h.*")
     edited = docs.join(heads, "key").withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
-    edited = edited.select("doc_id", "key", "next", "n_chars", "text", F.expr("concat(left(text, int(n_chars) - half), left(head, half))").alias("edited"))
+    edited = edited.select("key", "next", "n_chars", "text", F.expr("concat(left(text, int(n_chars) - half), left(head, half))").alias("edited"))
     marked = with_fingerprint(edited, "text", "fp", k, slots, least).drop("text")
     marked = with_fingerprint(marked.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), "edited", "efp", k, slots, least).drop("edited")
     marked = shared.stage(marked, "marked")
     others = marked.groupBy("key").agg(F.min(F.struct("n_chars", "fp")).alias("o")).select(F.col("key").alias("next"), F.col("o.fp").alias("next_fp"))
     return marked.join(others, "next").select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next")
+        F.nullif("key", F.lit(_NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp"), slots).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp"), slots).alias("near_next")
     )
