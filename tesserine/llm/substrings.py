@@ -29,7 +29,6 @@ from tesserine.llm.words import Words, grams, mix, pieces
 
 _NO_ID = -(1 << 63)
 _SEGMENTS = "block int, seeds binary, docs binary, starts binary, counts binary"
-_DONE = 64
 
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +77,7 @@ def _segments(window: int, blocks: int, anchor: int = 5):
         later = earliest < ids[doc]
         lead, length = _runs(doc[later], start[later])
         if len(lead):
-            yield -1 - int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(_DONE)), b"", ids[doc[later][lead]], start[later][lead], length
+            yield -1 - int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(blocks)), b"", ids[doc[later][lead]], start[later][lead], length
         sent = np.zeros(len(doc), bool)
         sent[first] = True
         seeds, route, doc, start = seeds[sent], route[sent], doc[sent], start[sent]
