@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tesserine.llm import shared
+
 #: Bytes of Latin-1 texts for which the pattern below is known to split as the tokenizers library does; other texts are split by the library.
 _PLAIN = bytes([*range(0x1C), *range(0x20, 0x7F), *range(0xA0, 0x100)])
 #: Fixed value: the split pattern of byte-level BPE.
@@ -229,6 +231,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     tokenizer file must lie at ``path`` on every executor.
     """
     path = path or tokenizer_path()
+    shared.bounded_batches(docs.sparkSession)
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))
     rest = [f for f in docs.schema.fields if f.name != "text"]
 

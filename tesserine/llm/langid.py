@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.llm import shared
+
 #: More label values than this are refused: profiles are kept on the driver.
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
@@ -81,6 +83,7 @@ def fit(labelled: DataFrame, top: int = 400) -> Profiles:
 
     Ties in frequency go to the smaller code. The driver gets ``top`` rows a language.
     """
+    shared.bounded_batches(labelled.sparkSession)
     rows = labelled.select(labelled["text"], labelled["lang"]).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= top)
@@ -112,21 +115,23 @@ def classify(text: str | None, profiles: Profiles) -> tuple[str, float]:
     return profiles.languages[best], float(1 - distance[best] / (profiles.top * len(grams)))
 
 
-def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` with lang_pred and score; only the column text is looked at.
+def predict(docs: DataFrame, profiles: Profiles, keep_text: bool = False) -> DataFrame:
+    """``docs`` without text (unless kept) and with lang_pred and score; only the column text is looked at.
 
     Null text or text without a letter: ``und`` with score 0. Equal distances go to the
     language that sorts first. Columns named lang_pred or score are replaced.
     """
+    shared.bounded_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
+    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
 
     def run(batches):
         for batch in batches:
             found = [classify(t, profiles) for t in batch.column("text").to_pylist()]
-            rest = [c for c in batch.schema.names if c != "text"]
+            rest = [f.name for f in fields]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], rest + ["lang_pred", "score"])
 
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return docs.mapInArrow(run, f"{rest}{', ' if rest else ''}lang_pred string, score double")
 
 

@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     """
     similarity, m = percent / 100, bands * rows
     docs = shared.pick(docs, "doc_id", "text")
+    shared.bounded_batches(docs.sparkSession)
     staged = shared.stage(docs.mapInArrow(_sketched(words, m), "doc_id long, n_shingles long, set_key long, regs binary"), "sketches")
     classes = staged.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("cid")).agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
     classes = shared.stage(classes, "classes")

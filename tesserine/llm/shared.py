@@ -43,6 +43,20 @@ def plan_bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 60 else None
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let no batch sent to a Python worker hold many more than ``size`` bytes, so that a worker's memory doesn't depend on the length of texts.
+
+    A smaller limit that the session has is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        before = int(spark.conf.get(key))
+    except (TypeError, ValueError):
+        before = -1
+    if not 0 < before <= size:
+        spark.conf.set(key, str(size))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

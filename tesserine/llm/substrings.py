@@ -194,6 +194,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, texts: bool = True) -> Da
     smaller than any other; rows with equal doc_id don't remove each other's words. Columns
     named n_words, n_removed, kept or spans are replaced. An empty table gives no rows.
     """
+    shared.bounded_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept", "spans", "__key")
     keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(_NO_ID)))
     spans = shared.stage(duplicate_spans(keyed.select(F.col("__key").alias("doc_id"), "text"), window), "spans")

@@ -282,6 +282,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write all pages to archives in the shared folder, read them back, and return one row per page."""
+    shared.bounded_batches(pages.sparkSession)
     written = shared.stage(write_archives(pages, least_bytes), "warc", **{"parquet.block.size": 16 << 20, "compression": "none"})
     number = lambda c: F.expr(f"try_cast(substr({c}, {len('urn:page:') + 1}) AS long)")
     return read_archives(written, payloads=False).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

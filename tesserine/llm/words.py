@@ -17,7 +17,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: A word longer than this is hashed by itself.
 LONG_WORD = 1 << 14
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
