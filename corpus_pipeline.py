@@ -16,8 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     if not profiles.languages:  # nothing to tell languages by
         return docs
-    known = langid.predict(docs.withColumn("__text", F.col("text")), profiles).where(F.col("lang_pred") != langid.UNKNOWN)
-    return known.select("doc_id", F.col("__text").alias("text"), F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+    known = langid.predict(docs, profiles, keep_text=True).where(F.col("lang_pred") != langid.UNKNOWN)
+    return known.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
