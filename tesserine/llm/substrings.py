@@ -10,7 +10,7 @@ maximal factors of seeds that an earlier document holds. A factor of n seeds cov
 n + window - 1 words. Seeds are looked up one by one, also those that span the border of two
 factors or of two segments, so no covered word is missed.
 
-Before the shuffle each piece of input sends a seed once, for its earliest document; the
+Before the shuffle each piece of input sends a seed for its earliest document only; the
 later ones in the piece are settled there. A passage that a third of all documents share thus
 reaches its block once per piece, not once per document.
 """
@@ -78,8 +78,7 @@ def _segments(window: int, blocks: int, anchor: int = 5):
         lead, length = _runs(doc[later], start[later])
         if len(lead):
             yield -1 - int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(blocks)), b"", ids[doc[later][lead]], start[later][lead], length
-        sent = np.zeros(len(doc), bool)
-        sent[first] = True
+        sent = ~later  # every place of a seed in its earliest document, also where it repeats there
         seeds, route, doc, start = seeds[sent], route[sent], doc[sent], start[sent]
         if not len(doc):
             return
