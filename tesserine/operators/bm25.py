@@ -7,6 +7,7 @@ the explode, so the shuffle grows with the matches, not with the corpus.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,18 +18,23 @@ from tesserine.functions.text import tokens
 K1, B = 1.2, 0.75
 
 
+def length(text: Column) -> Column:
+    """Number of tokens; null text has none."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"))
+
+
 def field_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """(n, avgdl) of a text column."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("avgdl"))
+    return docs.agg(F.count("*").alias("n"), F.avg(length(F.col(text))).alias("avgdl"))
 
 
 def scores(docs: DataFrame, terms: Sequence[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of documents that hold a term; scores rounded to 6 places."""
-    toks = tokens(F.coalesce(F.col(text), F.lit("")))
-    array = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
-    counted = docs.select(F.col(doc_id), F.size(toks).alias("dl"), F.filter(toks, lambda t: F.array_contains(array, t)).alias("hits")).where(F.size("hits") > 0)
-    counts = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("tf")))
-    postings = counted.select(doc_id, "dl", F.inline(counts))
+    body = F.lower(F.coalesce(F.col(text), F.lit("")))
+    count = lambda t: F.regexp_count(body, F.lit(f"(?<![a-z0-9_]){re.escape(t)}(?![a-z0-9_])"))
+    counts = F.array(*[F.struct(F.lit(t).alias("term"), count(t).alias("tf")) for t in dict.fromkeys(terms)])
+    # lengths are counted after the rows of absent terms are gone, once per matching term
+    postings = docs.select(doc_id, text, F.inline(counts)).where("tf > 0").select(doc_id, length(F.col(text)).alias("dl"), "term", "tf")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = field_stats(docs, text)
     rows = postings.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # as many rows as query terms, and one row
