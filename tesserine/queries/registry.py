@@ -345,7 +345,7 @@ def incremental_skip(spark, sf_dir):
 @query("""SELECT conv_id, round(count_if(cited)::DOUBLE / count(*), 9) AS ratio, count_if(cited)::DOUBLE / count(*) >= 0.8 AS valid FROM (SELECT conv_id, ends_with(trim(line), '.') AS cited FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE length(trim(line)) > 0) GROUP BY conv_id""")
 def citation_ratio(spark, sf_dir):
     """Share of non-blank lines with the required ending, and whether it reaches 0.8."""
-    per_turn = table(spark, sf_dir, "conversations").select("conv_id", F.filter(F.transform(T.lines(F.col("text")), F.trim), lambda x: F.length(x) > 0).alias("l"))
+    per_turn = table(spark, sf_dir, "conversations").select("conv_id", F.filter(F.transform(T.lines(F.col("text")), lambda x: F.trim(x)), lambda x: F.length(x) > 0).alias("l"))
     per_turn = per_turn.select("conv_id", F.size("l").alias("n"), F.size(F.filter("l", lambda x: F.endswith(x, F.lit(".")))).alias("c"))
     return per_turn.groupBy("conv_id").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).where("n > 0").select("conv_id", F.round(F.col("c") / F.col("n"), 9).alias("ratio"), (F.col("c") / F.col("n") >= 0.8).alias("valid"))
 
