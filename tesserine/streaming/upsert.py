@@ -2,8 +2,8 @@
 
 Each micro-batch is appended under its own number, already reduced to one row per key, and
 reading takes the newest row of each key. A batch that is run again after a failure overwrites
-its own folder, so every batch counts exactly once. Rows are put into buckets by key; a bucket
-is compacted by itself, so no write ever rewrites the whole table.
+its own folder, so every batch counts exactly once. No write ever rewrites the table. Rows are put
+into buckets by key, so that buckets can be compacted one by one; compaction isn't written yet.
 """
 
 from __future__ import annotations
