@@ -23,11 +23,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of near copies: five words, similarity 0.8 or more."""
+    """Keep one row of each group of near copies: five words, similarity 0.8 or more.
+
+    It is the row with the least doc_id, nulls last, ties by a hash of the row. Rows are told
+    apart by that hash of all their columns, not by doc_id, so ids may be null or repeat; of
+    rows equal in every column one is kept. Rows without a word are no copies of each other.
+    """
     docs = docs.select(*COLUMNS)
-    gone = shared.stage(neardup.near_duplicates(docs, **NEAR).where("NOT kept").select("doc_id"), "gone")
-    few = gone.count() <= shared.BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.withColumn("row_key", F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS]))
+    rows = neardup.near_duplicates(docs, **NEAR, row_key="row_key").where("n_shingles > 0")
+    rows = rows.groupBy("row_key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+    rows = shared.stage(rows.select("row_key", "kept"), "decided")
+    small = lambda df: F.broadcast(df) if df.count() <= shared.BROADCAST_ROWS else df
+    out = docs.join(small(rows.select("row_key")), "row_key", "left_anti")
+    repeated = rows.where("kept").select("row_key")
+    if not repeated.isEmpty():
+        out = out.unionByName(docs.join(small(repeated), "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return out.select(*COLUMNS)
 
 
 def substring_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

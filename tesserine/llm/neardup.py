@@ -53,7 +53,7 @@ def _sketched(words: int, m: int):
                 sizes.append(len(s))
                 keys.append(_digest(s) if len(s) else None)
                 regs.append(registers(s, m).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "set_key", "regs"])
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(regs, pa.binary())], [*(c for c in batch.schema.names if c != "text"), "n_shingles", "set_key", "regs"])
 
     return run
 
@@ -153,7 +153,7 @@ def _halves(batches):
         yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(short, pa.binary())], ["set_key", "elements"])
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: int = 32, rows: int = 6, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: int = 32, rows: int = 6, block: int = 256, row_key: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     docs: doc_id, text, and any other columns. Texts with a Jaccard similarity of at least
@@ -162,12 +162,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     Null or wordless text: no shingle, no link, component_id is its own doc_id. Null doc_id:
     the row links as others do, and lends its component no id; repeated doc_ids stay rows of
     their own. An empty table gives no rows.
+
+    ``row_key`` names a long column that tells rows apart. It is returned as well, and kept is
+    then true for one row key of each component: the least doc_id, nulls last, then the least key.
     """
     similarity, m = percent / 100, bands * rows
+    keyed = shared.pick(docs, "doc_id", "text", *([row_key] if row_key else []))
     docs = shared.pick(docs, "doc_id", "text")
     shared.bounded_batches(docs.sparkSession)
-    staged = shared.stage(docs.mapInArrow(_sketched(words, m), "doc_id long, n_shingles long, set_key long, regs binary"), "sketches")
-    classes = staged.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("cid")).agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    carried = f"{row_key} long, " if row_key else ""
+    staged = shared.stage(keyed.mapInArrow(_sketched(words, m), f"doc_id long, {carried}n_shingles long, set_key long, regs binary"), "sketches")
+    place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", *([row_key] if row_key else []))
+    classes = staged.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("cid")).agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), *([F.min(place).alias("first")] if row_key else []))
     classes = shared.stage(classes, "classes")
     banded = classes.select("cid", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, i * {2 * rows} + 1, {2 * rows})))")).alias("band", "bucket"))
     shared_buckets = shared.stage(banded.groupBy("bucket").agg(F.min("cid").alias("star"), F.count("*").alias("members")).where("members > 1"), "buckets")
@@ -191,14 +197,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
         links = links.union(_verified(docs, classes, across, words, percent))
         comps = shared.stage(roots(links), "comps")
 
-    in_comp = classes.join(comps, classes.cid == comps.node, "left").select("cid", "label", F.coalesce("root", "cid").alias("root"))
-    least = in_comp.groupBy("root").agg(F.min("label").alias("component"))
-    found = in_comp.join(least, "root").select("cid", "component")
+    in_comp = classes.join(comps, classes.cid == comps.node, "left").select("cid", "label", *(["first"] if row_key else []), F.coalesce("root", "cid").alias("root"))
+    least = in_comp.groupBy("root").agg(F.min("label").alias("component"), *([F.min("first").alias("first")] if row_key else []))
+    found = in_comp.select("cid", "root").join(least, "root").drop("root")
     return staged.join(found, staged.set_key == found.cid, "left").select(
         "doc_id",
+        *([row_key] if row_key else []),
         "n_shingles",
         F.expr("CASE WHEN set_key IS NULL THEN doc_id ELSE component END").alias("component_id"),
-        F.expr("set_key IS NULL OR doc_id <=> component").alias("kept"),
+        (F.isnull("set_key") | (place.eqNullSafe(F.col("first")) if row_key else F.expr("doc_id <=> component"))).alias("kept"),
     )
 
 
