@@ -75,6 +75,24 @@ def sections(**parts: Column) -> Column:
     return F.concat_ws("\n", *[F.when(F.length(v) > 0, F.concat(F.lit(f"{k}: "), v)) for k, v in parts.items()])
 
 
+def embedding_text(repo: Column, path: Column, lang: Column, symbol: Column, kind: Column, roles: Column, summary: Column, keywords: Column, doc_head: Column, text: Column) -> Column:
+    """Labelled sections of a chunk for its embedding; roles, summary, keywords and signature are left out when empty. roles and keywords are arrays; nulls count as empty."""
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    some = lambda label, value: F.when(F.length(value) > 0, F.concat(F.lit(label), value))
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("[repo]: "), plain(repo)),
+        F.concat(F.lit("[path]: "), plain(path)),
+        F.concat(F.lit("[lang]: "), plain(lang)),
+        F.concat(F.lit("[symbol]: "), plain(symbol), F.lit(" ("), plain(kind), F.lit(")")),
+        F.when(F.size(roles) > 0, F.concat(F.lit("[roles]: "), F.array_join(roles, ", "))),
+        some("\n[summary]: ", summary),
+        F.when(F.size(keywords) > 0, F.concat(F.lit("[keywords]: "), F.array_join(keywords, ", "))),
+        some("\n[signature]:\n", first_line(doc_head, text)),
+        F.concat(F.lit("\n[code]:\n"), trim_code(plain(text))),
+    )
+
+
 def sha_key(text: Column, digits: int = 16) -> Column:
     return F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, digits)
 

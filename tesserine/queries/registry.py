@@ -202,6 +202,7 @@ def _text_query(name: str, sql: str, build: Callable[[], object], alias: str = "
     query(f"SELECT {key}, {sql} AS {alias} FROM {source}")(run)
 
 
+_none = lambda kind="string": F.lit(None).cast(kind)
 _S = f"regexp_replace({{}}, '^{_WS}+|{_WS}+$', '', 'g')"
 _R = f"regexp_replace({{}}, '{_WS}+$', '')"
 _L = "string_split(text, chr(10))"
@@ -218,6 +219,13 @@ for _name, _sql, _build in (
     ("trim_code", "CASE WHEN length(text) > 1200 THEN substr(text, 1, 840) || chr(10) || '...' || chr(10) || right(text, 300) ELSE text END", lambda: T.trim_code(F.col("text"))),
     ("first_declaration_line", f"coalesce(list_filter(list_transform({_L}, lambda x: {_S.format('x')}), lambda x: length(x) > 0)[1], '')", lambda: T.first_line(F.col("text"))),
     ("embedding_text", "concat_ws(chr(10), 'repo: ' || source, 'lang: ' || lang, 'code: ' || substr(text, 1, 100))", lambda: T.sections(repo=F.col("source"), lang=F.col("lang"), code=F.substring("text", 1, 100))),
+    (
+        "composed_embedding_text",
+        f"""'[repo]: ' || coalesce(source, '') || chr(10) || '[path]: ' || doc_id || chr(10) || '[lang]: ' || coalesce(lang, '') || chr(10) || '[symbol]:  ()'
+            || coalesce(chr(10) || chr(10) || '[signature]:' || chr(10) || list_filter(list_transform({_L}, lambda x: {_S.format("x")}), lambda x: length(x) > 0)[1], '') || chr(10) || chr(10) || '[code]:' || chr(10)
+            || CASE WHEN text IS NULL THEN '' WHEN length(text) > 1200 THEN substr(text, 1, 840) || chr(10) || '...' || chr(10) || right(text, 300) ELSE text END""",
+        lambda: T.embedding_text(F.col("source"), F.col("doc_id"), F.col("lang"), _none(), _none(), _none("array<string>"), _none(), _none("array<string>"), _none(), F.col("text")),
+    ),
     ("provenance_id", "doc_id || ':' || substr(sha256(coalesce(text, '')), 1, 8)", lambda: T.provenance_id(F.col("doc_id"), F.lit(None).cast("string"), F.col("text"))),
     ("cache_key", "concat_ws(':', 'v2', substr(sha256('how'), 1, 16), doc_id::VARCHAR, substr(sha256(coalesce(text, '')), 1, 16))", lambda: T.cache_key("v2", F.lit("how"), F.col("doc_id"), F.col("text"))),
     ("secrets_filter", "(" + " OR ".join(f"regexp_matches(text, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in T.SECRET_PATTERNS) + ")", lambda: T.has_secret(F.col("text"))),
