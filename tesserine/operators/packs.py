@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.functions import text as T
+
 
 def top_values(df: DataFrame, group: str, value: str, k: int) -> DataFrame:
     """(group, value, n, place): the k most frequent values of each group, ties by value. Counts are combined before the shuffle."""
@@ -32,6 +34,28 @@ def unpivoted_counts(df: DataFrame, **flags: Column) -> DataFrame:
     return one.select(F.inline(pairs)).where("n > 0")
 
 
+#: Languages that a code fence names.
+FENCED = ("go", "python", "typescript", "javascript", "java", "c", "cpp", "rust", "ruby", "php")
+
+
+def evidence(chunks: DataFrame, group: str, order: list[str], max_items: int = 12, max_code_chars: int = 10000) -> DataFrame:
+    """(group, evidence): the numbered evidence block of each group's first chunks; longer code is trimmed and marked.
+
+    chunks: repo_id, rel_path, start_line, end_line, primary_symbol, primary_kind, all_roles (array), summary_en, language, text; nulls count as empty.
+    """
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    items = chunks.withColumn("item", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("item") <= max_items)
+    roles = F.when(F.size("all_roles") > 0, F.array_join("all_roles", ",")).otherwise(F.lit("n/a"))
+    header = F.concat(F.lit("["), plain("item"), F.lit("] "), plain("repo_id"), F.lit(" | "), plain("rel_path"), F.lit(" | L"), plain("start_line"), F.lit("–"), plain("end_line"), F.lit(" | "), plain("primary_symbol"), F.lit(" ("), plain("primary_kind"), F.lit("/"), roles, F.lit(")"))
+    summary = F.when(F.length("summary_en") > 0, F.concat(F.lit("summary: "), T.strip(F.replace("summary_en", F.lit("\n"), F.lit(" ")))))
+    code = T.strip(plain("text"))
+    code = F.when(F.length(code) > max_code_chars, F.concat(F.substring(code, 1, max_code_chars), F.lit("\n// … trimmed due to size …"))).otherwise(code)
+    fence = F.concat(F.lit("```"), F.when(F.lower("language").isin(*FENCED), F.lower("language")).otherwise(F.lit("")))
+    item = F.concat_ws("\n", header, summary, F.lit("code:"), fence, code, F.lit("```"), F.lit(""))
+    blocks = items.select(group, "item", item.alias("block")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("item", "block"))).alias("x"))
+    return blocks.select(group, F.concat(F.lit("EVIDENCE\n--------\n"), F.array_join(F.transform("x", lambda s: s["block"]), "\n")).alias("evidence"))
+
+
 def best_overlap(left: DataFrame, right: DataFrame, file: str, key: str) -> DataFrame:
     """For each left range the right range of the same file with the largest overlap, ties to the first.
 

@@ -366,6 +366,17 @@ def evidence_block(spark, sf_dir):
     return items.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("p", line.alias("line")))).alias("x")).select("conv_id", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("evidence"))
 
 
+@query(f"""SELECT conv_id, 'EVIDENCE' || chr(10) || '--------' || chr(10) || string_agg('[' || p || '] ' || conv_id || ' |  | L' || turn || '–' || turn || ' |  (/' || coalesce(role, 'n/a') || ')' || chr(10) || 'code:' || chr(10) || '```' || chr(10)
+           || CASE WHEN length(code) > 10000 THEN substr(code, 1, 10000) || chr(10) || '// … trimmed due to size …' ELSE code END || chr(10) || '```' || chr(10), chr(10) ORDER BY p) AS evidence
+           FROM (SELECT *, {_S.format("coalesce(text, '')")} AS code, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE p <= 12 GROUP BY conv_id""")
+def rendered_evidence(spark, sf_dir):
+    """Evidence blocks over whole turns, at most 12 items: code up to 10,000 characters, then a mark."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    absent = {c: _none() for c in ("rel_path", "primary_symbol", "primary_kind", "summary_en", "language")}
+    chunks = turns.withColumns(absent | {"repo_id": F.col("conv_id"), "start_line": F.col("turn"), "end_line": F.col("turn"), "all_roles": F.array_compact(F.array("role"))})
+    return packs.evidence(chunks, "conv_id", ["turn"])
+
+
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM conversations) WHERE total <= 1000")
 def prompt_budget(spark, sf_dir):
     """The greedy prefix of blocks within a budget of characters."""
