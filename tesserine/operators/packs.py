@@ -56,11 +56,23 @@ def evidence(chunks: DataFrame, group: str, order: list[str], max_items: int = 1
     return blocks.select(group, F.concat(F.lit("EVIDENCE\n--------\n"), F.array_join(F.transform("x", lambda s: s["block"]), "\n")).alias("evidence"))
 
 
+#: Lines of a bucket of the interval join.
+LINES = 64
+
+
 def best_overlap(left: DataFrame, right: DataFrame, file: str, key: str) -> DataFrame:
     """For each left range the right range of the same file with the largest overlap, ties to the first.
 
     left: file, key, start_line, end_line; right: file, r_key, r_start, r_end.
+
+    Equal ranges of a file are compared once, and only ranges that meet in a bucket of
+    ``LINES`` lines are paired, so a file's pairs are bounded by its distinct ranges near each other.
     """
-    joined = left.join(right, file).where("r_start <= end_line AND r_end >= start_line")
+    buckets = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / LINES), F.floor(F.greatest(a, b) / LINES))).alias("bucket")
+    spans = left.select(file, "start_line", "end_line").distinct()
+    others = right.groupBy(file, "r_start", "r_end").agg(F.min("r_key").alias("r_key"))
+    joined = spans.select("*", buckets("start_line", "end_line")).join(others.select("*", buckets("r_start", "r_end")), [file, "bucket"]).where("r_start <= end_line AND r_end >= start_line")
     overlap = F.least("end_line", "r_end") - F.greatest("start_line", "r_start") + 1
-    return joined.withColumn("overlap", overlap).groupBy(file, key).agg(F.max(F.struct(F.col("overlap"), (-F.col("r_key")).alias("minus"))).alias("b")).select(file, key, (-F.col("b.minus")).alias("r_key"), F.col("b.overlap").alias("overlap"))
+    best = F.max(F.struct(overlap.alias("overlap"), (-F.col("r_key")).alias("minus")))
+    found = joined.groupBy(file, "start_line", "end_line").agg(best.alias("b"))
+    return left.join(found, [file, "start_line", "end_line"]).groupBy(file, key).agg(F.max("b").alias("b")).select(file, key, (-F.col("b.minus")).alias("r_key"), F.col("b.overlap").alias("overlap"))

@@ -309,11 +309,21 @@ def fixed_blocks(spark, sf_dir):
           j AS (SELECT a.file, key, r_key, least(end_line, r_end) - greatest(start_line, r_start) + 1 AS overlap FROM a JOIN b ON a.file = b.file AND r_start <= end_line AND r_end >= start_line)
           SELECT file, key, r_key, overlap FROM (SELECT *, row_number() OVER (PARTITION BY file, key ORDER BY overlap DESC, r_key) AS p FROM j) WHERE p = 1""")
 def line_overlap_best(spark, sf_dir):
-    """Interval join within a file: the range with the largest overlap."""
+    """Interval join within a file: the range with the largest overlap. Right ranges are the even keys, as in the SQL."""
+    return _line_overlap(spark, sf_dir, "k % 2 = 0")
+
+
+@query(ORACLES["line_overlap_best"].replace(" FROM orders WHERE o_orderkey % 2 = 0", " FROM orders"))
+def line_overlap_best_all(spark, sf_dir):
+    """The same with every order as a right range."""
+    return _line_overlap(spark, sf_dir, "true")
+
+
+def _line_overlap(spark, sf_dir, right):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("k"))
     span = lambda m, w: ((F.col("k") % m).cast("int"), (F.col("k") % m + w).cast("int"))
     (a, b), (c, d) = span(100, 20), span(90, 30)
-    return packs.best_overlap(o.select("file", F.col("k").alias("key"), a.alias("start_line"), b.alias("end_line")), o.where("k % 2 = 0").select("file", F.col("k").alias("r_key"), c.alias("r_start"), d.alias("r_end")), "file", "key")
+    return packs.best_overlap(o.select("file", F.col("k").alias("key"), a.alias("start_line"), b.alias("end_line")), o.where(right).select("file", F.col("k").alias("r_key"), c.alias("r_start"), d.alias("r_end")), "file", "key")
 
 
 @query("""WITH s AS (SELECT source, list(doc_id ORDER BY doc_id) FILTER (WHERE doc_id % 2 = 0) AS a, list(doc_id ORDER BY doc_id) FILTER (WHERE doc_id % 3 = 0) AS b FROM documents GROUP BY source)
