@@ -34,6 +34,23 @@ def unpivoted_counts(df: DataFrame, **flags: Column) -> DataFrame:
     return one.select(F.inline(pairs)).where("n > 0")
 
 
+def quality_issues(chunks: DataFrame) -> DataFrame:
+    """(issue, n) of the seven chunk quality checks that count a chunk or more, from one scan.
+
+    chunks: n_tokens, text, summary_en, keywords_en (array); nulls count as 0 or empty. A
+    missing summary counts only where any chunk has one.
+    """
+    tokens, text = F.coalesce("n_tokens", F.lit(0)), T.strip(F.coalesce("text", F.lit("")))
+    has_summary, words = F.coalesce(F.length("summary_en"), F.lit(0)) > 0, F.coalesce(F.size("keywords_en"), F.lit(0))
+    flags = {
+        "tiny": tokens < 10, "huge": tokens > 1000, "empty": text == "", "incomplete": (text != "") & ~F.right(text, F.lit(1)).isin("}", ")", ";", '"'),
+        "missing_summary": ~has_summary, "short_summary": has_summary & (F.length("summary_en") < 20), "few_keywords": (words > 0) & (words < 3),
+    }
+    one = chunks.agg(F.count_if(has_summary).alias("with_summary"), *[F.count_if(c).alias(k) for k, c in flags.items()])
+    pairs = F.array(*[F.struct(F.lit(k).alias("issue"), F.col(k).alias("n")) for k in flags])
+    return one.select("with_summary", F.inline(pairs)).where("n > 0 AND (issue <> 'missing_summary' OR with_summary > 0)").select("issue", "n")
+
+
 #: Languages that a code fence names.
 FENCED = ("go", "python", "typescript", "javascript", "java", "c", "cpp", "rust", "ruby", "php")
 
