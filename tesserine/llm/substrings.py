@@ -1,14 +1,15 @@
-"""Substring dedup by relative Lempel-Ziv parsing against content-routed reference blocks.
+"""Substring dedup by window hashes grouped in content-routed blocks.
 
 The corpus is its own reference. A seed is a window of ``window`` consecutive words. Seeds are
 routed by the least hash of their short word runs (their minimizer), so equal seeds meet in
-the same block and neighbouring seeds travel as one segment. Parsing a document against every
-block is thus parsing each of its segments against the one block that can hold a match.
-
-In a block all segments are indexed by seed; each segment is parsed from left to right into
-maximal factors of seeds that an earlier document holds. A factor of n seeds covers
-n + window - 1 words. Seeds are looked up one by one, also those that span the border of two
-factors or of two segments, so no covered word is missed.
+the same block and neighbouring seeds travel as one segment.
+
+In a block all seeds are sorted by hash and get the least doc_id that holds them; those of a
+later document are marked, and consecutive marked seeds are joined into factors. A factor of n
+seeds covers n + window - 1 words. This is not a relative Lempel-Ziv parse: a factor has no
+position in a reference and is not the longest match with one earlier document. The contract
+asks of each window alone whether an earlier document holds it, and a factor's windows may
+come from several documents; every seed is looked up, so no covered word is missed.
 
 Before the shuffle each piece of input sends a seed for its earliest document only; the
 later ones in the piece are settled there. A passage that a third of all documents share thus
