@@ -1,26 +1,33 @@
-"""Tables and files that every executor can see.
+"""Tables and files that every executor can see, and the memory of Python workers.
 
 Intermediate results are written below ``spark.checkpoint.dir`` and read again, so a lost
-executor costs only the tasks that ran there. The folder is set here only where the session
-has none (local tests).
+executor costs only the tasks that ran there. Where the session has none, a folder is set here
+for a local master only; a cluster must name its shared folder.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes up to which a table may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tesserine-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -37,24 +44,34 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None, **options:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (file sizes for a scan); None when it knows nothing."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else None
-
-
-def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Let no batch sent to a Python worker hold many more than ``size`` bytes, so that a worker's memory doesn't depend on the length of texts.
 
-    A smaller limit that the session has is kept.
+    Plans read the limit when they run, after this returns, so the session keeps it; a smaller
+    limit that the session has is kept.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(_BATCH, None) or ""
+    if not before.isdigit() or not 0 < int(before) <= size:
+        spark.conf.set(_BATCH, str(size))
+
+
+def release() -> None:
+    """Give freed memory back, so that idle workers of earlier stages hold none."""
+    pa.default_memory_pool().release_unused()
     try:
-        before = int(spark.conf.get(key))
-    except (TypeError, ValueError):
-        before = -1
-    if not 0 < before <= size:
-        spark.conf.set(key, str(size))
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """The function of a mapInArrow, releasing the worker's unused memory at the end of each partition."""
+
+    def released(batches):
+        yield from run(batches)
+        release()
+
+    return released
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,207 +1,389 @@
-"""Substring dedup by window hashes grouped in content-routed blocks.
-
-The corpus is its own reference. A seed is a window of ``window`` consecutive words. Seeds are
-routed by the least hash of their short word runs (their minimizer), so equal seeds meet in
-the same block and neighbouring seeds travel as one segment.
-
-In a block all seeds are sorted by hash and get the least doc_id that holds them; those of a
-later document are marked, and consecutive marked seeds are joined into factors. A factor of n
-seeds covers n + window - 1 words. This is not a relative Lempel-Ziv parse: a factor has no
-position in a reference and is not the longest match with one earlier document. The contract
-asks of each window alone whether an earlier document holds it, and a factor's windows may
-come from several documents; every seed is looked up, so no covered word is missed.
-
-Before the shuffle each piece of input sends a seed for its earliest document only; the
-later ones in the piece are settled there. A passage that a third of all documents share thus
-reaches its block once per piece, not once per document.
+"""Substring dedup by relative Lempel-Ziv parsing against content-routed reference blocks.
+
+The corpus is its own reference. A place is a window of ``window`` consecutive words of one
+document. Places are routed by the least hash of their three-word runs (their minimizer), so
+equal places meet in the same block, and neighbours of equal route travel as one passage, with
+their words. A document needs to be parsed only against the blocks that its own passages are
+routed to: no other block can hold a match of a window's length.
+
+In a block the reference is made of the first occurrence of each window, by doc_id and place; a
+window occurs once in it. Passages are factored from left to right: where the window at a
+place occurs in the reference in a smaller doc_id, a phrase (reference document, position,
+length) begins there and takes further words as long as they equal the reference's next words.
+At its end the window that straddles the border is looked up again, so no covered word is
+missed between two phrases; a window without a match is a literal and the parse goes on with
+the next. Words are compared as integers of the block's exact dictionary of words; hashes only
+propose candidates.
+
+Before the shuffle each piece of input is parsed against itself in the same way; only places
+not settled there travel. Blocks whose passages are too many for one task (a run of words that
+is very frequent, or a passage that very many pieces hold) are split by piece, parsed, and what
+is not settled in a part is routed again by the whole window, so equal windows meet once more:
+at most one copy from each part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm import shared
-from tesserine.llm.words import Words, grams, mix, pieces
+from tesserine.llm.words import SPACE, grams, mix
 
 _NO_ID = -(1 << 63)
-_SEGMENTS = "block int, seeds binary, docs binary, starts binary, counts binary"
-
-
-def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First entries and lengths of the runs of equal doc and consecutive start."""
-    if not len(doc):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)))
-    return first, np.diff(np.append(first, len(doc)))
-
-
-def _packed(seeds: np.ndarray) -> bytes:
-    """Seven bytes of each hash; the block number stands for the eighth."""
-    return seeds.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-
+_ROUTED = "block long, piece long, payload binary"
+_PHRASES = ["doc_id", "row", "start", "n", "ref_doc", "ref_start"]
+_PARSED_NAMES = [*_PHRASES, "block", "route", "payload"]
+_PARSED = ", ".join(f"{c} {'binary' if c == 'payload' else 'long'}" for c in _PARSED_NAMES)
+_BREAK = re.compile(rb"[\x20\x09-\x0d]")
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+#: Bytes of text parsed at once; longer documents are cut with an overlap of one window.
+PIECE_BYTES = 3 << 20
+#: Bytes of text that a block is meant for; passages overlap, so it holds about three times as many.
+BLOCK_BYTES = 2 << 20
+#: Share of rows that block sizes are estimated from. They steer the split of blocks only; no result depends on them.
+SIZED_SHARE = 1 / 32
+#: A longer word is represented by its SHA-256 (with a tab, which no word holds).
+LONG_WORD = 256
+ANCHOR = 3
+
+
+def cuts(data: bytes, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``limit`` bytes that cut no word."""
+    at = 0
+    while at < len(data):
+        found = _BREAK.search(data, at + limit) if len(data) - at > limit else None
+        end = found.start() if found else len(data)
+        yield at, end
+        at = end
+
+
+class Passages:
+    """Word runs of documents: the words joined by blanks, their exact numbers and hashes.
+
+    Passage p is ``length[p]`` words of document ``doc[p]`` (row key ``row[p]``), from its word
+    ``start[p]`` on. Passages must be ordered by doc, so that the first of equal places is the
+    one of the least document.
+    """
 
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
-    return out.view("<u8").ravel()
+    def __init__(self, text: bytes, doc: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray, window: int) -> None:
+        self.text, self.doc, self.row, self.start, self.length, self.window = text, doc, row, start, length, window
+        borders = np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1
+        self.offsets = np.append(0, borders)
+        words = pa.Array.from_buffers(pa.binary(), len(borders), [None, pa.py_buffer(self.offsets.astype(np.int32)), pa.py_buffer(text)]).dictionary_encode()
+        self.ids = words.indices.to_numpy()
+        self.vocabulary = words.dictionary
+        first = np.cumsum(length) - length
+        count = np.maximum(length - window + 1, 0)
+        self.passage = np.repeat(np.arange(len(length)), count)
+        inner = np.arange(len(self.passage)) - np.repeat(np.cumsum(count) - count, count)
+        self.at = first[self.passage] + inner  # the first word of each window
+        self.place = start[self.passage] + inner
+
+    def first_equal(self) -> np.ndarray:
+        """For each window the first window of equal words, compared word by word."""
+        n, ids, at = len(self.at), self.ids, self.at
+        seeds = grams(mix(ids.astype(np.uint64) + np.uint64(1)), self.window)[at]
+        order = np.argsort(seeds, kind="stable")
+        head = np.append(True, np.diff(seeds[order]) != 0) if n else np.zeros(0, bool)
+        first = np.empty(n, np.int64)
+        first[order] = order[np.maximum.accumulate(np.where(head, np.arange(n), 0))]
+        later = np.flatnonzero(first != np.arange(n))
+        a, b = at[later], at[first[later]]
+        same = np.ones(len(later), bool)
+        for t in range(self.window):
+            same &= ids[a + t] == ids[b + t]
+        if not same.all():  # windows whose hash is that of other words are grouped by the words themselves
+            odd = later[~same]
+            _, lead, which = np.unique(ids[at[odd][:, None] + np.arange(self.window)], axis=0, return_index=True, return_inverse=True)
+            first[odd] = odd[lead[which.ravel()]]
+        return first
+
+    def phrases(self, first: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """(whether a window is settled, (doc, row, start, n, ref_doc, ref_start) of the phrases, n in windows)."""
+        doc = self.doc[self.passage]
+        settled = doc[first] < doc
+        w = np.flatnonzero(settled)
+        if not len(w):
+            return settled, tuple(np.zeros(0, np.int64) for _ in range(6))
+        own, ref = self.at[w], self.at[first[w]]
+        begin = np.flatnonzero(np.append(True, (own[1:] != own[:-1] + 1) | (ref[1:] != ref[:-1] + 1)))
+        n = np.diff(np.append(begin, len(w)))
+        w = w[begin]
+        return settled, (doc[w], self.row[self.passage[w]], self.place[w], n, doc[first[w]], self.place[first[w]])
+
+    def word_hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word, the same in every piece and block."""
+        known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.vocabulary.to_pylist()), np.uint64, len(self.vocabulary))
+        return known[self.ids] if len(known) else np.zeros(0, np.uint64)
+
+    def routes(self) -> np.ndarray:
+        """The minimizer of each window."""
+        runs, n = mix(grams(self.word_hashes(), ANCHOR)), self.window - ANCHOR + 1
+        width = 1
+        while width * 2 <= n:
+            runs = np.minimum(runs[:-width], runs[width:])
+            width *= 2
+        if n > width:
+            runs = np.minimum(runs[: len(runs) - (n - width)], runs[n - width :])
+        return runs[self.at]
+
+    def routed(self, chosen: np.ndarray, route: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(route, payload) of the chosen windows; neighbours of equal route make one passage."""
+        w = np.flatnonzero(chosen)
+        if not len(w):
+            return
+        at, to = self.at[w], route[w]
+        begin = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (to[1:] != to[:-1])))
+        length = np.diff(np.append(begin, len(w))) + self.window - 1
+        order = np.argsort(to[begin], kind="stable")
+        begin, length = begin[order], length[order]
+        lead, to = w[begin], to[begin]
+        a, b = self.offsets[self.at[lead]], self.offsets[self.at[lead] + length]
+        doc, row, place = self.doc[self.passage[lead]], self.row[self.passage[lead]], self.place[lead]
+        edges = np.flatnonzero(np.append(np.append(True, to[1:] != to[:-1]), True))
+        slices = [self.text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield int(to[x]), _packed(b"".join(slices[x:y]), doc[x:y], row[x:y], place[x:y], length[x:y])
+
+
+def _packed(text: bytes, *numbers: np.ndarray) -> bytes:
+    """Arrays of equal length and the words, compressed where that pays."""
+    raw = len(numbers[0]).to_bytes(4, "little") + len(numbers).to_bytes(1, "little") + b"".join(x.astype("<i8").tobytes() for x in numbers) + text
+    return b"\1" + zstandard.ZstdCompressor(level=6).compress(raw) if len(raw) > 512 else b"\0" + raw
+
+
+def _unpacked(payload: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(payload[1:]) if payload[0] else payload[1:]
+    n, k = int.from_bytes(raw[:4], "little"), raw[4]
+    return [np.frombuffer(raw, "<i8", n, 5 + 8 * n * i) for i in range(k)], raw[5 + 8 * n * k :]
+
+
+def _joined(words: list[bytes]) -> bytes:
+    return b"".join([(w if len(w) <= LONG_WORD else b"\t" + hashlib.sha256(w).hexdigest().encode()) + b" " for w in words])
+
+
+def _spaced(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The words of a buffer, each followed by one blank."""
+    length = ends - starts
+    if length.max(initial=0) > LONG_WORD:
+        raw = data.tobytes()
+        return _joined([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    out = np.full(int((length + 1).sum()), 32, np.uint8)
+    letters = np.ones(len(out), bool)
+    letters[np.cumsum(length + 1) - 1] = False
+    out[letters] = data[inside]
+    return out.tobytes()
+
+
+def _documents(batches, window: int, limit: int) -> Iterator[Passages]:
+    """Pieces of the input of bounded size, ordered by doc_id."""
+
+    def piece(rows: list[tuple[int, int, int, bytes]]) -> Passages:
+        rows.sort(key=lambda r: r[0])
+        data = np.frombuffer(b" ".join([r[3] for r in rows]), np.uint8)
+        inside = ~SPACE[data]
+        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(r[3]) + 1 for r in rows)]))
+        return Passages(_spaced(data, inside, starts, ends), *(np.array([r[i] for r in rows], np.int64) for i in range(3)), np.diff(bounds), window)
+
+    held, size = [], 0
+    for batch in batches:
+        for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
+            data, first = text.as_buffer().to_pybytes() if text.is_valid else b"", 0
+            for at, end in cuts(data, limit):
+                to = end
+                if end < len(data):  # the windows that begin in this part end in the next words
+                    for _, word in zip(range(window - 1), _WORD.finditer(data, end), strict=False):
+                        to = word.end()
+                if size + to - at > limit and held:
+                    yield piece(held)
+                    held, size = [], 0
+                held.append((doc, row, first, data[at:to]))
+                size += to - at
+                if end < len(data):
+                    first += len(data[at:end].split())
+    if held:
+        yield piece(held)
+
+
+def _route(window: int, blocks: int, piece_bytes: int):
+    """(block, piece, payload) of the windows that a piece doesn't settle; phrases settled in it have a negative block."""
 
+    def run(batches):
+        for p in _documents(batches, window, piece_bytes):
+            settled, found = p.phrases(p.first_equal())
+            number = int(mix(p.row[:1].astype(np.uint64))[0] >> np.uint64(1))
+            rows = [(block, number, payload) for block, payload in p.routed(~settled, (p.routes() % np.uint64(blocks)).astype(np.int64))]
+            if len(found[0]):
+                rows.append((-1 - number % blocks, number, _packed(b"", *found)))
+            for at in range(0, len(rows), 4096):
+                block, piece, payload = zip(*rows[at : at + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(piece, pa.int64()), pa.array(payload, pa.binary())], ["block", "piece", "payload"])
 
-def _least_of(values: np.ndarray, n: int) -> np.ndarray:
-    """Minima of all windows of n values."""
-    width = 1
-    while width * 2 <= n:
-        values = np.minimum(values[:-width], values[width:])
-        width *= 2
-    return np.minimum(values[: len(values) - (n - width)], values[n - width :]) if n > width else values
+    return shared.trimmed(run)
 
 
-def _segments(window: int, blocks: int, anchor: int = 5):
-    def of(ids: np.ndarray, texts: pa.Array):
-        order = np.argsort(ids, kind="stable")
-        ids, words = ids[order], Words(texts.take(pa.array(order)))
-        hashes = words.hashes()
-        if len(hashes) < window:
-            return
-        seeds = grams(hashes, window)
-        counts = np.maximum(np.diff(words.bounds) - window + 1, 0)
-        doc = np.repeat(np.arange(len(ids)), counts)
-        start = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = words.bounds[doc] + start
-        seeds, route = seeds[at], _least_of(grams(hashes, anchor), window - anchor + 1)[at]
-        _, first, which = np.unique(seeds, return_index=True, return_inverse=True)
-        earliest = ids[doc[first]][which]  # pieces are ordered by id, np.unique gives the first entry
-        later = earliest < ids[doc]
-        lead, length = _runs(doc[later], start[later])
-        if len(lead):
-            yield -1 - int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(blocks)), b"", ids[doc[later][lead]], start[later][lead], length
-        sent = ~later  # every place of a seed in its earliest document, also where it repeats there
-        seeds, route, doc, start = seeds[sent], route[sent], doc[sent], start[sent]
-        if not len(doc):
-            return
-        block = (mix(route) % np.uint64(blocks)).astype(np.int64)
-        border = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (block[1:] != block[:-1])))
-        length = np.diff(np.append(border, len(doc)))
-        order = np.argsort(block[border], kind="stable")
-        border, length = border[order], length[order]
-        moved = np.repeat(border - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
-        edges = np.flatnonzero(np.append(np.append(True, np.diff(block[border]) != 0), True))
-        ends = np.append(0, np.cumsum(length))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield int(block[border[a]]), _packed(seeds[moved[ends[a] : ends[b]]]), ids[doc[border[a:b]]], start[border[a:b]], length[a:b]
+def _sized(window: int, blocks: int, piece_bytes: int):
+    """(block, bytes) of what the pieces send."""
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for at, to in pieces(batch.column("text")):
-                rows = list(of(ids[at:to], batch.column("text").slice(at, to - at)))
-                if rows:
-                    block, seeds, docs, starts, counts = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(block, pa.int32()), pa.array(seeds, pa.binary())] + [pa.array([np.asarray(x).astype(t).tobytes() for x in xs], pa.binary()) for xs, t in ((docs, "<i8"), (starts, "<u4"), (counts, "<u4"))],
-                        ["block", "seeds", "docs", "starts", "counts"],
-                    )
+        for p in _documents(batches, window, piece_bytes):
+            block, n = np.unique((p.routes() % np.uint64(blocks)).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array((n * (len(p.text) / max(1, len(p.ids))) * 3).astype(np.int64))], ["block", "bytes"])
+
+    return shared.trimmed(run)
+
+
+def _parse(window: int):
+    """The phrases of one part of a block. Where the block has several parts, also the windows that the part doesn't settle, routed again."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, parts = table.column("block")[0].as_py(), table.column("parts")[0].as_py()
+        numbers, texts = zip(*map(_unpacked, table.column("payload").to_pylist()), strict=True)
+        again: list[tuple[int, bytes]] = []
+        if block < 0:
+            found = [np.concatenate(x) for x in zip(*numbers, strict=True)]
+        else:
+            doc, row, start, length = (np.concatenate(x) for x in zip(*numbers, strict=True))
+            text = b"".join(texts)
+            order = np.argsort(doc, kind="stable")
+            ends = np.append(0, np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1)
+            first = np.cumsum(length) - length
+            text = b"".join([text[a:b] for a, b in zip(ends[first[order]].tolist(), ends[(first + length)[order]].tolist(), strict=True)])
+            p = Passages(text, doc[order], row[order], start[order], length[order], window)
+            settled, found = p.phrases(p.first_equal())
+            if parts > 1:
+                whole = mix(grams(p.word_hashes(), window))[p.at]
+                again = list(p.routed(~settled, (whole % np.uint64(4 * parts)).astype(np.int64)))
+        n, more = len(found[0]), len(again)
+        columns = [pa.array(np.append(x, np.zeros(more, np.int64)), pa.int64()) for x in found]
+        columns += [pa.array(np.full(n + more, block, np.int64)), pa.array([0] * n + [r for r, _ in again], pa.int64()), pa.array([None] * n + [x for _, x in again], pa.binary())]
+        shared.release()
+        return pa.table(columns, _PARSED_NAMES)
 
     return run
 
 
-def _parse(table: pa.Table) -> pa.Table:
-    """The factors of a block's segments: runs of seeds that an earlier document holds too."""
-    joined = lambda name: b"".join(table.column(name).to_pylist())
-    docs, starts, counts = np.frombuffer(joined("docs"), "<i8"), np.frombuffer(joined("starts"), "<u4").astype(np.int64), np.frombuffer(joined("counts"), "<u4").astype(np.int64)
-    if len(table) and table.column("block")[0].as_py() >= 0:
-        seeds = _unpacked(joined("seeds"))
-        doc = np.repeat(docs, counts)
-        start = np.repeat(starts, counts) + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        order = np.lexsort((doc, seeds))
-        head = np.append(True, np.diff(seeds[order]) != 0)
-        earliest = np.empty(len(doc), np.int64)
-        earliest[order] = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))]
-        later = earliest < doc
-        first, counts = _runs(doc[later], start[later])
-        docs, starts = doc[later][first], start[later][first]
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "n": pa.array(counts, pa.int64())})
+def phrases(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES, share: float = SIZED_SHARE) -> DataFrame:
+    """The phrases of the parse: (doc_id, row, start, n, ref_doc, ref_start).
+
+    docs: doc_id (not null), row (a key of the row), text. The n windows of a document from its
+    word ``start`` on equal those of the document ``ref_doc``, a smaller doc_id, from its word
+    ``ref_start`` on: n + window - 1 words. Every window that an earlier document holds lies in
+    a phrase; windows that only repeat within one doc_id lie in none. Words longer than
+    LONG_WORD bytes are compared by SHA-256.
+    """
+    docs = docs.select("doc_id", "row", "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(64, total // block_bytes)
+    limit = 12 * block_bytes  # four times what a block is meant for
+    sized = docs.where(F.pmod(F.xxhash64("doc_id", "row", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).mapInArrow(_sized(window, blocks, piece_bytes), "block long, bytes long")
+    hot = sized.groupBy("block").agg((F.sum("bytes") / F.lit(share)).alias("bytes")).where(F.col("bytes") > limit)
+    hot = shared.stage(hot.select("block", F.ceil(F.col("bytes") / limit).alias("parts")), "hot")
+    n_hot = hot.count()
+
+    routed = docs.mapInArrow(_route(window, blocks, piece_bytes), _ROUTED)
+    if n_hot:
+        routed = routed.join(F.broadcast(hot) if n_hot <= shared.BROADCAST_ROWS else hot, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
+    else:
+        routed = routed.withColumn("parts", F.lit(1).cast("long"))
+    first = routed.withColumn("part", F.pmod("piece", "parts")).groupBy("block", "part").applyInArrow(_parse(window), _PARSED)
+    if not n_hot:
+        return first.select(*_PHRASES)
+    first = shared.stage(first, "parsed")
+    left = first.where("payload IS NOT NULL").select("block", "route", F.lit(1).cast("long").alias("parts"), "payload")
+    second = left.groupBy("block", "route").applyInArrow(_parse(window), _PARSED)
+    return first.where("payload IS NULL").select(*_PHRASES).unionByName(second.select(*_PHRASES))
 
 
 def _merged(window: int):
-    """Word intervals that the factors of a document cover, merged: pairs of begin and end."""
+    """Word intervals that the phrases of a document cover, merged: pairs of begin and end."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for spans in batch.column("spans").to_pylist():
-                starts = np.array([s["start"] for s in spans], np.int64)
-                ends = starts + np.array([s["n"] for s in spans], np.int64) + window - 1
+            for spans in batch.column("spans"):
+                starts = spans.values.field("start").to_numpy()
+                ends = starts + spans.values.field("n").to_numpy() + window - 1
                 order = np.argsort(starts, kind="stable")
                 starts, reach = starts[order], np.maximum.accumulate(ends[order])
                 first = np.flatnonzero(np.append(True, starts[1:] > reach[:-1]))
                 out.append(np.column_stack([starts[first], reach[np.append(first[1:] - 1, len(reach) - 1)]]).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(out, pa.binary())], ["doc_id", "row", "spans"])
 
     return run
 
 
-def duplicate_spans(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, spans): the word intervals of each document that has any, packed as 64-bit begins and ends.
-
-    docs: doc_id (not null), text. A seed counts where its word sequence also starts in a
-    document with a smaller doc_id; seeds repeated within one document don't.
-    """
-    size = shared.plan_bytes(docs) or 256 << 20
-    blocks = min(65536, max(64, size // 1_600_000))
-    factors = docs.mapInArrow(_segments(window, blocks), _SEGMENTS).groupBy("block").applyInArrow(_parse, "doc_id long, start long, n long")
-    return factors.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")).mapInArrow(_merged(window), "doc_id long, spans binary")
-
-
-def _covered(n_words: int, spans: bytes) -> np.ndarray:
-    gone = np.zeros(n_words, bool)
-    for a, b in np.frombuffer(spans, "<i8").reshape(-1, 2).tolist():
-        gone[a:b] = True
-    return gone
+def duplicate_spans(docs: DataFrame, window: int = 13, **options) -> DataFrame:
+    """(doc_id, row, spans): the word intervals of each row that has any, packed as 64-bit begins and ends."""
+    found = phrases(docs, window, **options)
+    return found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans")).mapInArrow(_merged(window), "doc_id long, row long, spans binary")
 
 
 def _cut(texts: bool):
+    def one(data: bytes, spans: np.ndarray) -> tuple[int, int, list[bytes]]:
+        """Words, words removed, and the words left, joined by blanks, a part of a long text at a time."""
+        total, removed, left = 0, 0, []
+        for at, end in cuts(data, PIECE_BYTES):
+            words = data[at:end].split()  # bytes.split() cuts at \x20 and \x09-\x0D
+            inside = np.clip(spans - total, 0, len(words)).tolist()
+            total += len(words)
+            keep, begin = [], 0
+            for a, b in inside:
+                if b > a:
+                    keep += words[begin:a]
+                    begin = b
+                    removed += b - a
+            keep += words[begin:]
+            if keep:
+                left.append(b" ".join(keep))
+        return total, removed, left
+
     def run(batches):
         for batch in batches:
-            kept, total, removed = [], [], []
+            kept, totals, removals = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                words = (text or "").encode().split()  # bytes.split() cuts at \x20 and \x09-\x0D
-                total.append(len(words))
-                gone = _covered(len(words), spans) if spans else None
-                removed.append(int(gone.sum()) if spans else 0)
-                if texts and not spans:
-                    kept.append(text)
+                total, removed, left = one((text or "").encode(), np.frombuffer(spans or b"", "<i8").reshape(-1, 2))
+                totals.append(total)
+                removals.append(removed)
+                if not texts:
+                    kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
                 else:
-                    kept.append(b" ".join(words if not spans else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
-            out = pa.array(kept, pa.string()) if texts else pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept], pa.string())
+                    kept.append(b" ".join(left).decode() if removed else text)
             rest = [c for c in batch.schema.names if c not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), out], rest + ["n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(totals, pa.int64()), pa.array(removals, pa.int64()), pa.array(kept, pa.string())], rest + ["n_words", "n_removed", "kept"])
 
-    return run
+    return shared.trimmed(run)
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, texts: bool = True, **options) -> DataFrame:
     """Remove every word that lies in a window whose words also start in an earlier document.
 
     Windows are judged on the input. Returns the other columns of ``docs`` with n_words,
     n_removed and kept: the text that is left (its words joined by one space; a text that
     loses nothing stays as it is), or with ``texts=False`` the SHA-256 of the kept words.
     Null text has no words; texts under ``window`` words lose nothing. A null doc_id counts as
-    smaller than any other; rows with equal doc_id don't remove each other's words. Columns
-    named n_words, n_removed, kept or spans are replaced. An empty table gives no rows.
+    smaller than any other. Rows with equal doc_id don't remove each other's words, and each
+    is cut by what its own text shares with earlier documents (rows are told apart by doc_id
+    and text). Columns named n_words, n_removed, kept or spans are replaced, others are kept.
+    An empty table gives no rows.
     """
     shared.bounded_batches(docs.sparkSession)
-    docs = docs.drop("n_words", "n_removed", "kept", "spans", "__key")
-    keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(_NO_ID)))
-    spans = shared.stage(duplicate_spans(keyed.select(F.col("__key").alias("doc_id"), "text"), window), "spans")
-    spans = spans.select(F.col("doc_id").alias("__found"), "spans")
-    few = spans.agg(F.count("*"), F.sum(F.octet_length("spans"))).first()
-    small = few[0] <= shared.BROADCAST_ROWS and (few[1] or 0) + few[0] * 64 <= shared.BROADCAST_BYTES
-    joined = keyed.join(F.broadcast(spans) if small else spans, F.col("__key") == F.col("__found"), "left").drop("__key", "__found")
+    docs = docs.drop("n_words", "n_removed", "kept", "spans", "__key", "__row")
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("__row", F.xxhash64("text"))
+    spans = duplicate_spans(keyed.select(F.col("__key").alias("doc_id"), F.col("__row").alias("row"), "text"), window, **options)
+    spans = shared.stage(spans, "spans").select(F.col("doc_id").alias("__found"), F.col("row").alias("__text"), "spans")
+    joined = keyed.join(spans, (F.col("__key") == F.col("__found")) & (F.col("__row") == F.col("__text")), "left").drop("__key", "__row", "__found", "__text")
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", n_words long, n_removed long, kept string"
     return joined.mapInArrow(_cut(texts), schema)
