@@ -39,7 +39,7 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \xa0"
 _LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
 LEAF_CHARS = 2048
 LEAF_PIECE = 512
-CACHE = 300_000
+CACHE = 100_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -256,4 +256,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>"] * with_ids)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(shared.trimmed(run), schema)

@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, top: int = 400) -> Profiles:
     """
     shared.bounded_batches(labelled.sparkSession)
     rows = labelled.select(labelled["text"], labelled["lang"]).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(shared.trimmed(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= top)
     found = ranked.select("lang", "gram", (F.col("rank") - 1).alias("rank")).limit(MAX_LANGUAGES * top + 1).toPandas()
     languages = sorted(found["lang"].unique())
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, profiles: Profiles, keep_text: bool = False) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], rest + ["lang_pred", "score"])
 
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{rest}{', ' if rest else ''}lang_pred string, score double")
+    return docs.mapInArrow(shared.trimmed(run), f"{rest}{', ' if rest else ''}lang_pred string, score double")
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

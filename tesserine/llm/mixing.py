@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tesserine.llm import shared
 
+#: Sources up to which their rates are broadcast.
+FEW_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,13 +64,13 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     if not carry:
         sized = shared.stage(sized.select("doc_id", "source", "size"), "sizes")
     rates = shared.stage(targets(sized.select("source", "size"), weights, share, most), "rates")
-    small = rates.count() <= 10_000
+    small = rates.count() <= FEW_SOURCES
     keyed = rates.withColumn("__known", F.coalesce("source", F.lit(""))).withColumn("__null", F.col("source").isNull()).drop("source")
     docs_keyed = sized.withColumn("__known", F.coalesce("source", F.lit(""))).withColumn("__null", F.col("source").isNull())
     if small:
         joined = docs_keyed.join(F.broadcast(keyed), ["__known", "__null"])
     else:
-        keyed = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long"))
+        keyed = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
         joined = docs_keyed.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salt))).join(keyed, ["__known", "__null", "__salt"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")

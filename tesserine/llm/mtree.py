@@ -9,8 +9,10 @@ skips entries by the stored parent distance where the triangle inequality allows
 computing a distance, and ends when no page can beat the k-th result. Bounds get a slack above
 the rounding error, scores are integers, so results are exact, ties included.
 
-Trees hold up to ``tree_rows`` vectors each and are rows of a table; queries are taken in
-blocks of bounded size and searched against all trees, so memory doesn't grow with the input.
+Trees hold up to ``tree_rows`` vectors each and are rows of a table. A task takes a block of
+queries through its share of the trees, one tree in memory at a time, and carries each query's
+k-th score from tree to tree as its first bound. Blocks and trees are of bounded size, so memory
+doesn't grow with the input, and no row comes to the driver.
 """
 
 from __future__ import annotations
@@ -111,18 +113,19 @@ class Tree:
             self.top, self.dims = r["radius_top"], r["dims"]
         self.root = max(self.pages)
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) but ``own``, best first, ties to the smaller id."""
+    def search(self, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> None:
+        """Bring the tree's best into ``best``, a heap of up to k (score, -id) of other trees; ``own`` is left out, ties go to the smaller id."""
         q = np.zeros(self.dims, np.int64)
         q[: min(self.dims, len(query))] = query[: self.dims]
         qf = q.astype(np.float64)
         norm = float(qf @ qf)
         slack = 1e-7 * (1 + math.sqrt(norm + self.top))
-        best: list[tuple[int, int]] = []  # heap of (score, -id)
-        limit = math.inf
+        reach = lambda: math.sqrt(max(norm + self.top - 2 * best[0][0], 0)) if len(best) == k else math.inf
+        limit = reach()
         _, _, real, extra, _, _, refs = self.pages[self.root]
         start = float(np.sqrt(((real[0] - qf) ** 2).sum() + extra[0] ** 2))
         queue = [(0.0, int(refs[0]), start)]
+        self.computed += 1
         while queue:
             least, number, parent = heapq.heappop(queue)
             if least > limit + slack:
@@ -143,37 +146,57 @@ class Tree:
                         heapq.heapreplace(best, item)
                     else:
                         break
-                if len(best) == k:
-                    limit = math.sqrt(max(norm + self.top - 2 * best[0][0], 0))
+                limit = reach()
                 continue
             away = np.sqrt(np.maximum(((real[rows] - qf) ** 2).sum(axis=1) + extra[rows] ** 2, 0))
             for i, d in zip(rows.tolist(), away.tolist(), strict=True):
                 bound = max(d - radii[i], 0.0)
                 if bound <= limit + slack:
                     heapq.heappush(queue, (bound, int(refs[i]), d))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def _searched(ids: list[int], queries: list[list[int]], k: int):
-    def run(batches):
-        held: list[dict] = []
+def _searched(k: int):
+    """(query_id, vec_id, score) of the k best of each query block over its share of the trees, and a row without vec_id: the distances computed.
+
+    Rows come sorted by share, queries before pages, pages by tree.
+    """
 
-        def results(rows):
-            tree = Tree(rows)
-            found = [(q, i, s) for q, v in zip(ids, queries, strict=True) for s, i in tree.search(np.array(v, np.int64), q, k)]
-            columns = list(zip(*found, strict=True)) or [[], [], []]
+    def run(batches):
+        share, queries, found, computed, held = None, [], [], [], []
+
+        def searched() -> None:
+            tree = Tree(held)
+            for i, (own, vector) in enumerate(queries):
+                before = tree.computed
+                tree.search(vector, own, k, found[i])
+                computed[i] += tree.computed - before
+            held.clear()
+
+        def results() -> pa.RecordBatch:
+            if held:
+                searched()
+            rows = [(q, -i, s) for (q, _), best in zip(queries, found, strict=True) for s, i in best] + [(q, None, n) for (q, _), n in zip(queries, computed, strict=True)]
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             for row in batch.to_pylist():
+                if row["share"] != share:
+                    if share is not None:
+                        yield results()
+                    share, queries, found, computed = row["share"], [], [], []
+                if row["page"] is None:
+                    queries.append((row["vec_id"], np.array(row["vector"], np.int64)))
+                    found.append([])
+                    computed.append(0)
+                    continue
                 if held and row["tree"] != held[0]["tree"]:
-                    yield results(held)
-                    held = []
+                    searched()
                 held.append(row)
-        if held:
-            yield results(held)
+        if share is not None:
+            yield results()
 
-    return run
+    return shared.trimmed(run)
 
 
 def integer_vector(embedding: Column) -> Column:
@@ -182,14 +205,14 @@ def integer_vector(embedding: Column) -> Column:
     return F.when(embedding.isNotNull() & finite, F.transform(embedding, lambda x: F.floor(F.lit(1024.0) * x.cast("double")).cast("long")))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int = 8192, page: int = PAGE, block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int = 8192, page: int = PAGE, block: int = 2048, counted: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query, itself left out by id.
 
     vectors, queries: vec_id and ``vector``, arrays of integers whose products fit 64 bits.
     Null ids or vectors take no part; a shorter vector is filled with 0. Rows that repeat a
     vec_id are candidates of their own, and one query with the least of their vectors. Equal scores rank by vec_id. Fewer candidates than k:
-    all of them. No candidates or no queries: no rows. Queries come to the driver ``block``
-    at a time.
+    all of them. Other columns are left out. No candidates or no queries: no rows. With
+    ``counted`` a column computed says how many distances a query needed.
     """
     spark = vectors.sparkSession
     usable = "vec_id IS NOT NULL AND vector IS NOT NULL"
@@ -197,15 +220,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int =
     trees = max(1, -(-vectors.count() // tree_rows))
     routed = vectors.withColumn("tree", F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(trees)))
     pages = shared.stage(routed.groupBy("tree").applyInArrow(_build(page), _PAGES), "pages", **{"parquet.block.size": 16 << 20})
-    pages = pages.repartition(max(1, min(trees, spark.sparkContext.defaultParallelism * 4)), "tree").sortWithinPartitions("tree", "page")
     queries = shared.stage(shared.pick(queries, "vec_id", "vector").where(usable).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
-    blocks = max(1, -(-queries.count() // (block // 2)))
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        some = numbered.where(F.col("block") == b).select("vec_id", "vector").collect()
-        part = pages.mapInArrow(_searched([r[0] for r in some], [r[1] for r in some], k), "query_id long, vec_id long, score long")
-        part = shared.stage(part, "found") if blocks > 1 else part
-        found = part if found is None else found.union(part)
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-queries.count() // block), -(-tasks // trees))  # few trees: smaller blocks, so that every core has one
+    shares = max(1, min(trees, -(-tasks // blocks)))  # of the trees, for each block
+    share = F.col("block") * shares + F.col("part")
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("share", share)
+    walked = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod("tree", F.lit(shares))).withColumn("share", share)
+    rows = asked.drop("block", "part").unionByName(walked.drop("block", "part"), allowMissingColumns=True)
+    rows = rows.repartitionById(blocks * shares, F.col("share").cast("int")).sortWithinPartitions("share", "tree", "page")
+    found = rows.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+    if counted:
+        found = shared.stage(found, "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked.join(found.where("vec_id IS NULL").groupBy("query_id").agg(F.sum("score").alias("computed")), "query_id") if counted else ranked

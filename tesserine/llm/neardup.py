@@ -1,21 +1,25 @@
 """MinHash near-dedup with SetSketch registers.
 
 1. Each text becomes the set of its distinct n-word shingles (64-bit hashes) with one sketch.
-   Equal sets collapse into one class before anything else, so exact copies cost nothing more.
+   Equal sets (by size and a 128-bit digest) collapse into one class before anything else, so
+   exact copies cost nothing more.
 2. Bands of registers are the buckets. In each bucket every class is compared with the least
    class only (a star), never with all others.
 3. A joint likelihood estimate from both sketches drops hopeless pairs; the rest are verified
    on their full shingle sets, recomputed from the texts.
-4. Verified links give components. Buckets that still hold several are searched in blocks,
-   sketch against sketch across components and then set against set within the task, which
-   gives no more links than connect the components. So a pair that shares a bucket stays
-   unlinked only if the tests refuse it, and no task emits all pairs of a group.
+4. Verified links give components. Buckets that still hold several are searched in blocks of
+   bounded bytes, sketch against sketch across components and then full set against full set
+   within the task, which gives no more links than connect the components. So a pair that
+   shares a bucket stays unlinked only if the tests refuse it, and no task emits all pairs of a
+   group. Only an exact test unites components, so no link is passed over for a wrong one.
 
 With 32 bands of 6 registers a pair at similarity 0.85 shares no bucket with probability 3e-7.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,8 +45,9 @@ def shingle_sets(texts: pa.Array, words: int):
             yield np.unique(all_grams[a : b - words + 1]) if n >= words else grams(hashes[a:b], n) if n else np.zeros(0, np.uint64)
 
 
-def _digest(elements: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes()))))
+def _digest(elements: np.ndarray) -> bytes:
+    """Names a set: sets of equal name are taken as equal. 128 bits collide among 10^10 sets with a chance of 1e-19."""
+    return xxhash.xxh3_128_digest(elements.tobytes())
 
 
 def _sketched(words: int, m: int):
@@ -53,9 +58,9 @@ def _sketched(words: int, m: int):
                 sizes.append(len(s))
                 keys.append(_digest(s) if len(s) else None)
                 regs.append(registers(s, m).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(regs, pa.binary())], [*(c for c in batch.schema.names if c != "text"), "n_shingles", "set_key", "regs"])
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], [*(c for c in batch.schema.names if c != "text"), "n_shingles", "set_key", "regs"])
 
-    return run
+    return shared.trimmed(run)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -69,7 +74,7 @@ def _plausible(similarity: float):
                 ok = may_reach(_matrix(batch.column("regs_a")), _matrix(batch.column("regs_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), similarity)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return run
+    return shared.trimmed(run)
 
 
 def _sets(words: int):
@@ -80,9 +85,9 @@ def _sets(words: int):
                 if len(s) and _digest(s) == key:
                     keys.append(key)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["set_key", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["set_key", "elements"])
 
-    return run
+    return shared.trimmed(run)
 
 
 def _linked(percent: int):
@@ -90,35 +95,33 @@ def _linked(percent: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return shared.trimmed(run)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _across(similarity: float, percent: int, rows: int):
     """Links of different components between two blocks of a bucket, no more than connect them.
 
-    A pair is looked at in the first band that it shares only. Shingles are compared by 32 bits
-    here, which can't miss a link; the caller verifies what is found on the full sets.
+    A pair is looked at in the first band that it shares only. Links are tested on the full
+    sets, and components are united after that test alone.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        regs, sizes = _matrix(table.column("regs").combine_chunks()), table.column("n").to_numpy()
-        comp, cid, side, band = (table.column(c).to_numpy() for c in ("comp", "cid", "side", "band"))
+        regs, elements = _matrix(table.column("regs").combine_chunks()), table.column("elements").to_pylist()
+        cids = table.column("cid").to_pylist()
+        code = {c: i for i, c in enumerate(sorted({*cids, *table.column("comp").to_pylist()}))}
+        cid, comp = (np.array([code[x] for x in table.column(c).to_pylist()]) for c in ("cid", "comp"))
+        sizes, side, band = (table.column(c).to_numpy() for c in ("n", "side", "band"))
         least, band = enough_equal(regs.shape[1], similarity), int(band[0])
         earlier = regs[:, : band * rows]
         others = np.flatnonzero(side != 0)
-        pairs = []
-        for i in np.flatnonzero(side != 1):
-            other = others[(comp[others] != comp[i]) & ((cid[others] > cid[i]) | (side[i] == 0))]
-            other = other[(regs[other] == regs[i]).sum(axis=1) >= least]
-            if band and len(other):
-                other = other[~(earlier[other] == earlier[i]).reshape(len(other), band, rows).all(axis=2).any(axis=1)]
-            pairs.append(np.column_stack([np.full(len(other), i), other]))
-        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -126,34 +129,38 @@ def _across(similarity: float, percent: int, rows: int):
                 x = up
             return x
 
-        sets: dict[int, np.ndarray] = {}
-        elements = table.column("elements")
-        small = lambda i: sets[i] if i in sets else sets.setdefault(i, np.frombuffer(elements[i].as_py(), np.uint32))
         left, right = [], []
-        for at in range(0, len(pairs), 20_000):
-            x, y = pairs[at : at + 20_000].T
+
+        def tested(pairs: list[np.ndarray]) -> None:
+            x, y = np.concatenate(pairs).T
             ok = may_reach(regs[x], regs[y], sizes[x], sizes[y], similarity)
             for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                 one, two = find(int(comp[i])), find(int(comp[j]))
-                if one != two:
-                    common = len(np.intersect1d(small(i), small(j), assume_unique=True))
-                    if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                        root[max(one, two)] = min(one, two)
-                        left.append(int(cid[i]))
-                        right.append(int(cid[j]))
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return run
+                if one != two and _similar(np.frombuffer(elements[i], np.uint64), np.frombuffer(elements[j], np.uint64), percent):
+                    root[max(one, two)] = min(one, two)
+                    left.append(cids[i])
+                    right.append(cids[j])
 
+        waiting, n = [], 0
+        for i in np.flatnonzero(side != 1):
+            other = others[(comp[others] != comp[i]) & ((cid[others] > cid[i]) | (side[i] == 0))]
+            other = other[(regs[other] == regs[i]).sum(axis=1) >= least]
+            if band and len(other):
+                other = other[~(earlier[other] == earlier[i]).reshape(len(other), band, rows).all(axis=2).any(axis=1)]
+            waiting.append(np.column_stack([np.full(len(other), i), other]))
+            n += len(other)
+            if n > 20_000:
+                tested(waiting)
+                waiting, n = [], 0
+        if n:
+            tested(waiting)
+        shared.release()
+        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
-def _halves(batches):
-    """Sets with 32 bits of each element; an element of the set is counted once for each of its full hashes."""
-    for batch in batches:
-        short = [np.frombuffer(e, np.uint64).astype(np.uint32).tobytes() for e in batch.column("elements").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(short, pa.binary())], ["set_key", "elements"])
+    return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: int = 32, rows: int = 6, block: int = 256, row_key: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: int = 32, rows: int = 6, block_bytes: int = 4 << 20, row_key: Sequence[str] = ()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     docs: doc_id, text, and any other columns. Texts with a Jaccard similarity of at least
@@ -161,19 +168,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     it is the document's own. Fewer than ``words`` words: the whole sequence is one shingle.
     Null or wordless text: no shingle, no link, component_id is its own doc_id. Null doc_id:
     the row links as others do, and lends its component no id; repeated doc_ids stay rows of
-    their own. An empty table gives no rows.
+    their own, each linked by its own text. An empty table gives no rows.
 
-    ``row_key`` names a long column that tells rows apart. It is returned as well, and kept is
-    then true for one row key of each component: the least doc_id, nulls last, then the least key.
+    ``row_key`` names columns that tell rows of one doc_id apart. They are returned as well, and
+    kept is then true for one (doc_id, key) of each component: the least doc_id, nulls last,
+    then the least key.
     """
     similarity, m = percent / 100, bands * rows
-    keyed = shared.pick(docs, "doc_id", "text", *([row_key] if row_key else []))
-    docs = shared.pick(docs, "doc_id", "text")
+    keyed = shared.pick(docs, "doc_id", "text", *row_key)
+    docs = keyed.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
     shared.bounded_batches(docs.sparkSession)
-    carried = f"{row_key} long, " if row_key else ""
-    staged = shared.stage(keyed.mapInArrow(_sketched(words, m), f"doc_id long, {carried}n_shingles long, set_key long, regs binary"), "sketches")
-    place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", *([row_key] if row_key else []))
-    classes = staged.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("cid")).agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), *([F.min(place).alias("first")] if row_key else []))
+    carried = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keyed.schema.fields if f.name != "text")
+    staged = shared.stage(keyed.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketched(words, m), f"{carried}text_hash long, n_shingles long, set_key binary, regs binary"), "sketches")
+    place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", *row_key)
+    holder = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text_hash"))  # a row whose text gives the class its set
+    classes = staged.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("cid"))
+    classes = classes.agg(F.min("doc_id").alias("label"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), holder.alias("holder"), F.min(place).alias("first"))
     classes = shared.stage(classes, "classes")
     banded = classes.select("cid", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, i * {2 * rows} + 1, {2 * rows})))")).alias("band", "bucket"))
     shared_buckets = shared.stage(banded.groupBy("bucket").agg(F.min("cid").alias("star"), F.count("*").alias("members")).where("members > 1"), "buckets")
@@ -181,54 +191,70 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
 
     sketch = lambda side: classes.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}"))
     stars = members.where("cid <> star").select(F.col("cid").alias("a"), F.col("star").alias("b")).distinct()
-    plausible = stars.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_plausible(similarity), "a long, b long")
+    plausible = stars.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_plausible(similarity), "a binary, b binary")
     links = _verified(docs, classes, shared.stage(plausible, "pairs"), words, percent)
     comps = shared.stage(roots(links), "comps")
 
-    rest = _open(members, classes, comps, block)
-    short = _full_sets(docs, classes, rest.select("cid").distinct(), words).mapInArrow(_halves, "set_key long, elements binary")
-    rest = rest.join(short, rest.cid == short.set_key)
-    paired = rest.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j")).select(
-        "bucket", "band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.expr("CASE WHEN i = j THEN 2 WHEN i < j THEN 0 ELSE 1 END").alias("side"), "cid", "comp", "n", "regs", "elements"
-    )
-    across = paired.groupBy("bucket", "lo", "hi").applyInArrow(_across(similarity, percent, rows), "a long, b long").distinct()
-    across = shared.stage(across, "across")
-    if not across.isEmpty():
-        links = links.union(_verified(docs, classes, across, words, percent))
-        comps = shared.stage(roots(links), "comps")
-
-    in_comp = classes.join(comps, classes.cid == comps.node, "left").select("cid", "label", *(["first"] if row_key else []), F.coalesce("root", "cid").alias("root"))
-    least = in_comp.groupBy("root").agg(F.min("label").alias("component"), *([F.min("first").alias("first")] if row_key else []))
-    found = in_comp.select("cid", "root").join(least, "root").drop("root")
-    return staged.join(found, staged.set_key == found.cid, "left").select(
+    rest = _open(members, classes, comps, block_bytes)
+    if not rest.isEmpty():
+        rest = rest.join(_full_sets(docs, classes, rest.select("cid").distinct(), words), F.col("cid") == F.col("set_key"))
+        paired = rest.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j")).select(
+            "bucket", "band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.expr("CASE WHEN i = j THEN 2 WHEN i < j THEN 0 ELSE 1 END").alias("side"), "cid", "comp", "n", "regs", "elements"
+        )
+        across = shared.stage(paired.groupBy("bucket", "lo", "hi").applyInArrow(_across(similarity, percent, rows), "a binary, b binary").distinct(), "across")
+        if not across.isEmpty():
+            comps = shared.stage(roots(links.union(across)), "comps")
+
+    in_comp = classes.join(comps, classes.cid == comps.node, "left").select("cid", "label", "copies", "first", F.coalesce("root", "cid").alias("root"))
+    least = in_comp.groupBy("root").agg(F.min("label").alias("component"), F.min("first").alias("first"))
+    found = shared.stage(in_comp.select("cid", "copies", "root").join(least, "root").drop("root"), "found")
+    return _placed(staged.drop("regs", "text_hash"), found).select(
         "doc_id",
-        *([row_key] if row_key else []),
+        *row_key,
         "n_shingles",
         F.expr("CASE WHEN set_key IS NULL THEN doc_id ELSE component END").alias("component_id"),
         (F.isnull("set_key") | (place.eqNullSafe(F.col("first")) if row_key else F.expr("doc_id <=> component"))).alias("kept"),
     )
 
 
-def _open(members: DataFrame, classes: DataFrame, comps: DataFrame, block: int) -> DataFrame:
-    """Members of the buckets that hold several components, with sketches, dealt to blocks i of their bucket."""
-    in_comp = members.join(comps, members.cid == comps.node, "left").select("bucket", "band", "members", "cid", F.coalesce("root", "cid").alias("comp"))
+def _placed(rows: DataFrame, found: DataFrame, many: int = 100_000) -> DataFrame:
+    """Every row with the component and first row of its class.
+
+    Rows without a set take part in no join. Classes of more than ``many`` copies are few, rows
+    / many at most, and are joined by a broadcast, as one may hold a third of all rows.
+    """
+    large = found.where(F.col("copies") > many).drop("copies")
+    small = found.where(F.col("copies") <= many).drop("copies")
+    bare = rows.where("set_key IS NULL")
+    for field in found.drop("cid", "copies").schema.fields:
+        bare = bare.withColumn(field.name, F.lit(None).cast(field.dataType))
+    sets = rows.where("set_key IS NOT NULL")
+    out = sets.join(small, sets.set_key == small.cid).drop("cid")
+    if not large.isEmpty():
+        out = out.unionByName(sets.join(F.broadcast(large), sets.set_key == large.cid).drop("cid"))
+    return out.unionByName(bare)
+
+
+def _open(members: DataFrame, classes: DataFrame, comps: DataFrame, block_bytes: int) -> DataFrame:
+    """Members of the buckets that hold several components, with sketches, dealt to blocks i of their bucket by the bytes of its sets."""
+    in_comp = members.join(comps, members.cid == comps.node, "left").select("bucket", "band", "cid", F.coalesce("root", "cid").alias("comp"))
     several = in_comp.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
     rest = in_comp.join(several, "bucket").join(classes.select("cid", "n", "regs"), "cid")
-    return shared.stage(rest.withColumn("blocks", F.ceil(F.col("members") / block)).withColumn("i", F.expr("pmod(xxhash64(cid), blocks)")), "open")
+    size = rest.groupBy("bucket").agg(F.ceil(F.sum(8 * F.col("n") + F.octet_length("regs")) / block_bytes).alias("blocks"))
+    return shared.stage(rest.join(size, "bucket").withColumn("i", F.expr("pmod(xxhash64(cid), blocks)")), "open")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set_key, elements) of the wanted classes, recomputed from the texts."""
-    wanted = shared.stage(wanted.join(classes.select("cid", "label"), "cid").select(F.col("cid").alias("set_key"), F.coalesce("label", F.lit(_NO_ID)).alias("key")), "wanted")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text")
+    """(set_key, elements) of the wanted classes, recomputed from the text of one row of each."""
+    wanted = shared.stage(wanted.join(classes.select("cid", "holder"), "cid").select(F.col("cid").alias("set_key"), "holder.*"), "wanted")
     few = wanted.count() <= shared.BROADCAST_ROWS
-    texts = keyed.join(F.broadcast(wanted) if few else wanted, "key").select("set_key", "text")
-    return shared.stage(texts.mapInArrow(_sets(words), "set_key long, elements binary").dropDuplicates(["set_key"]), "sets")
+    texts = docs.join(F.broadcast(wanted) if few else wanted, ["key", "text_hash"]).select("set_key", "text").dropDuplicates(["set_key"])
+    return shared.stage(texts.mapInArrow(_sets(words), "set_key binary, elements binary"), "sets")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets are similar enough."""
     sets = _full_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), words)
     side = lambda s: sets.select(F.col("set_key").alias(s), F.col("elements").alias(f"set_{s}"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked(percent), "a long, b long")
+    checked = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked(percent), "a binary, b binary")
     return shared.stage(checked, "links")

@@ -4,7 +4,8 @@ The key is a hash of the text, so equal texts share a range. A bounded sample of
 with a chance proportional to size, gives the boundaries of fine ranges. Exact sizes of the
 ranges show which are overfull: those are subdivided by key, and single keys that are
 overfull by themselves by doc_id. The resulting cells, in key order, are dealt to the shards
-by exact cumulative size. DataFrame functions only; the driver gets sums and boundaries.
+by exact cumulative size. Equal texts of up to 1 / (64 * shards) of all bytes are dealt as one,
+so they share a shard however many rows they are; only heavier ones may part. DataFrame functions only; the driver gets sums and boundaries.
 """
 
 from __future__ import annotations
@@ -36,8 +37,11 @@ def shard(docs: DataFrame, shards: int = 8, row_limit: int = 100_000, seed: int
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document.
 
     The law is ``bytes``: shards hold nearly equal sums of size, the text's UTF-8 bytes plus 1.
-    Null text has no bytes and CRC 0. slot numbers a shard's rows from 0 without gaps.
-    Null and repeated doc_ids are rows like others. An empty table gives no rows.
+    Equal texts share a shard, unless together they hold more than 1 / (64 * shards) of all
+    bytes: those are dealt by doc_id. ``row_limit`` bounds the rows that one task numbers, and
+    moves no row. Null text has no bytes and CRC 0, and counts as equal to empty text. slot
+    numbers a shard's rows from 0 without gaps, ties by doc_id, null first. Null and repeated
+    doc_ids are rows like others. Other columns are left out. An empty table gives no rows.
     """
     text = F.coalesce(docs["text"], F.lit("")).cast("binary")
     rows = docs.select(docs["doc_id"], (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.shiftright(F.xxhash64(text), 11).alias("key"))
@@ -54,7 +58,7 @@ def shard(docs: DataFrame, shards: int = 8, row_limit: int = 100_000, seed: int
 
     by_key = shared.stage(ranged.groupBy("range", "key").agg(F.sum("size").alias("b"), F.count("*").alias("r")), "keys")
     parts = lambda b, r: F.ceil(F.greatest(b / F.lit(limit), r / F.lit(row_limit)))
-    heavy = by_key.where((F.col("b") > limit) | (F.col("r") > row_limit)).select("range", "key", parts(F.col("b"), F.col("r")).alias("key_parts"))
+    heavy = by_key.where((F.col("b") > limit) | (F.col("r") > row_limit)).select("range", "key", parts(F.col("b"), F.col("r")).alias("key_parts"), (F.col("b") > limit).alias("parted"))
     heavy = shared.stage(heavy, "heavy")
     light = by_key.join(heavy.select("key", F.lit(1).alias("is_heavy")), "key", "left").where("is_heavy IS NULL").groupBy("range").agg(parts(F.sum("b"), F.sum("r")).alias("range_parts"))
     small = lambda df: F.broadcast(df) if df.count() <= shared.BROADCAST_ROWS // 4 else df
@@ -62,12 +66,14 @@ def shard(docs: DataFrame, shards: int = 8, row_limit: int = 100_000, seed: int
     cells = cells.withColumn("heavy_key", F.when(F.col("key_parts").isNotNull(), F.col("key"))).withColumn(
         "part", F.when(F.col("key_parts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(seed)), "key_parts")).otherwise(F.pmod(F.xxhash64("key", F.lit(seed)), "range_parts"))
     )
-    cells = cells.select("doc_id", "size", "text_crc32", "key", "range", F.coalesce("heavy_key", F.lit(-(1 << 63))).alias("heavy_key"), "part")
+    together = F.col("key_parts").isNotNull() & ~F.col("parted")
+    cells = cells.select("doc_id", "size", "text_crc32", "key", "range", F.coalesce("heavy_key", F.lit(-(1 << 63))).alias("heavy_key"), "part", F.when(together, F.lit(-1)).otherwise(F.col("part")).alias("unit"))
 
     cell = ["range", "heavy_key", "part"]
-    sums = cells.groupBy(*cell).agg(F.sum("size").alias("b"), F.count("*").alias("r"))
-    so_far = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.sum("b").over(so_far) - F.col("b") / 2
+    sums = cells.groupBy(*cell, "unit").agg(F.sum("size").alias("b"), F.count("*").alias("r"))
+    so_far = Window.orderBy("range", "heavy_key", "unit")  # cells of one unit are peers and get the same sum
+    unit = Window.partitionBy("range", "heavy_key", "unit")
+    middle = F.sum("b").over(so_far.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("b").over(unit) / 2
     dealt = sums.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(1, total)))).cast("int"))
     in_shard = Window.partitionBy("shard").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     dealt = shared.stage(dealt.withColumn("first_slot", F.coalesce(F.sum("r").over(in_shard), F.lit(0))).select(*cell, "shard", "first_slot"), "dealt")

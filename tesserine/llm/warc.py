@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +30,11 @@ DICTIONARY_BYTES = 16 << 10
 #: Whole payloads of a task's first records, up to so many bytes, train the dictionary.
 TRAINING_BYTES = 1 << 20
 _REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+_SPELLED = {h.lower(): h for h in (*_REQUIRED, "Content-Type", "WARC-Concurrent-To", "WARC-Block-Digest", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Target-URI", "WARC-Profile", "WARC-Truncated", "WARC-Warcinfo-ID", "WARC-IP-Address")}
+_DIGESTS = {"sha1", "sha-1", "md5", "sha256", "sha-256", "sha512", "sha-512"}
+_TOKEN = re.compile(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
+#: A UTC date of a year at least, to the nanosecond at most.
+_DATE = re.compile(r"\d{4}(-(0[1-9]|1[0-2])(-(0[1-9]|[12]\d|3[01])(T([01]\d|2[0-3]):[0-5]\d(:([0-5]\d|60)(\.\d{1,9})?)?Z)?)?)?", re.ASCII)
 _TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
 
 
@@ -98,28 +104,64 @@ def frames(content: bytes) -> Iterator[tuple[bool, memoryview]]:
         at = end
 
 
+def _length(value: str) -> int:
+    if not value.isascii() or not value.isdigit():
+        raise WarcError(f"not a length: {value[:40]!r}")
+    return int(value)
+
+
+def _check_digest(name: str, value: str, data: bytes) -> None:
+    """Raise where a digest of a kind known here isn't that of the data; other kinds pass unchecked. SHA-1 may be base32 or hex."""
+    kind, _, digest = value.partition(":")
+    if not digest:
+        raise WarcError(f"not a digest: {value[:80]!r}")
+    if kind.lower() not in _DIGESTS:
+        return
+    raw = hashlib.new(kind.lower().replace("-", ""), data).digest()
+    if digest.upper().rstrip("=") not in (base64.b32encode(raw).decode().rstrip("="), raw.hex().upper()):
+        raise WarcError(f"{name} differs")
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of a frame that must hold exactly one valid record."""
+    """Headers and block of a frame that must hold exactly one valid record.
+
+    Header names have any case and are returned as the standard spells them; a header of this
+    standard may occur once, but for WARC-Concurrent-To, whose values are joined by blanks.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
+    try:
+        lines = head.decode().split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError("headers aren't UTF-8") from e
+    if not gap or lines[0].upper() not in ("WARC/1.0", "WARC/1.1"):
         raise WarcError("a frame doesn't start with a WARC header")
     headers: dict[str, str] = {}
+    last = None
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and last:  # a folded line
+            headers[last] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
-        if not colon or not name.strip():
+        if not colon or not _TOKEN.fullmatch(name):
             raise WarcError(f"not a header line: {line[:80]!r}")
-        headers[name.strip()] = value.strip()
+        last = _SPELLED.get(name.lower(), name)
+        if last in headers and last != "WARC-Concurrent-To":
+            raise WarcError(f"{last} occurs twice")
+        headers[last] = f"{headers[last]} {value.strip()}" if last in headers else value.strip()
     if missing := [h for h in _REQUIRED if h not in headers]:
         raise WarcError(f"headers are missing: {missing}")
-    if headers["WARC-Type"] not in _TYPES or not headers["Content-Length"].isdigit():
-        raise WarcError("bad WARC-Type or Content-Length")
-    length = int(headers["Content-Length"])
+    if headers["WARC-Type"] not in _TYPES:
+        raise WarcError(f"unknown WARC-Type {headers['WARC-Type'][:40]!r}")
+    if not _DATE.fullmatch(headers["WARC-Date"]):
+        raise WarcError(f"not a date: {headers['WARC-Date'][:40]!r}")
+    if not re.fullmatch(r"<?[A-Za-z][A-Za-z0-9+.-]*:\S+?>?", headers["WARC-Record-ID"]):
+        raise WarcError(f"not a record id: {headers['WARC-Record-ID'][:80]!r}")
+    length = _length(headers["Content-Length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {length}, the frame holds {len(rest) - 4}")
     block = rest[:length]
-    if "WARC-Block-Digest" in headers and headers["WARC-Block-Digest"] != f"sha1:{sha1_base32(block)}":
-        raise WarcError("the block digest differs")
+    if "WARC-Block-Digest" in headers:
+        _check_digest("WARC-Block-Digest", headers["WARC-Block-Digest"], block)
     return headers, block
 
 
@@ -131,7 +173,10 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             if first and int.from_bytes(frame[:4], "little") == DICTIONARY_MAGIC:
                 raw = bytes(frame[8:])
                 if raw[:4] == zstandard.FRAME_HEADER:  # the dictionary may itself be compressed
-                    raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=64 << 20)
+                    try:
+                        raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=64 << 20)
+                    except zstandard.ZstdError as e:
+                        raise WarcError(f"the dictionary can't be decoded: {e}") from e
                 dictionary = zstandard.ZstdCompressionDict(raw)
             first = False
             continue
@@ -154,7 +199,7 @@ def http_payload(headers: dict[str, str], block: bytes) -> bytes:
         raise WarcError("not an HTTP block")
     for line in head.decode("latin-1").split("\r\n")[1:]:
         name, _, value = line.partition(":")
-        if name.lower() == "content-length" and int(value) != len(body) and headers["WARC-Type"] != "revisit":
+        if name.lower() == "content-length" and _length(value.strip()) != len(body) and headers["WARC-Type"] != "revisit":
             raise WarcError("the HTTP length differs from the payload")
     return body
 
@@ -228,10 +273,10 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = "1970-01-
     if not small:  # salted, as one payload may be that of a third of all pages
         salt = 32
         pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salt)))
-        copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long"))
+        copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
     marked = pages.join(F.broadcast(copies) if small else copies, ["digest"] if small else ["digest", "salt"], "left")
     marked = marked.select("page_id", "url", "html", F.expr("CASE WHEN page_id < newest THEN newest END").alias("refers"))
-    return marked.mapInArrow(_write(date), "archive string, content binary")
+    return marked.mapInArrow(shared.trimmed(_write(date)), "archive string, content binary")
 
 
 def _read(batches):
@@ -241,12 +286,14 @@ def _read(batches):
             held = 0
             for headers, block in read_archive(content):
                 payload = http_payload(headers, block)
-                digest = headers.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+                digest = headers.get("WARC-Payload-Digest") or None
                 length = len(payload)
                 if headers["WARC-Type"] == "revisit":
-                    length = int(next((x.partition(b":")[2] for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"0"))
-                elif digest and digest != sha1_base32(payload):
-                    raise WarcError("the payload digest differs")
+                    stated = next((x.partition(b":")[2] for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"0")
+                    length = _length(stated.decode("latin-1").strip())
+                elif digest:
+                    _check_digest("WARC-Payload-Digest", digest, payload)
+                digest = digest and digest.removeprefix("sha1:")
                 row = (headers["WARC-Record-ID"].strip("<>"), headers["WARC-Type"], headers.get("WARC-Target-URI"), headers.get("WARC-Refers-To", "").strip("<>") or None, digest, length, payload if headers["WARC-Type"] != "revisit" else None)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
@@ -255,6 +302,7 @@ def _read(batches):
                     yield _records(out)
                     out, held = [[], [], [], [], [], [], []], 0
             yield _records(out)
+    shared.release()
 
 
 _RECORDS = (("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()))
