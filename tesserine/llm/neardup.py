@@ -179,35 +179,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     docs = keyed.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
     shared.bounded_batches(docs.sparkSession)
     carried = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keyed.schema.fields if f.name != "text")
-    staged = shared.stage(keyed.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketched(words, m), f"{carried}text_hash long, n_shingles long, set_key binary, regs binary"), "sketches")
-    place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", *row_key)
-    holder = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text_hash"))  # a row whose text gives the class its set
-    classes = staged.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("cid"))
-    classes = classes.agg(F.min("doc_id").alias("label"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), holder.alias("holder"), F.min(place).alias("first"))
-    classes = shared.stage(classes, "classes")
-    banded = classes.select("cid", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, i * {2 * rows} + 1, {2 * rows})))")).alias("band", "bucket"))
-    shared_buckets = shared.stage(banded.groupBy("bucket").agg(F.min("cid").alias("star"), F.count("*").alias("members")).where("members > 1"), "buckets")
-    members = shared.stage(banded.join(shared_buckets, "bucket"), "members")
-
-    sketch = lambda side: classes.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}"))
-    stars = members.where("cid <> star").select(F.col("cid").alias("a"), F.col("star").alias("b")).distinct()
-    plausible = stars.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_plausible(similarity), "a binary, b binary")
-    links = _verified(docs, classes, shared.stage(plausible, "pairs"), words, percent)
-    comps = shared.stage(roots(links), "comps")
-
-    rest = _open(members, classes, comps, block_bytes)
-    if not rest.isEmpty():
-        rest = rest.join(_full_sets(docs, classes, rest.select("cid").distinct(), words), F.col("cid") == F.col("set_key"))
-        paired = rest.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j")).select(
-            "bucket", "band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.expr("CASE WHEN i = j THEN 2 WHEN i < j THEN 0 ELSE 1 END").alias("side"), "cid", "comp", "n", "regs", "elements"
-        )
-        across = shared.stage(paired.groupBy("bucket", "lo", "hi").applyInArrow(_across(similarity, percent, rows), "a binary, b binary").distinct(), "across")
-        if not across.isEmpty():
-            comps = shared.stage(roots(links.union(across)), "comps")
-
-    in_comp = classes.join(comps, classes.cid == comps.node, "left").select("cid", "label", "copies", "first", F.coalesce("root", "cid").alias("root"))
-    least = in_comp.groupBy("root").agg(F.min("label").alias("component"), F.min("first").alias("first"))
-    found = shared.stage(in_comp.select("cid", "copies", "root").join(least, "root").drop("root"), "found")
+    with shared.scratch(docs.sparkSession):
+        staged = shared.stage(keyed.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketched(words, m), f"{carried}text_hash long, n_shingles long, set_key binary, regs binary"), "sketches", keep=True)
+        place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", *row_key)
+        holder = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text_hash"))  # a row whose text gives the class its set
+        classes = staged.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("cid"))
+        classes = classes.agg(F.min("doc_id").alias("label"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), holder.alias("holder"), F.min(place).alias("first"))
+        classes = shared.stage(classes, "classes")
+        banded = classes.select("cid", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, i * {2 * rows} + 1, {2 * rows})))")).alias("band", "bucket"))
+        shared_buckets = shared.stage(banded.groupBy("bucket").agg(F.min("cid").alias("star"), F.count("*").alias("members")).where("members > 1"), "buckets")
+        members = shared.stage(banded.join(shared_buckets, "bucket"), "members")
+
+        sketch = lambda side: classes.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}"))
+        stars = members.where("cid <> star").select(F.col("cid").alias("a"), F.col("star").alias("b")).distinct()
+        plausible = stars.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_plausible(similarity), "a binary, b binary")
+        links = _verified(docs, classes, shared.stage(plausible, "pairs"), words, percent)
+        comps = shared.stage(roots(links), "comps")
+
+        rest = _open(members, classes, comps, block_bytes)
+        if not rest.isEmpty():
+            rest = rest.join(_full_sets(docs, classes, rest.select("cid").distinct(), words), F.col("cid") == F.col("set_key"))
+            paired = rest.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j")).select(
+                "bucket", "band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.expr("CASE WHEN i = j THEN 2 WHEN i < j THEN 0 ELSE 1 END").alias("side"), "cid", "comp", "n", "regs", "elements"
+            )
+            across = shared.stage(paired.groupBy("bucket", "lo", "hi").applyInArrow(_across(similarity, percent, rows), "a binary, b binary").distinct(), "across")
+            if not across.isEmpty():
+                comps = shared.stage(roots(links.union(across)), "comps")
+
+        in_comp = classes.join(comps, classes.cid == comps.node, "left").select("cid", "label", "copies", "first", F.coalesce("root", "cid").alias("root"))
+        least = in_comp.groupBy("root").agg(F.min("label").alias("component"), F.min("first").alias("first"))
+        found = shared.stage(in_comp.select("cid", "copies", "root").join(least, "root").drop("root"), "found", keep=True)
     return _placed(staged.drop("regs", "text_hash"), found).select(
         "doc_id",
         *row_key,
@@ -229,10 +230,11 @@ def _placed(rows: DataFrame, found: DataFrame, many: int = 100_000) -> DataFrame
     for field in found.drop("cid", "copies").schema.fields:
         bare = bare.withColumn(field.name, F.lit(None).cast(field.dataType))
     sets = rows.where("set_key IS NOT NULL")
-    out = sets.join(small, sets.set_key == small.cid).drop("cid")
-    if not large.isEmpty():
-        out = out.unionByName(sets.join(F.broadcast(large), sets.set_key == large.cid).drop("cid"))
-    return out.unionByName(bare)
+    if large.isEmpty():
+        return sets.join(small, sets.set_key == small.cid).drop("cid").unionByName(bare)
+    hot = sets.join(F.broadcast(large), sets.set_key == large.cid).drop("cid")
+    rest = sets.join(F.broadcast(large.select("cid")), sets.set_key == F.col("cid"), "left_anti")
+    return rest.join(small, rest.set_key == small.cid).drop("cid").unionByName(hot).unionByName(bare)
 
 
 def _open(members: DataFrame, classes: DataFrame, comps: DataFrame, block_bytes: int) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +34,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None, **options: object) -> DataFrame:
+#: Paths of the tables staged inside each open scratch block.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are emptied at the end, so that a later step doesn't find the disk full of them.
+
+    Those staged with ``keep`` are left to the enclosing block, or for good: the caller's plan
+    reads them. Emptying is an overwrite by no rows, which any file system of Spark's allows.
+    """
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            spark.range(0, numPartitions=1).write.mode("overwrite").parquet(path)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False, **options: object) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserine/{name}-{uuid.uuid4().hex}"
     writer = df.write.options(**options) if options else df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -46,7 +46,7 @@ _PARSED = ", ".join(f"{c} {'binary' if c == 'payload' else 'long'}" for c in _PA
 _BREAK = re.compile(rb"[\x20\x09-\x0d]")
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Bytes of text parsed at once; longer documents are cut with an overlap of one window.
-PIECE_BYTES = 3 << 20
+PIECE_BYTES = 6 << 20
 #: Bytes of text that a block is meant for; passages overlap, so it holds about three times as many.
 BLOCK_BYTES = 2 << 20
 #: Share of rows that block sizes are estimated from. They steer the split of blocks only; no result depends on them.
