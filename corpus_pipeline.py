@@ -37,9 +37,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     docs = docs.select(*COLUMNS)
     docs = docs.withColumn("row_key", F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS]))
-    rows = neardup.near_duplicates(docs, **NEAR, row_key=("row_key",)).where("n_shingles > 0")
-    rows = rows.groupBy("doc_id", "row_key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
-    rows = shared.stage(rows.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "kept"), "decided")
+    with shared.scratch(spark):
+        rows = neardup.near_duplicates(docs, **NEAR, row_key=("row_key",)).where("n_shingles > 0")
+        rows = rows.groupBy("doc_id", "row_key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+        rows = shared.stage(rows.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "kept"), "decided", keep=True)
     small = lambda df: F.broadcast(df) if df.count() <= shared.BROADCAST_ROWS else df
     same = (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
     out = docs.join(small(rows), same, "left_anti")
