@@ -83,7 +83,7 @@ class Index:
         rows = self._rows("postings", field, list(idf)).groupBy("key").agg(F.first("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m")).where(F.size("m") == len(idf))
         starts = F.col("m")[terms[0]]
         for i, term in enumerate(terms[1:], 1):
-            starts = F.array_intersect(starts, F.transform(F.col("m")[term], lambda p, i=i: p - i))
+            starts = F.array_intersect(starts, F.transform(F.col("m")[term], _less(i)))
         found = rows.select("key", "dl", F.size(starts).alias("tf")).where("tf > 0")
         return found.select("key", (self._part(field, F.lit(sum(idf[t] for t in terms)), F.col("tf")) * boost).alias("score"))
 
@@ -102,6 +102,10 @@ def _terms(text: str | Sequence[str]) -> list[str]:
     return [t for t in re.split(r"[^a-z0-9_]+", text.lower()) if t] if isinstance(text, str) else [t.lower() for t in text]
 
 
+def _less(places: int):
+    return lambda at: at - places
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserine.functions import chunkers
 from tesserine.operators import gates, models, rules
 from tesserine.plans import ingest
-from tesserine.queries.registry import query, table
+from tesserine.queries.registry import query, scratch, table
 from tesserine.streaming.upsert import UpsertLog
 
 _HITS = "SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents"
@@ -85,8 +82,7 @@ def code_chunks(spark, sf_dir):
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p FROM events WHERE user_id IS NOT NULL) WHERE p = 1")
 def stream_upsert(spark, sf_dir):
     """Events read as a stream and upserted by user: the newest event of each."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserine-")
-    folder = f"{folder.rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    folder = scratch(spark, "upsert")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a stream source can't be a single file
     log = UpsertLog(spark, f"{folder}/table", schema, "user_id", "ts", "event_id", buckets=8)

@@ -148,8 +148,8 @@ def source_definitions(spark, sf_dir):
     )
 
 
-@query(rf"""WITH s AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), i AS (SELECT doc_id, regexp_extract_all(text, '\b([A-Za-z_][A-Za-z0-9_]{{3,}})\b', 1) AS i FROM s),
-  o AS (SELECT doc_id, i, {_ONCE('i')} AS u FROM i), m AS (SELECT doc_id, list_concat(i, flatten(list_transform(u, lambda t: list_transform(list_filter(list_concat(regexp_extract_all(t, '[A-Z]?[a-z]+'), string_split(t, '_')), lambda p: length(p) > 2), lambda p: lower(p))[1:2]))) AS found FROM o)
+@query(rf"""WITH s AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), i AS (SELECT doc_id, regexp_extract_all(text, '\b([A-Za-z_][A-Za-z0-9_]{{3,}})\b', 1) AS ids FROM s),
+  o AS (SELECT doc_id, ids, {_ONCE('ids')} AS u FROM i), m AS (SELECT doc_id, list_concat(ids, flatten(list_transform(u, lambda t: list_transform(list_filter(list_concat(regexp_extract_all(t, '[A-Z]?[a-z]+'), string_split(t, '_')), lambda p: length(p) > 2), lambda p: lower(p))[1:2]))) AS found FROM o)
   SELECT doc_id, {_JOIN(f"({_ONCE('found')})[1:50]")} AS symbols FROM m WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE regexp_matches(text, '[A-Z]{{2}}|[A-Z]\b|[^\x00-\x7F]'))
   UNION ALL SELECT doc_id, '' FROM s WHERE regexp_matches(text, '[A-Z]{{2}}|[A-Z]\b|[^\x00-\x7F]')""")
 def mined_symbols(spark, sf_dir):
