@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ _PARSED = ", ".join(f"{c} {'binary' if c == 'payload' else 'long'}" for c in _PA
 _BREAK = re.compile(rb"[\x20\x09-\x0d]")
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Bytes of text parsed at once; longer documents are cut with an overlap of one window.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 4 << 20
 #: Bytes of text that a block is meant for; passages overlap, so it holds about three times as many.
 BLOCK_BYTES = 2 << 20
 #: Share of rows that block sizes are estimated from. They steer the split of blocks only; no result depends on them.
@@ -77,26 +78,34 @@ class Passages:
     def __init__(self, text: bytes, doc: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray, window: int) -> None:
         self.text, self.doc, self.row, self.start, self.length, self.window = text, doc, row, start, length, window
         borders = np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1
-        self.offsets = np.append(0, borders)
-        words = pa.Array.from_buffers(pa.binary(), len(borders), [None, pa.py_buffer(self.offsets.astype(np.int32)), pa.py_buffer(text)]).dictionary_encode()
+        self.offsets = np.append(np.int32(0), borders.astype(np.int32))
+        words = pa.Array.from_buffers(pa.binary(), len(borders), [None, pa.py_buffer(self.offsets), pa.py_buffer(text)]).dictionary_encode()
         self.ids = words.indices.to_numpy()
         self.vocabulary = words.dictionary
-        first = np.cumsum(length) - length
+        self.first = (np.cumsum(length) - length).astype(np.int32)
         count = np.maximum(length - window + 1, 0)
-        self.passage = np.repeat(np.arange(len(length)), count)
-        inner = np.arange(len(self.passage)) - np.repeat(np.cumsum(count) - count, count)
-        self.at = first[self.passage] + inner  # the first word of each window
-        self.place = start[self.passage] + inner
+        self.passage = np.repeat(np.arange(len(length), dtype=np.int32), count)
+        self.at = np.arange(len(self.passage), dtype=np.int32)  # the first word of each window
+        self.at += np.repeat(self.first - (np.cumsum(count) - count).astype(np.int32), count)
+
+    def place(self, windows: np.ndarray) -> np.ndarray:
+        """Where windows begin in their documents."""
+        p = self.passage[windows]
+        return self.start[p] + (self.at[windows] - self.first[p])
 
     def first_equal(self) -> np.ndarray:
         """For each window the first window of equal words, compared word by word."""
         n, ids, at = len(self.at), self.ids, self.at
-        seeds = grams(mix(ids.astype(np.uint64) + np.uint64(1)), self.window)[at]
-        order = np.argsort(seeds, kind="stable")
-        head = np.append(True, np.diff(seeds[order]) != 0) if n else np.zeros(0, bool)
-        first = np.empty(n, np.int64)
-        first[order] = order[np.maximum.accumulate(np.where(head, np.arange(n), 0))]
-        later = np.flatnonzero(first != np.arange(n))
+        seeds = mix(np.arange(1, len(self.vocabulary) + 1, dtype=np.uint64))[ids]
+        seeds = grams(seeds, self.window)[at]
+        order = np.argsort(seeds, kind="stable").astype(np.int32)
+        seeds = seeds[order]
+        head = np.append(True, seeds[1:] != seeds[:-1]) if n else np.zeros(0, bool)
+        del seeds
+        first = np.empty(n, np.int32)
+        first[order] = order[np.flatnonzero(head)][np.cumsum(head, dtype=np.int32) - 1]
+        del order, head
+        later = np.flatnonzero(first != np.arange(n, dtype=np.int32))
         a, b = at[later], at[first[later]]
         same = np.ones(len(later), bool)
         for t in range(self.window):
@@ -111,6 +120,7 @@ class Passages:
         """(whether a window is settled, (doc, row, start, n, ref_doc, ref_start) of the phrases, n in windows)."""
         doc = self.doc[self.passage]
         settled = doc[first] < doc
+        del doc
         w = np.flatnonzero(settled)
         if not len(w):
             return settled, tuple(np.zeros(0, np.int64) for _ in range(6))
@@ -118,7 +128,8 @@ class Passages:
         begin = np.flatnonzero(np.append(True, (own[1:] != own[:-1] + 1) | (ref[1:] != ref[:-1] + 1)))
         n = np.diff(np.append(begin, len(w)))
         w = w[begin]
-        return settled, (doc[w], self.row[self.passage[w]], self.place[w], n, doc[first[w]], self.place[first[w]])
+        lead = first[w]
+        return settled, (self.doc[self.passage[w]], self.row[self.passage[w]], self.place(w), n, self.doc[self.passage[lead]], self.place(lead))
 
     def word_hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same in every piece and block."""
@@ -148,11 +159,11 @@ class Passages:
         begin, length = begin[order], length[order]
         lead, to = w[begin], to[begin]
         a, b = self.offsets[self.at[lead]], self.offsets[self.at[lead] + length]
-        doc, row, place = self.doc[self.passage[lead]], self.row[self.passage[lead]], self.place[lead]
+        doc, row, place = self.doc[self.passage[lead]], self.row[self.passage[lead]], self.place(lead)
         edges = np.flatnonzero(np.append(np.append(True, to[1:] != to[:-1]), True))
-        slices = [self.text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield int(to[x]), _packed(b"".join(slices[x:y]), doc[x:y], row[x:y], place[x:y], length[x:y])
+            text = b"".join([self.text[i:j] for i, j in zip(a[x:y].tolist(), b[x:y].tolist(), strict=True)])
+            yield int(to[x]), _packed(text, doc[x:y], row[x:y], place[x:y], length[x:y])
 
 
 def _packed(text: bytes, *numbers: np.ndarray) -> bytes:
@@ -191,7 +202,8 @@ def _documents(batches, window: int, limit: int) -> Iterator[Passages]:
         rows.sort(key=lambda r: r[0])
         data = np.frombuffer(b" ".join([r[3] for r in rows]), np.uint8)
         inside = ~SPACE[data]
-        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+        border = np.zeros(1, np.int8)
+        edge = np.diff(np.concatenate((border, inside.view(np.int8), border)))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         bounds = np.searchsorted(starts, np.cumsum([0, *(len(r[3]) + 1 for r in rows)]))
         return Passages(_spaced(data, inside, starts, ends), *(np.array([r[i] for r in rows], np.int64) for i in range(3)), np.diff(bounds), window)
@@ -222,13 +234,14 @@ def _route(window: int, blocks: int, piece_bytes: int):
     def run(batches):
         for p in _documents(batches, window, piece_bytes):
             settled, found = p.phrases(p.first_equal())
+            route = (p.routes() % np.uint64(blocks)).astype(np.int64)
             number = int(mix(p.row[:1].astype(np.uint64))[0] >> np.uint64(1))
-            rows = [(block, number, payload) for block, payload in p.routed(~settled, (p.routes() % np.uint64(blocks)).astype(np.int64))]
+            rows = p.routed(~settled, route)
             if len(found[0]):
-                rows.append((-1 - number % blocks, number, _packed(b"", *found)))
-            for at in range(0, len(rows), 4096):
-                block, piece, payload = zip(*rows[at : at + 4096], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(piece, pa.int64()), pa.array(payload, pa.binary())], ["block", "piece", "payload"])
+                rows = chain([(-1 - number % blocks, _packed(b"", *found))], rows)
+            while some := list(islice(rows, 256)):
+                block, payload = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array(payload, pa.binary())], ["block", "piece", "payload"])
 
     return shared.trimmed(run)
 
