@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,3 +150,38 @@ def clean_terms(terms: Column, most: int = 120) -> Column:
     """Split at commas and semicolons, trimmed, cut to ``most``, distinct by lower case in first-seen order."""
     items = F.slice(F.filter(F.transform(F.split(terms, "[;,]"), strip), lambda x: F.length(x) > 0), 1, most)
     return F.filter(items, lambda x, i: F.array_position(F.transform(items, F.lower), F.lower(x)) == i + 1)
+
+
+def rerank_snippet(path: Column, start: Column, end: Column, summary: Column, language: Column, code: Column, most: int = 800) -> Column:
+    """Place, summary of up to 200 characters and fenced code for a reranker.
+
+    The code's line ends are normalised; its first 30 lines, with a comment where some are left
+    out, are cut at a line or word to what is left of the limit, and open fences are closed.
+    Code is left out where less than 100 characters are left.
+    """
+    place = F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+    short = F.when(F.length(summary) > 0, safe_truncate(F.concat(F.lit("Summary: "), summary), 200))
+    unix = F.replace(F.replace(code, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    first = let(lines(unix), lambda rows: F.when(F.size(rows) > 30, F.concat(F.array_join(F.slice(rows, 1, 30), "\n"), F.lit("\n// ... (truncated)"))).otherwise(F.array_join(rows, "\n")))
+    fenced = lambda used: F.concat(F.lit("\n```"), F.lower(F.coalesce(language, F.lit(""))), F.lit("\n"), let(cut_at(first, F.lit(most - 50) - used), close_fences), F.lit("\n```"))
+    return let(F.concat_ws("\n", place, short), lambda head: F.concat_ws("\n", head, F.when((F.length(code) > 0) & (F.length(head) < most - 100), fenced(F.length(head)))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def cut_at(text: Column, most: Column) -> Column:
+    """Like safe_truncate, with a limit that differs from row to row."""
+
+    def cut(whole: Column) -> Column:
+        def at(head: Column) -> Column:
+            last = lambda mark: F.length(head) - F.instr(F.reverse(head), mark)
+            has = lambda mark: F.instr(head, mark) > 0
+            end = F.when(has("\n") & (last("\n") > most * 0.8), last("\n")).when(has(" ") & (last(" ") > most * 0.8), last(" ")).otherwise(most)
+            return rstrip(F.substring(head, F.lit(1), end))
+
+        return F.when(F.length(whole) <= most, whole).otherwise(let(F.substring(whole, F.lit(1), most), at))
+
+    return let(text, cut)

@@ -12,12 +12,12 @@ def guarded(rows: DataFrame, query: str, key: str, threshold: int = 3, min_survi
     rows: query, key, retriever_score, filter_score (0 to 4). Where the filter scores hardly
     vary (sample deviation under ``bypass``; one row has none), all rows stay in retriever
     order. Otherwise rows at the threshold stay, relaxed to 2 and then 1 while fewer than
-    ``min_survivors`` do; if none is left, the best 2 * min_survivors by retriever score stay.
+    ``min_survivors`` do; if they are too few even then, the best 2 * min_survivors by retriever score stay.
     """
     w = Window.partitionBy(query)
     count = lambda t: F.sum((F.col("filter_score") >= t).cast("int")).over(w)
     out = rows.withColumn("spread", F.coalesce(F.stddev_samp("filter_score").over(w), F.lit(0.0)))
-    out = out.withColumn("at", F.when(count(threshold) >= min_survivors, F.lit(threshold)).when(count(2) >= min_survivors, F.lit(2)).when(count(1) > 0, F.lit(1)).otherwise(F.lit(None).cast("int")))
+    out = out.withColumn("at", F.when(count(threshold) >= min_survivors, F.lit(threshold)).when(count(2) >= min_survivors, F.lit(2)).when(count(1) >= min_survivors, F.lit(1)).otherwise(F.lit(None).cast("int")))
     out = out.withColumn("by_retriever", F.row_number().over(w.orderBy(F.desc("retriever_score"), key)))
     guard = F.col("spread") < bypass
     keep = guard | (F.col("filter_score") >= F.col("at")) | (F.col("at").isNull() & (F.col("by_retriever") <= 2 * min_survivors))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserine.functions.text import ascii_ratio, lines, meaningful, strip
 
-#: A citation [repository/path:first-last].
-CITATION = r"\[[^\[\]\s:]+:\d+-\d+\]"
+#: A citation [repository|path:first-last]; a slash separates as well.
+CITATION = r"\[[^|\]]+[|/][^:\]]+:\d+-\d+\]"
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:

@@ -204,7 +204,7 @@ _ROWS = "SELECT d.source, d.doc_id, round(1.0 / (1 + n_chars), 9) AS retriever_s
 
 @query(f"""WITH w AS (SELECT *, coalesce(stddev_samp(filter_score) OVER p, 0) AS spread, sum((filter_score >= 3)::INT) OVER p AS c3, sum((filter_score >= 2)::INT) OVER p AS c2, sum((filter_score >= 1)::INT) OVER p AS c1,
              row_number() OVER (PARTITION BY source ORDER BY retriever_score DESC, doc_id) AS r FROM ({_ROWS}) WINDOW p AS (PARTITION BY source)),
-           a AS (SELECT *, CASE WHEN c3 >= 8 THEN 3 WHEN c2 >= 8 THEN 2 WHEN c1 > 0 THEN 1 END AS lvl FROM w),
+           a AS (SELECT *, CASE WHEN c3 >= 8 THEN 3 WHEN c2 >= 8 THEN 2 WHEN c1 >= 8 THEN 1 END AS lvl FROM w),
            k AS (SELECT *, CASE WHEN spread < 0.15 THEN 'guard' WHEN lvl IS NULL THEN 'retriever' ELSE 'at_' || lvl END AS lane, round(CASE WHEN spread < 0.15 THEN retriever_score ELSE retriever_score + 0.3 * filter_score / 4 END, 6) AS hybrid
                  FROM a WHERE spread < 0.15 OR filter_score >= lvl OR (lvl IS NULL AND r <= 16))
            SELECT source, doc_id, lane, hybrid, row_number() OVER (PARTITION BY source ORDER BY hybrid DESC, doc_id)::INT AS rank FROM k""")
