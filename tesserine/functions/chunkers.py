@@ -204,3 +204,100 @@ def go_aliases(text: Column) -> Column:
     entries = F.transform(F.array_distinct(specs), lambda s: F.struct(name(s).alias("key"), path(s).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda later: later["key"] == e["key"]))
     return F.map_from_entries(last)
+
+
+#: Extensions by language name.
+EXTENSIONS = {"python": "py", "javascript": "js", "typescript": "ts", "go": "go", "ruby": "rb", "php": "php", "java": "java"}
+
+
+def text_chunks(text: str, language: str = "", ext: str = "") -> list[dict]:
+    """(start_line, end_line, text) of each chunk; a text that can't be cut is one chunk."""
+    ext = ext or EXTENSIONS.get(language.lower(), language.lower()) or "txt"
+    try:
+        found = chunk_lines(text, ext)
+    except re.error:
+        found = [(1, 1, len(text.split("\n")), text)]
+    return [{"start_line": a, "end_line": b, "text": t} for _, a, b, t in found]
+
+
+def count_tokens(text: str, encode=None) -> int:
+    """Tokens of an injected tokenizer's ``encode``; without one, words and single signs are counted."""
+    return len(encode(text)) if encode else len(re.findall(r"\w+|[^\w\s]", text))
+
+
+def bounded_chunks(text: str, ext: str, limit: int, count=count_tokens) -> list[tuple[int, int, int, str]]:
+    """(chunk_number, start_line, end_line, text): lines are taken until the next would pass ``limit`` tokens, then cut at the last declaration.
+
+    Where there is none since the chunk began, it runs over the limit to the next one. Blank chunks are dropped.
+    """
+    lines = text.split("\n")
+    found, remarks = breakpoints(text, ext) if _ALIASES.get(ext, ext) in DECLARATION else ([], set())
+    cuts = set()
+    for line in found:
+        above = line
+        while above - 1 in remarks:
+            above -= 1
+        cuts.add(above or line)
+    pieces, start, tokens, at = [], 0, 0, 0
+    sizes = [count(line) for line in lines]
+    while at < len(lines):
+        if tokens + sizes[at] > limit:
+            stop = at if at in cuts else max((c for c in cuts if start < c < at), default=start)
+            if stop > start:
+                pieces.append((start, stop))
+                start = at = stop
+                tokens = 0
+                if stop == len(lines):
+                    break
+                tokens, at = sizes[at], at + 1
+                continue
+        tokens += sizes[at]
+        at += 1
+    pieces.append((start, len(lines)))
+    kept = [(a + 1, b, "\n".join(lines[a:b])) for a, b in pieces]
+    return [(n, *p) for n, p in enumerate((p for p in kept if p[2].strip()), 1)]
+
+
+def bounded_code_chunks(text: Column, ext: Column, limit: int, factory=None) -> Column:
+    """Array of (chunk_number, start_line, end_line, text) of up to ``limit`` tokens where declarations allow; ``factory`` builds a tokenizer's encode in each worker."""
+
+    def run(texts: pd.Series, exts: pd.Series) -> pd.Series:
+        encode = factory() if factory else None
+        names = ("chunk_number", "start_line", "end_line", "text")
+        return pd.Series([[dict(zip(names, c, strict=True)) for c in bounded_chunks(t or "", e or "", limit, lambda x: count_tokens(x, encode))] for t, e in zip(texts, exts, strict=True)])
+
+    return F.pandas_udf(run, CHUNKS)(text, ext)
+
+
+def line_range(text: Column, start: Column, end: Column) -> Column:
+    """Lines start to end of a text, both included, from 1."""
+    return F.array_join(F.slice(F.split(text, "\n", -1), start, F.greatest(end - start + 1, F.lit(0))), "\n")
+
+
+#: Beginnings of lines that start a block of their own.
+STARTS = ("if ", "else", "switch", "case", "for ", "range", "defer", "go func", "select")
+
+
+def split_body(text: str, limit: int, count=count_tokens) -> list[tuple[int, int, str]]:
+    """(start_line, end_line, text) of the parts of an oversize body; a body within ``limit`` tokens is one part.
+
+    A part has 15 lines, or ends within its lines 5 to 25 after a closing brace that other code
+    follows, or before a line that starts a block.
+    """
+    lines = text.split("\n")
+    if count(text) <= limit:
+        return [(1, len(lines), text)]
+    parts, at = [], 0
+    while at < len(lines):
+        end = min(at + 15, len(lines))
+        for i in range(at + 5, min(at + 25, len(lines))):
+            line, after = lines[i].strip(), lines[i + 1].strip() if i + 1 < len(lines) else ""
+            if line == "}" and after and not after.startswith("}"):
+                end = i + 1
+                break
+            if line.startswith(STARTS):
+                end = i
+                break
+        parts.append((at + 1, end, "\n".join(lines[at:end])))
+        at = end
+    return [p for p in parts if p[2].strip()]

@@ -128,8 +128,9 @@ def _asked(rows: DataFrame, factory: Factory, prompt: str, out: str) -> DataFram
     from pyspark.sql.types import StringType, StructType
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = None
         for frame in frames:
+            model = model or factory()
             yield frame.assign(**{out: model([p or "" for p in frame[prompt]])})
 
     return rows.mapInPandas(run, StructType([*rows.schema.fields]).add(out, StringType()))

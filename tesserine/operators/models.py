@@ -43,8 +43,9 @@ def embed(rows: DataFrame, factory: Factory, text: str = "text", caps: Sequence[
     schema = StructType([*rows.schema.fields]).add("embedding", ArrayType(FloatType())).add("error", StringType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = None
         for frame in frames:
+            model = model or factory()
             for at in range(0, len(frame), window):
                 part = frame.iloc[at : at + window].copy()
                 texts = [t or "" for t in part[text]]
@@ -78,8 +79,9 @@ def filter_scores(rows: DataFrame, factory: Factory, key: str = "id", prompt: st
     kind = rows.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = None
         for frame in frames:
+            model = model or factory()
             results = [decision(r) for r in model(list(frame[prompt]))]
             again = [i for i, r in enumerate(results) if r is None]
             for i, r in zip(again, model([frame[prompt].iloc[i] for i in again]) if again else [], strict=True):
@@ -100,8 +102,9 @@ def rerank(pool: DataFrame, factory: Factory | None, query: str = "query_id", ke
     schema = StructType([*pool.schema.fields]).add("rerank_score", DoubleType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = None
         for frame in frames:
+            model = model or factory()
             yield frame.assign(rerank_score=[float(s) for s in model([t or "" for t in frame[pair]])])
 
     if factory is None:

@@ -93,3 +93,29 @@ def best_overlap(left: DataFrame, right: DataFrame, file: str, key: str) -> Data
     best = F.max(F.struct(overlap.alias("overlap"), (-F.col("r_key")).alias("minus")))
     found = joined.groupBy(file, "start_line", "end_line").agg(best.alias("b"))
     return left.join(found, [file, "start_line", "end_line"]).groupBy(file, key).agg(F.max("b").alias("b")).select(file, key, (-F.col("b.minus")).alias("r_key"), F.col("b.overlap").alias("overlap"))
+
+
+#: A method's signature, from the start of its line.
+METHOD = r"(?m)^func\s*\(([^)]*)\)\s*([A-Za-z_][A-Za-z0-9_]*)\s*\("
+
+
+def enclosing_signature(chunks: DataFrame, file: str, order: list[str], back: int = 2) -> DataFrame:
+    """The chunks with the signature, receiver and name of the first method among the ``back`` chunks before each; null without one."""
+    before = Window.partitionBy(file).orderBy(*order).rowsBetween(-back, -1)
+    part = lambda group: F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), METHOD, group), F.lit(""))
+    found = F.when(part(2).isNotNull(), F.struct(part(0).alias("signature"), F.trim(F.coalesce(part(1), F.lit(""))).alias("receiver"), part(2).alias("method")))
+    return chunks.withColumn("enclosing", F.first(found, ignorenulls=True).over(before))
+
+
+def owner(spans: DataFrame, declarations: DataFrame, file: str, key: str) -> DataFrame:
+    """(file, key, owner): the smallest declaration that contains each span, ties to the first; spans without one are left out.
+
+    spans: file, key, start, end. declarations: file, decl, d_start, d_end. Both are met by
+    buckets of ``LINES`` places of the span's start, so a file's pairs are bounded by the
+    declarations over one bucket.
+    """
+    bucket = F.floor(F.col("start") / LINES)
+    over = declarations.select("*", F.explode(F.sequence(F.floor(F.col("d_start") / LINES), F.floor(F.col("d_end") / LINES))).alias("bucket"))
+    met = spans.withColumn("bucket", bucket).join(over, [file, "bucket"]).where("d_start <= start AND end <= d_end")
+    best = F.min(F.struct((F.col("d_end") - F.col("d_start")).alias("size"), "d_start", "decl"))
+    return met.groupBy(file, key).agg(best.alias("b")).select(file, key, F.col("b.decl").alias("owner"))

@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 from tesserine.functions.text import tokens
 
 K1, B = 1.2, 0.75
+#: Folders that terms are dealt to, unless told otherwise.
 BUCKETS = 64
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build(docs: DataFrame, key: str, fields: Mapping[str, Column], path: str) -> None:
+def build(docs: DataFrame, key: str, fields: Mapping[str, Column], path: str, buckets: int = BUCKETS) -> None:
     """Write the index of the fields (text columns; null counts as empty) below ``path``.
 
     Each row's tokens are counted within the row; the rows of frequent terms are dealt to
@@ -35,9 +36,9 @@ def build(docs: DataFrame, key: str, fields: Mapping[str, Column], path: str) ->
     analysed = docs.select(F.col(key).alias("key"), F.array(*[F.struct(F.lit(name).alias("field"), tokens(F.coalesce(text, F.lit(""))).alias("tokens")) for name, text in fields.items()]).alias("f")).select("key", F.inline("f"))
     sized = analysed.withColumn("dl", F.size("tokens"))
     placed = sized.select("key", "field", "dl", F.posexplode("tokens").alias("at", "term"))
-    rows = placed.groupBy("key", "field", "term", "dl").agg(F.array_sort(F.collect_list("at")).alias("positions")).withColumn("tf", F.size("positions")).withColumn("bucket", _bucket(F.col("term")))
+    rows = placed.groupBy("key", "field", "term", "dl").agg(F.array_sort(F.collect_list("at")).alias("positions")).withColumn("tf", F.size("positions")).withColumn("bucket", _bucket(F.col("term"), buckets))
     rows.repartitionByRange("bucket", "field", "term", "key").sortWithinPartitions("bucket", "field", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/fields")
+    sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/fields")
     spark.read.parquet(f"{path}/postings").groupBy("bucket", "field", "term").agg(F.count("*").alias("df")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 
@@ -46,11 +47,15 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self.stats = {r.field: (r.n, r.avgdl) for r in spark.read.parquet(f"{path}/fields").collect()}  # one row a field
+        fields = spark.read.parquet(f"{path}/fields").collect()  # one row a field
+        self.stats = {r.field: (r.n, r.avgdl) for r in fields}
+        self.buckets = fields[0].buckets if fields else BUCKETS
+        self.postings = spark.read.parquet(f"{path}/postings")
 
     def _rows(self, table: str, field: str, terms: Sequence[str]) -> DataFrame:
-        numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect()]
-        return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("bucket").isin(numbers) & (F.col("field") == field) & F.col("term").isin(*terms))
+        numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), self.buckets)).distinct().collect()]
+        rows = self.postings if table == "postings" else self.spark.read.parquet(f"{self.path}/{table}")
+        return rows.where(F.col("bucket").isin(numbers) & (F.col("field") == field) & F.col("term").isin(*terms))
 
     def _idf(self, field: str, terms: Sequence[str]) -> dict[str, float]:
         """The weight of each term that occurs: one row a term of the query."""
@@ -62,7 +67,7 @@ class Index:
         return idf * tf / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(self.stats[field][1] or 1.0)))
 
     def _none(self) -> DataFrame:
-        return self.spark.createDataFrame([], "key long, score double")
+        return self.postings.limit(0).select("key", F.lit(0.0).alias("score"))
 
     def match(self, field: str, text: str | Sequence[str], boost: float = 1.0) -> DataFrame:
         """Sum over the terms of ``text`` that a field holds."""

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions.text import close_fences, lines, provenance_id, rerank_snippet, safe_truncate, strip
-from tesserine.operators import filtering, fusion, models, packs, postings, vectors
+from tesserine.operators import answers, filtering, fusion, models, packs, postings, vectors
 from tesserine.operators.models import Factory
+from tesserine.plans.staging import staged
 
 #: Sizes of the search: kNN and BM25 candidates, the constant of the fusion, hits a file, hits in all, hits with text.
 KNN, BM25, RRF, PER_FILE, TOP, WITH_TEXT = 50, 300, 60, 3, 16, 8
@@ -82,23 +83,22 @@ def answered(questions: DataFrame, recalled: DataFrame, filter_model: Factory, r
 
     questions: query, question. recalled: query, id, rank, retriever_score, repo_id, rel_path,
     start_line, end_line, language, text, summary_en, chunk_hash, primary_symbol, primary_kind,
-    all_roles. A question without a recalled chunk is told so, without a model.
+    all_roles. A question without a recalled chunk is told so, without a model. Each step is
+    written before the next reads it, so no model is asked twice about a row.
     """
-    chunks = recalled.where(F.col("rank") <= recall)
+    chunks = staged(recalled.where(F.col("rank") <= recall), "recalled")
     asked = chunks.join(questions, "query").withColumn("pair", F.concat_ws("\x1f", "query", F.col("id").cast("string")))
     prompt = filter_prompt(F.col("question"), F.col("rel_path"), F.col("start_line"), F.col("end_line"), F.col("language"), F.col("summary_en"), F.col("text"))
     scored = models.filter_scores(asked.withColumn("prompt", prompt), filter_model, key="pair").select("pair", "filter_score")
-    filtered = survivors(asked.join(scored, "pair").select("query", "id", "rank", "retriever_score", "filter_score"))
+    filtered = staged(survivors(staged(asked.join(scored, "pair").select("query", "id", "rank", "retriever_score", "filter_score"), "rated")), "filtered")
     scores = None
     if rerank_model is not None:
         text = rerank_snippet(F.col("rel_path"), F.col("start_line"), F.col("end_line"), F.col("summary_en"), F.col("language"), F.col("text"))
         pool = filtered.join(asked.drop("rank"), ["query", "id"]).select("query", "id", "rank", F.concat("question", F.lit("\n"), text).alias("pair_text"))
-        scores = models.rerank(pool, rerank_model, "query").select("query", "id", "rerank_score")
+        scores = staged(models.rerank(pool, rerank_model, "query").select("query", "id", "rerank_score"), "scores")
     shown = evidence_rows(filtered, scores, chunks.drop("rank", "retriever_score"), k)
-    evidence = packs.evidence(shown.drop("query_").withColumn("at", F.col("item")).drop("item"), "query", ["at"], k)
-    from tesserine.operators.answers import evidence_answers
-
-    replies = evidence_answers(questions, evidence, answer_model)
+    evidence = staged(packs.evidence(shown.withColumnRenamed("item", "at"), "query", ["at"], k), "evidence")
+    replies = answers.evidence_answers(questions, evidence, answer_model)
     counts = chunks.groupBy("query").agg(F.count("*").alias("recalled")).join(filtered.groupBy("query").agg(F.count("*").alias("kept")), "query", "left")
     out = questions.select("query").join(counts, "query", "left").join(replies.select("query", "answer"), "query", "left").join(evidence, "query", "left")
     return out.select("query", F.coalesce("answer", F.lit("No relevant chunks found to answer your question.")).alias("answer"), F.coalesce("recalled", F.lit(0)).alias("recalled"), F.coalesce("kept", F.lit(0)).alias("kept"), "evidence")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Names that are built in, so never imports.
+#: The codes and messages of the rules below, which callers compare, and names that are built in, so never imports.
 BUILTINS = ("error", "nil", "true", "false", "string", "int", "bool")
 HEADER = "go:file_header"
 

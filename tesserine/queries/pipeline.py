@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tesserine.functions import chunkers
 from tesserine.operators import gates, models, rules
 from tesserine.plans import ingest
-from tesserine.queries.registry import query, scratch, table
+from tesserine.plans.staging import scratch
+from tesserine.queries.registry import query, table
 from tesserine.streaming.upsert import UpsertLog
 
 _HITS = "SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents"

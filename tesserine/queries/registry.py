@@ -6,8 +6,6 @@ files, labels for filter decisions and events for cache entries.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
 from tesserine.operators import bm25, filtering, fusion, packs, postings, vectors
+from tesserine.plans.staging import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,17 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share; a local master may do without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.conf.get("spark.master", "").split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tesserine-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # BM25 --------------------------------------------------------------------------------------
 
 _INDEXES: dict[tuple[str, str], postings.Index] = {}
@@ -61,7 +49,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> postings.Index:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
         path = scratch(spark, "index")
-        postings.build(table(spark, sf_dir, "documents"), "doc_id", {"text": F.col("text"), "source": F.col("source"), "lang": F.col("lang")}, path)
+        postings.build(table(spark, sf_dir, "documents"), "doc_id", {"text": F.col("text"), "source": F.col("source"), "lang": F.col("lang")}, path, 8)
         _INDEXES[key] = postings.Index(spark, path)
     return _INDEXES[key]
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import names
 from tesserine.operators import evaluation, postings, repos
-from tesserine.queries.registry import QVEC, TERMS, bm25_sql, index_of, query, scratch, table
+from tesserine.plans.staging import scratch
+from tesserine.queries.registry import QVEC, TERMS, bm25_sql, index_of, query, table
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9_]+'), lambda t: length(t) > 0)".format
 _B = lambda terms, field="text", boost=1.0: f"SELECT doc_id, score * {boost} AS score FROM ({bm25_sql(terms, field, 15)})"
@@ -109,7 +110,7 @@ _PB = bm25_sql(("small", "economy", "brand", "2"), "{}", 15).replace("documents"
 def router_fielded(spark, sf_dir):
     """A router query over weighted fields, with parts for repositories."""
     path = scratch(spark, "router-index")
-    postings.build(table(spark, sf_dir, "part"), "p_partkey", {name: F.col(column) for name, (column, _) in _ROUTER.items()}, path)
+    postings.build(table(spark, sf_dir, "part"), "p_partkey", {name: F.col(column) for name, (column, _) in _ROUTER.items()}, path, 4)
     return postings.fielded(postings.Index(spark, path), "router_v2", "small economy brand#2").withColumnRenamed("key", "p_partkey")
 
 
