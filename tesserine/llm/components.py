@@ -11,9 +11,10 @@ from tesserine.llm.shared import stage
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges(a, b)``: root is the least node of its component.
 
-    Every round keeps at most as many edges as there were; minima are combined before the
-    shuffle, so a node with very many neighbours costs no task more. Rounds are written to
-    the shared folder.
+    Nodes are of any type that can be ordered. Every round keeps at most as many edges as there
+    were; minima are combined before the shuffle. The joins put a node's edges in one partition
+    of the shuffle, beside a single row, so adaptive execution can split it where a node has
+    very many. Rounds are written to the shared folder.
     """
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
