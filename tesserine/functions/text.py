@@ -72,11 +72,6 @@ def first_line(*texts: Column) -> Column:
     return F.coalesce(*[one(t) for t in texts], F.lit(""))
 
 
-def sections(**parts: Column) -> Column:
-    """Lines "label: value", empty values left out."""
-    return F.concat_ws("\n", *[F.when(F.length(v) > 0, F.concat(F.lit(f"{k}: "), v)) for k, v in parts.items()])
-
-
 def embedding_text(repo: Column, path: Column, lang: Column, symbol: Column, kind: Column, roles: Column, summary: Column, keywords: Column, doc_head: Column, text: Column) -> Column:
     """Labelled sections of a chunk for its embedding; roles, summary, keywords and signature are left out when empty. roles and keywords are arrays; nulls count as empty."""
     plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))

@@ -236,9 +236,8 @@ for _name, _sql, _build in (
     ("close_fences", "CASE WHEN len(regexp_extract_all(text, '```')) % 2 = 1 THEN text || chr(10) || '```' ELSE text END", lambda: T.close_fences(F.col("text"))),
     ("trim_code", "CASE WHEN length(text) > 1200 THEN substr(text, 1, 840) || chr(10) || '...' || chr(10) || right(text, 300) ELSE text END", lambda: T.trim_code(F.col("text"))),
     ("first_declaration_line", f"coalesce(list_filter(list_transform({_L}, lambda x: {_S.format('x')}), lambda x: length(x) > 0)[1], '')", lambda: T.first_line(F.col("text"))),
-    ("embedding_text", "concat_ws(chr(10), 'repo: ' || source, 'lang: ' || lang, 'code: ' || substr(text, 1, 100))", lambda: T.sections(repo=F.col("source"), lang=F.col("lang"), code=F.substring("text", 1, 100))),
     (
-        "composed_embedding_text",
+        "embedding_text",
         f"""'[repo]: ' || coalesce(source, '') || chr(10) || '[path]: ' || doc_id || chr(10) || '[lang]: ' || coalesce(lang, '') || chr(10) || '[symbol]:  ()'
             || coalesce(chr(10) || chr(10) || '[signature]:' || chr(10) || list_filter(list_transform({_L}, lambda x: {_S.format("x")}), lambda x: length(x) > 0)[1], '') || chr(10) || chr(10) || '[code]:' || chr(10)
             || CASE WHEN text IS NULL THEN '' WHEN length(text) > 1200 THEN substr(text, 1, 840) || chr(10) || '...' || chr(10) || right(text, 300) ELSE text END""",
@@ -323,25 +322,15 @@ def fixed_blocks(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT o_custkey AS file, o_orderkey AS key, (o_orderkey % 100)::INT AS start_line, (o_orderkey % 100 + 20)::INT AS end_line FROM orders),
-          b AS (SELECT o_custkey AS file, o_orderkey AS r_key, (o_orderkey % 90)::INT AS r_start, (o_orderkey % 90 + 30)::INT AS r_end FROM orders WHERE o_orderkey % 2 = 0),
+          b AS (SELECT o_custkey AS file, o_orderkey AS r_key, (o_orderkey % 90)::INT AS r_start, (o_orderkey % 90 + 30)::INT AS r_end FROM orders),
           j AS (SELECT a.file, key, r_key, least(end_line, r_end) - greatest(start_line, r_start) + 1 AS overlap FROM a JOIN b ON a.file = b.file AND r_start <= end_line AND r_end >= start_line)
           SELECT file, key, r_key, overlap FROM (SELECT *, row_number() OVER (PARTITION BY file, key ORDER BY overlap DESC, r_key) AS p FROM j) WHERE p = 1""")
 def line_overlap_best(spark, sf_dir):
-    """Interval join within a file: the range with the largest overlap. Right ranges are the even keys, as in the SQL."""
-    return _line_overlap(spark, sf_dir, "k % 2 = 0")
-
-
-@query(ORACLES["line_overlap_best"].replace(" FROM orders WHERE o_orderkey % 2 = 0", " FROM orders"))
-def line_overlap_best_all(spark, sf_dir):
-    """The same with every order as a right range."""
-    return _line_overlap(spark, sf_dir, "true")
-
-
-def _line_overlap(spark, sf_dir, right):
+    """Interval join within a file: the range with the largest overlap."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("k"))
     span = lambda m, w: ((F.col("k") % m).cast("int"), (F.col("k") % m + w).cast("int"))
     (a, b), (c, d) = span(100, 20), span(90, 30)
-    return packs.best_overlap(o.select("file", F.col("k").alias("key"), a.alias("start_line"), b.alias("end_line")), o.where(right).select("file", F.col("k").alias("r_key"), c.alias("r_start"), d.alias("r_end")), "file", "key")
+    return packs.best_overlap(o.select("file", F.col("k").alias("key"), a.alias("start_line"), b.alias("end_line")), o.select("file", F.col("k").alias("r_key"), c.alias("r_start"), d.alias("r_end")), "file", "key")
 
 
 @query("""WITH s AS (SELECT source, list(doc_id ORDER BY doc_id) FILTER (WHERE doc_id % 2 = 0) AS a, list(doc_id ORDER BY doc_id) FILTER (WHERE doc_id % 3 = 0) AS b FROM documents GROUP BY source)
@@ -386,18 +375,10 @@ def citation_ratio(spark, sf_dir):
     return per_turn.groupBy("conv_id").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).where("n > 0").select("conv_id", F.round(F.col("c") / F.col("n"), 9).alias("ratio"), (F.col("c") / F.col("n") >= 0.8).alias("valid"))
 
 
-@query("""SELECT conv_id, string_agg('[' || p || '] ' || role || ': ' || substr(text, 1, 60), chr(10) ORDER BY p) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE p <= 12 GROUP BY conv_id""")
-def evidence_block(spark, sf_dir):
-    """Numbered evidence, at most 12 items, in order."""
-    items = table(spark, sf_dir, "conversations").withColumn("p", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("p <= 12")
-    line = F.concat(F.lit("["), F.col("p").cast("string"), F.lit("] "), "role", F.lit(": "), F.substring("text", 1, 60))
-    return items.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("p", line.alias("line")))).alias("x")).select("conv_id", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("evidence"))
-
-
 @query(f"""SELECT conv_id, 'EVIDENCE' || chr(10) || '--------' || chr(10) || string_agg('[' || p || '] ' || conv_id || ' |  | L' || turn || '–' || turn || ' |  (/' || coalesce(role, 'n/a') || ')' || chr(10) || 'code:' || chr(10) || '```' || chr(10)
            || CASE WHEN length(code) > 10000 THEN substr(code, 1, 10000) || chr(10) || '// … trimmed due to size …' ELSE code END || chr(10) || '```' || chr(10), chr(10) ORDER BY p) AS evidence
            FROM (SELECT *, {_S.format("coalesce(text, '')")} AS code, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE p <= 12 GROUP BY conv_id""")
-def rendered_evidence(spark, sf_dir):
+def evidence_block(spark, sf_dir):
     """Evidence blocks over whole turns, at most 12 items: code up to 10,000 characters, then a mark."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     absent = {c: _none() for c in ("rel_path", "primary_symbol", "primary_kind", "summary_en", "language")}

@@ -21,7 +21,7 @@ def test_best_overlap_is_brute_force(spark):
 
 def test_odd_keys_are_ranges_too(spark, tmp_path):
     spark.createDataFrame([(1, 3), (1, 5), (2, 4)], "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {(r.file, r.key): r.r_key for r in registry.QUERIES["line_overlap_best_all"](spark, str(tmp_path)).collect()}
+    got = {(r.file, r.key): r.r_key for r in registry.QUERIES["line_overlap_best"](spark, str(tmp_path)).collect()}
     assert got == {(1, 3): 3, (1, 5): 3, (2, 4): 4}
 
 
