@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import bpe, chat, fingerprints, langid, mixing, mtree, neardup, sharding, shared, substrings, warc
+from tesserine.llm import bpe, chat, fingerprints, langid, mixing, mtree, neardup, packing, runs, sharding, shared, substrings, warc, whitening
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(docs, texts=False).withColumnRenamed("kept", "kept_sha256")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens; the other capacities are those that 1024 tokens imply."""
+    return packing.packed_documents(shared.read_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = shared.read_table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors.select("vec_id", whitening.integers(vectors["embedding"]).alias("x")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all texts; a tenth of the documents, by a hash of doc_id, is made periodic from some word on first."""
+    docs = shared.read_table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    docs = docs.withColumn("g", F.expr("h div 10")).withColumn("n", F.size("w").cast("long"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    rest = F.expr("slice(flatten(array_repeat(slice(w, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))")
+    edited = F.concat_ws(" ", F.expr("slice(w, 1, int(a))"), rest)
+    return runs.periodic_runs(docs.select("doc_id", F.when(F.col("a").isNotNull(), edited).otherwise(F.col("text")).alias("text")), texts=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_preference_pairs, op3_warc, op4_mixing, op5_order_minhash, op6_mtree_topk, op7_near_duplicates, op8_sharding, op9_bpe, op10_substring_dedup)
+    for f in (op1_language_id, op2_preference_pairs, op3_warc, op4_mixing, op5_order_minhash, op6_mtree_topk, op7_near_duplicates, op8_sharding, op9_bpe, op10_substring_dedup, op11_packing, op12_whitening, op13_periodic_runs)
 }
 
 _RENDER = "coalesce(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) FILTER ({}), '')"
