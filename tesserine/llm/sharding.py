@@ -3,7 +3,7 @@
 The key is a hash of the text, so equal texts share a range. A bounded sample of keys, drawn
 with a chance proportional to size, gives the boundaries of fine ranges. Exact sizes of the
 ranges show which are overfull: those are subdivided by key, and single keys that are
-overfull by themselves by doc_id. The resulting cells, in key order, are dealt to the shards
+overfull by themselves by doc_id and, among rows equal in both, by ordinal. The resulting cells, in key order, are dealt to the shards
 by exact cumulative size. Equal texts of up to 1 / (64 * shards) of all bytes are dealt as one,
 so they share a shard however many rows they are; only heavier ones may part. DataFrame functions only; the driver gets sums and boundaries.
 """
@@ -18,6 +18,8 @@ from tesserine.llm import shared
 RANGES_LOG2 = 8
 #: Expected number of sampled keys.
 SAMPLE = 16384
+#: Equal rows made from one count at once.
+COPIES = 4096
 
 
 def _unit(*columns: Column) -> Column:
@@ -33,12 +35,21 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return found
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with an ordinal from 0 among equal rows: they are counted, and dealt anew from their count in bounded parts."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))))
+    chunks = chunks.repartition("key", "doc_id", "chunk")
+    last = F.least(F.col("copies"), (F.col("chunk") + 1) * COPIES) - 1
+    return chunks.withColumn("ordinal", F.explode(F.sequence(F.col("chunk") * COPIES, last))).drop("copies", "chunk")
+
+
 def shard(docs: DataFrame, shards: int = 8, row_limit: int = 100_000, seed: int = 11) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document.
 
     The law is ``bytes``: shards hold nearly equal sums of size, the text's UTF-8 bytes plus 1.
     Equal texts share a shard, unless together they hold more than 1 / (64 * shards) of all
-    bytes: those are dealt by doc_id. ``row_limit`` bounds the rows that one task numbers, and
+    bytes: those are dealt by doc_id, and rows of equal doc_id by ordinal. ``row_limit`` bounds the rows that one task numbers, and
     moves no row. Null text has no bytes and CRC 0, and counts as equal to empty text. slot
     numbers a shard's rows from 0 without gaps, ties by doc_id, null first. Null and repeated
     doc_ids are rows like others. Other columns are left out. An empty table gives no rows.
@@ -63,8 +74,9 @@ def shard(docs: DataFrame, shards: int = 8, row_limit: int = 100_000, seed: int
     light = by_key.join(heavy.select("key", F.lit(1).alias("is_heavy")), "key", "left").where("is_heavy IS NULL").groupBy("range").agg(parts(F.sum("b"), F.sum("r")).alias("range_parts"))
     small = lambda df: F.broadcast(df) if df.count() <= shared.BROADCAST_ROWS // 4 else df
     cells = ranged.join(small(heavy.drop("range")), "key", "left").join(F.broadcast(light), "range", "left")  # light: 2**RANGES_LOG2 rows at most
+    cells = _numbered(cells.where("key_parts IS NOT NULL")).unionByName(cells.where("key_parts IS NULL").withColumn("ordinal", F.lit(0).cast("long")))
     cells = cells.withColumn("heavy_key", F.when(F.col("key_parts").isNotNull(), F.col("key"))).withColumn(
-        "part", F.when(F.col("key_parts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(seed)), "key_parts")).otherwise(F.pmod(F.xxhash64("key", F.lit(seed)), "range_parts"))
+        "part", F.when(F.col("key_parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "ordinal", F.lit(seed)), "key_parts")).otherwise(F.pmod(F.xxhash64("key", F.lit(seed)), "range_parts"))
     )
     together = F.col("key_parts").isNotNull() & ~F.col("parted")
     cells = cells.select("doc_id", "size", "text_crc32", "key", "range", F.coalesce("heavy_key", F.lit(-(1 << 63))).alias("heavy_key"), "part", F.when(together, F.lit(-1)).otherwise(F.col("part")).alias("unit"))

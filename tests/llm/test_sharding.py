@@ -44,3 +44,20 @@ def test_reruns_agree(spark):
     docs = spark.createDataFrame([(*r, "x", "x") for r in rows()[:500]], SCHEMA)
     one, two = (sorted(map(str, sharding.shard(docs.repartition(n)).collect())) for n in (2, 5))
     assert one == two
+
+
+def test_equal_rows_are_dealt_by_ordinal(spark):
+    """One row that repeats until it holds four fifths of all bytes, with a null id, and many cheap copies of another."""
+    data = [(None, "r" * 99)] * 5000 + [(i, "t" * (i % 60)) for i in range(1500)] + [(8, None)] * 3000
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for parts, limit in ((3, 100_000), (7, 200)):
+        got = sharding.shard(docs.repartition(parts), row_limit=limit).collect()
+        load, slots = Counter(), defaultdict(list)
+        for r in got:
+            load[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r.slot)
+        assert len(got) == len(data) and sum(r["size"] == 100 for r in got) >= 5000
+        assert sorted(load) == list(range(8)) and max(load.values()) - min(load.values()) <= sum(load.values()) / 8 / 16
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    one, two = (sorted(map(str, sharding.shard(docs.repartition(n)).collect())) for n in (2, 5))
+    assert one == two
