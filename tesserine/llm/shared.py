@@ -101,3 +101,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that other columns can't clash with an operator's own."""
     return df.select(*[df[n] for n in names])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no column so named (case aside), for an operator's own columns beside others."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out

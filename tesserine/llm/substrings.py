@@ -6,20 +6,24 @@ equal places meet in the same block, and neighbours of equal route travel as one
 their words. A document needs to be parsed only against the blocks that its own passages are
 routed to: no other block can hold a match of a window's length.
 
-In a block the reference is made of the first occurrence of each window, by doc_id and place; a
-window occurs once in it. Passages are factored from left to right: where the window at a
-place occurs in the reference in a smaller doc_id, a phrase (reference document, position,
-length) begins there and takes further words as long as they equal the reference's next words.
-At its end the window that straddles the border is looked up again, so no covered word is
+In a block the reference is made of all passages routed there, indexed by the first occurrence
+of each window, by doc_id and place. Passages are factored greedily from left to right: where
+the window at a place occurs in the reference in a smaller doc_id, a phrase (reference document,
+position, length) begins at its first occurrence and takes further words as long as they equal
+the reference's next words, even where these words have another, earlier occurrence. It is the
+longest match with that occurrence, not the longest of all occurrences: which words are covered
+is the same. At its end the window that straddles the border is looked up, so no covered word is
 missed between two phrases; a window without a match is a literal and the parse goes on with
-the next. Words are compared as integers of the block's exact dictionary of words; hashes only
-propose candidates.
+the next. A phrase has ``window`` words at least and so is always a duplicate span. Words are
+compared as integers of the block's exact dictionary of words; hashes only propose candidates.
 
 Before the shuffle each piece of input is parsed against itself in the same way; only places
 not settled there travel. Blocks whose passages are too many for one task (a run of words that
 is very frequent, or a passage that very many pieces hold) are split by piece, parsed, and what
 is not settled in a part is routed again by the whole window, so equal windows meet once more:
-at most one copy from each part.
+one copy from each part and doc_id. Further copies of one doc_id (a passage that repeats within a
+document, or in many rows of null id) stay behind as echoes and take over what is found for the
+copy that was sent. Rows equal in doc_id and text are parsed once.
 """
 
 from __future__ import annotations
@@ -42,7 +46,11 @@ from tesserine.llm.words import SPACE, grams, mix
 _NO_ID = -(1 << 63)
 _ROUTED = "block long, piece long, payload binary"
 _PHRASES = ["doc_id", "row", "start", "n", "ref_doc", "ref_start"]
-_PARSED_NAMES = [*_PHRASES, "block", "route", "payload"]
+_PARSED_NAMES = [*_PHRASES, "kind", "block", "route", "payload"]
+#: Kinds of parsed rows: a phrase; an echo of another place of the doc_id (ref_doc is then the row, ref_start the place of that one); windows routed again.
+_PHRASE, _ECHO, _AGAIN = 0, 1, 2
+#: Windows of one bucket in the join of echoes.
+_BUCKET = 64
 _PARSED = ", ".join(f"{c} {'binary' if c == 'payload' else 'long'}" for c in _PARSED_NAMES)
 _BREAK = re.compile(rb"[\x20\x09-\x0d]")
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -116,6 +124,17 @@ class Passages:
             first[odd] = odd[lead[which.ravel()]]
         return first
 
+    def _reach(self, a: int, b: int, most: int) -> int:
+        """How many words from places a and b on are equal, up to ``most``."""
+        done, step = 0, 64
+        while done < most:
+            n = min(step, most - done)
+            odd = np.flatnonzero(self.ids[a + done : a + done + n] != self.ids[b + done : b + done + n])
+            if len(odd):
+                return done + int(odd[0])
+            done, step = done + n, 2 * step
+        return most
+
     def phrases(self, first: np.ndarray) -> tuple[np.ndarray, tuple]:
         """(whether a window is settled, (doc, row, start, n, ref_doc, ref_start) of the phrases, n in windows)."""
         doc = self.doc[self.passage]
@@ -127,10 +146,45 @@ class Passages:
         own, ref = self.at[w], self.at[first[w]]
         begin = np.flatnonzero(np.append(True, (own[1:] != own[:-1] + 1) | (ref[1:] != ref[:-1] + 1)))
         n = np.diff(np.append(begin, len(w)))
+        begin, n = self._greedy(w, first, begin, n)
         w = w[begin]
         lead = first[w]
         return settled, (self.doc[self.passage[w]], self.row[self.passage[w]], self.place(w), n, self.doc[self.passage[lead]], self.place(lead))
 
+    def _greedy(self, w: np.ndarray, first: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin where another ends, drawn out as far as the reference of each goes on."""
+        linked = np.append(self.at[w[begin[1:]]] == self.at[w[begin[:-1]]] + n[:-1], False)
+        if not linked.any():
+            return begin, n
+        heads = np.flatnonzero(~np.append(False, linked[:-1]))  # of stretches of settled windows
+        alone = ~linked[heads]
+        starts, sizes = [begin[heads[alone]]], [n[heads[alone]]]
+        ends = np.append(begin, len(w))[np.append(heads[1:], len(begin))]
+        for at, end in zip(begin[heads[~alone]].tolist(), ends[~alone].tolist(), strict=True):
+            some, counts = [], []
+            while at < end:
+                lead = int(first[w[at]])
+                a, b, p = int(self.at[w[at]]), int(self.at[lead]), int(self.passage[lead])
+                most = min(end - at + self.window - 1, int(self.first[p] + self.length[p]) - b)
+                some.append(at)
+                counts.append(self._reach(a, b, most) - self.window + 1)
+                at += counts[-1]
+            starts.append(np.array(some))
+            sizes.append(np.array(counts))
+        begin, n = np.concatenate(starts), np.concatenate(sizes)
+        order = np.argsort(begin, kind="stable")
+        return begin[order], n[order]
+
+    def echoes(self, first: np.ndarray, chosen: np.ndarray) -> tuple:
+        """(doc, row, start, n, row of the first copy, its place) of chosen windows, which their document also holds before; neighbours together."""
+        w = np.flatnonzero(chosen)
+        own, ref = self.at[w], self.at[first[w]]
+        begin = np.flatnonzero(np.append(True, (own[1:] != own[:-1] + 1) | (ref[1:] != ref[:-1] + 1))) if len(w) else w
+        n = np.diff(np.append(begin, len(w)))
+        w = w[begin]
+        lead = first[w]
+        return self.doc[self.passage[w]], self.row[self.passage[w]], self.place(w), n, self.row[self.passage[lead]], self.place(lead)
+
     def word_hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same in every piece and block."""
         known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.vocabulary.to_pylist()), np.uint64, len(self.vocabulary))
@@ -264,6 +318,7 @@ def _parse(window: int):
         block, parts = table.column("block")[0].as_py(), table.column("parts")[0].as_py()
         numbers, texts = zip(*map(_unpacked, table.column("payload").to_pylist()), strict=True)
         again: list[tuple[int, bytes]] = []
+        echoes = [np.zeros(0, np.int64)] * 6
         if block < 0:
             found = [np.concatenate(x) for x in zip(*numbers, strict=True)]
         else:
@@ -274,29 +329,45 @@ def _parse(window: int):
             first = np.cumsum(length) - length
             text = b"".join([text[a:b] for a, b in zip(ends[first[order]].tolist(), ends[(first + length)[order]].tolist(), strict=True)])
             p = Passages(text, doc[order], row[order], start[order], length[order], window)
-            settled, found = p.phrases(p.first_equal())
+            first = p.first_equal()
+            settled, found = p.phrases(first)
             if parts > 1:
                 whole = mix(grams(p.word_hashes(), window))[p.at]
-                again = list(p.routed(~settled, (whole % np.uint64(4 * parts)).astype(np.int64)))
-        n, more = len(found[0]), len(again)
-        columns = [pa.array(np.append(x, np.zeros(more, np.int64)), pa.int64()) for x in found]
-        columns += [pa.array(np.full(n + more, block, np.int64)), pa.array([0] * n + [r for r, _ in again], pa.int64()), pa.array([None] * n + [x for _, x in again], pa.binary())]
+                lead = first == np.arange(len(first))
+                again = list(p.routed(~settled & lead, (whole % np.uint64(4 * parts)).astype(np.int64)))
+                echoes = p.echoes(first, ~settled & ~lead)
+        n, m, more = len(found[0]), len(echoes[0]), len(again)
+        columns = [pa.array(np.concatenate([x, y, np.zeros(more, np.int64)]), pa.int64()) for x, y in zip(found, echoes, strict=True)]
+        columns.append(pa.array(np.repeat([_PHRASE, _ECHO, _AGAIN], [n, m, more]), pa.int64()))
+        columns += [pa.array(np.full(n + m + more, block, np.int64)), pa.array([0] * (n + m) + [r for r, _ in again], pa.int64()), pa.array([None] * (n + m) + [x for _, x in again], pa.binary())]
         shared.release()
         return pa.table(columns, _PARSED_NAMES)
 
     return run
 
 
+def _distinct(docs: DataFrame) -> DataFrame:
+    """One row of those equal in doc_id and row; only texts that repeat are shuffled."""
+    repeated = shared.stage(docs.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("row").alias("key")), "repeated")
+    n = repeated.count()
+    if not n:
+        return docs
+    if n <= shared.BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    same = (F.col("doc_id") == F.col("id")) & (F.col("row") == F.col("key"))
+    return docs.join(repeated, same, "left_anti").unionByName(docs.join(repeated, same, "left_semi").groupBy("doc_id", "row").agg(F.max("text").alias("text")))
+
+
 def phrases(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES, share: float = SIZED_SHARE) -> DataFrame:
     """The phrases of the parse: (doc_id, row, start, n, ref_doc, ref_start).
 
-    docs: doc_id (not null), row (a key of the row), text. The n windows of a document from its
+    docs: doc_id (not null), row (a key of the text), text. The n windows of a document from its
     word ``start`` on equal those of the document ``ref_doc``, a smaller doc_id, from its word
     ``ref_start`` on: n + window - 1 words. Every window that an earlier document holds lies in
     a phrase; windows that only repeat within one doc_id lie in none. Words longer than
     LONG_WORD bytes are compared by SHA-256.
     """
-    docs = docs.select("doc_id", "row", "text")
+    docs = _distinct(docs.select("doc_id", "row", "text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(64, total // block_bytes)
     limit = 12 * block_bytes  # four times what a block is meant for
@@ -314,9 +385,26 @@ def phrases(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, p
     if not n_hot:
         return first.select(*_PHRASES)
     first = shared.stage(first, "parsed")
-    left = first.where("payload IS NOT NULL").select("block", "route", F.lit(1).cast("long").alias("parts"), "payload")
-    second = left.groupBy("block", "route").applyInArrow(_parse(window), _PARSED)
-    return first.where("payload IS NULL").select(*_PHRASES).unionByName(second.select(*_PHRASES))
+    left = first.where(F.col("kind") == _AGAIN).select("block", "route", F.lit(1).cast("long").alias("parts"), "payload")
+    second = left.groupBy("block", "route").applyInArrow(_parse(window), _PARSED).select(*_PHRASES)
+    out = first.where(F.col("kind") == _PHRASE).select(*_PHRASES)
+    echoes = first.where(F.col("kind") == _ECHO)
+    if echoes.isEmpty():
+        return out.unionByName(second)
+    second = shared.stage(second, "settled")
+    return out.unionByName(second).unionByName(_echoed(echoes.select(*_PHRASES), second))
+
+
+def _echoed(echoes: DataFrame, settled: DataFrame) -> DataFrame:
+    """The phrases of echoes: where the copy that they repeat is settled, in pieces of a bucket of windows. Both sides are cut at buckets, so only pieces that overlap meet."""
+    buckets = lambda start: F.explode(F.sequence(F.expr(f"{start} div {_BUCKET}"), F.expr(f"({start} + n - 1) div {_BUCKET}")))
+    left = echoes.withColumn("bucket", buckets("ref_start")).alias("e")
+    right = settled.withColumn("bucket", buckets("start")).alias("s")
+    same = "e.doc_id = s.doc_id AND e.ref_doc = s.row AND e.bucket = s.bucket AND s.start < e.ref_start + e.n AND e.ref_start < s.start + s.n"
+    begin = F.greatest(F.col("e.ref_start"), F.col("s.start"), F.col("e.bucket") * _BUCKET)
+    end = F.least(F.expr("e.ref_start + e.n"), F.expr("s.start + s.n"), (F.col("e.bucket") + 1) * _BUCKET)
+    cut = left.join(right, F.expr(same)).withColumn("begin", begin).withColumn("n_cut", end - begin).where("n_cut > 0")
+    return cut.selectExpr("e.doc_id", "e.row", "e.start + (begin - e.ref_start) AS start", "n_cut AS n", "s.ref_doc", "s.ref_start + (begin - s.start) AS ref_start")
 
 
 def _merged(window: int):
@@ -392,11 +480,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, texts: bool = True, **opt
     An empty table gives no rows.
     """
     shared.bounded_batches(docs.sparkSession)
-    docs = docs.drop("n_words", "n_removed", "kept", "spans", "__key", "__row")
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("__row", F.xxhash64("text"))
-    spans = duplicate_spans(keyed.select(F.col("__key").alias("doc_id"), F.col("__row").alias("row"), "text"), window, **options)
-    spans = shared.stage(spans, "spans").select(F.col("doc_id").alias("__found"), F.col("row").alias("__text"), "spans")
-    joined = keyed.join(spans, (F.col("__key") == F.col("__found")) & (F.col("__row") == F.col("__text")), "left").drop("__key", "__row", "__found", "__text")
+    docs = docs.drop("n_words", "n_removed", "kept", "spans")
+    key, row, found, text = shared.unused(docs, "key", "row", "found_key", "found_row")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(row, F.xxhash64("text"))
+    spans = duplicate_spans(keyed.select(F.col(key).alias("doc_id"), F.col(row).alias("row"), "text"), window, **options)
+    spans = shared.stage(spans, "spans").select(F.col("doc_id").alias(found), F.col("row").alias(text), "spans")
+    joined = keyed.join(spans, (F.col(key) == F.col(found)) & (F.col(row) == F.col(text)), "left").drop(key, row, found, text)
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", n_words long, n_removed long, kept string"
     return joined.mapInArrow(_cut(texts), schema)

@@ -65,3 +65,36 @@ def test_equality_is_by_words(monkeypatch):
     assert p.first_equal().tolist() == [0, 1, 2, 3, 0, 1]
     settled, found = p.phrases(p.first_equal())
     assert settled.tolist() == [False] * 4 + [True] * 2 and [x.tolist() for x in found] == [[2], [2], [0], [2], [0], [0]]
+
+
+def test_extra_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows()], "doc_id long, text string, __found int, __text int, Key int, found_key int")
+    got = substrings.substring_dedup(docs)
+    assert got.columns == ["doc_id", "__found", "__text", "Key", "found_key", "n_words", "n_removed", "kept"]
+    assert sorted([(str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got.collect()], key=str) == brute(rows())
+
+
+def test_rows_of_null_id(spark):
+    """Copies of one text, and one passage in many different texts, all of null id; then documents that hold the passage too."""
+    draw = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    some = lambda n: " ".join(f"w{draw.randrange(3000)}" for _ in range(n))
+    data = [(4, passage + " once " + passage), (2, some(5))] + [(7, f"{some(3)} {passage} {some(4)} {passage} x") for _ in range(200)] + [(None, "same row " + some(30))] * 20_000
+    data += [(i, some(9) + " " + passage) for i in range(20, 40)]
+    expected = brute(data)
+    for options in ({}, {"block_bytes": 300, "piece_bytes": 2000, "share": 1.0}):
+        got = substrings.substring_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(6), **options)
+        assert sorted([(str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got.collect()], key=str) == expected
+
+
+def test_phrases_go_on_with_their_reference():
+    """The second half of the reference also stands in an earlier document: the phrase isn't cut there."""
+    a = [f"a{i}" for i in range(40)]
+    docs = [a[20:] + ["x"], a + ["y"], ["z", *a, "q"]]
+    number = np.arange(3)
+    text = "".join(w + " " for d in docs for w in d).encode()
+    p = substrings.Passages(text, number, number, np.zeros(3, np.int64), np.array([len(d) for d in docs]), 13)
+    first = p.first_equal()
+    settled, (doc, _, start, n, ref, ref_start) = p.phrases(first)
+    assert list(zip(doc.tolist(), start.tolist(), n.tolist(), ref.tolist(), ref_start.tolist(), strict=True)) == [(1, 20, 8, 0, 0), (2, 1, 28, 1, 0)]
+    assert settled.sum() == 8 + 28
