@@ -1,93 +1,23 @@
 """Chunks and declarations of source text: one row in, an array of structs out.
 
-Parsers for the languages aren't available, so declarations are found by line patterns and an
-account of open blocks. The scan is linear and keeps state from line to line, which built-in
-expressions can't; it runs in Arrow batches.
+Parsers for the languages aren't available, so declarations are found by a walk over tokens
+(``lexer``). The walk is linear and keeps state from token to token, which built-in expressions
+can't; it runs in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_JS = r"(?:import\b|export\b|(?:abstract\s+)?class\s|(?:async\s+)?function\b|(?:const|let|var)\s+[\w$]+\s*(?::[^=]*)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]*)?=>)"
-_PHP = r"(?:namespace\s|(?:abstract\s+|final\s+)?class\s|(?:(?:public|protected|private|static|final|abstract)\s+)*function\b|interface\s|trait\s)"
-#: Lines that begin a declaration, after their indent.
-DECLARATION = {
-    "py": r"(?:import\s|class\s|(?:async\s+)?def\s)",
-    "css": r"(?:[a-z][\w-]*(?=[^;]*\{)|@media\b)",
-    "js": _JS,
-    "ts": _JS[:-1] + r"|interface\s|type\s+\w+)",
-    "php": _PHP,
-    "rb": r"(?:class\s|module\s|def\s|begin\b)",
-    "go": r"(?:package\s|import\b|func\b|type\b)",
-}
-#: Lines that open a function, whose inner declarations don't count.
-FUNCTION = {"py": r"(?:async\s+)?def\s", "js": r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b|.*=>", "php": r".*\bfunction\b", "rb": r"def\s", "go": r"func\b", "css": r"(?!)"}
-#: First lines of comments and decorators.
-COMMENT = {"py": r"(?:#|@)", "css": r"/\*", "js": r"(?://|/\*|@)", "php": r"(?://|/\*|#)", "rb": r"#", "go": r"(?://|/\*)"}
-for _table in (FUNCTION, COMMENT):
-    _table["ts"] = _table["js"]
-_ALIASES = {"jsx": "js", "tsx": "ts"}
-_TOKENS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|[{}\n]", re.S)
+from tesserine.functions import lexer
 
 CHUNKS = "array<struct<chunk_number:int,start_line:int,end_line:int,text:string>>"
-DECLARATIONS = "array<struct<kind:string,name:string,receiver:string,type_name:string,type_kind:string,start_line:int,end_line:int,start_byte:int,end_byte:int>>"
-
-
-def _inner_lines_braces(text: str, lines: list[str], opens_function: re.Pattern) -> set[int]:
-    """Lines that begin within the braces of a function."""
-    inner, stack, depth, line = set(), [], 0, 0
-    for m in _TOKENS.finditer(text):
-        token = m[0]
-        if token == "{":
-            function = bool(opens_function.match(lines[line].lstrip()))
-            stack.append(function)
-            depth += function
-        elif token == "}":
-            if stack:
-                depth -= stack.pop()
-        else:
-            for _ in range(token.count("\n")):
-                line += 1
-                if depth:
-                    inner.add(line)
-    return inner
-
-
-def _inner_lines_indent(lines: list[str], opens_function: re.Pattern) -> set[int]:
-    """Lines indented deeper than a function that is still open."""
-    inner, open_at = set(), None
-    for i, line in enumerate(lines):
-        body = line.lstrip()
-        if not body:
-            continue
-        indent = len(line) - len(body)
-        if open_at is not None and indent > open_at:
-            inner.add(i)
-            continue
-        open_at = indent if opens_function.match(body) else None
-    return inner
-
-
-def breakpoints(text: str, ext: str) -> tuple[list[int], set[int]]:
-    """Lines (from 0) of declarations that stand in no function, and lines where a comment begins."""
-    ext = _ALIASES.get(ext, ext)
-    lines = text.split("\n")
-    declares, comments, function = (re.compile(t[ext]) for t in (DECLARATION, COMMENT, FUNCTION))
-    inner = _inner_lines_indent(lines, function) if ext in ("py", "rb") else _inner_lines_braces(text, lines, function)
-    top_only = ext in ("go", "css", "js", "ts")
-    found, remarks = [], set()
-    for i, line in enumerate(lines):
-        body = line.lstrip()
-        if comments.match(body):
-            remarks.add(i)
-        elif i not in inner and not (top_only and body != line) and declares.match(body):
-            found.append(i)
-    return found, remarks
+DECLARATIONS = "array<struct<kind:string,name:string,receiver:string,receiver_text:string,type_name:string,type_kind:string,start_line:int,end_line:int,start_byte:int,end_byte:int>>"
 
 
 def chunk_lines(text: str, ext: str) -> list[tuple[int, int, int, str]]:
@@ -98,7 +28,7 @@ def chunk_lines(text: str, ext: str) -> list[tuple[int, int, int, str]]:
     without patterns, is one chunk.
     """
     lines = text.split("\n")
-    found, remarks = breakpoints(text, ext) if _ALIASES.get(ext, ext) in DECLARATION else ([], set())
+    found, remarks = lexer.points(text, ext) if ext in lexer.LANGUAGES else ([], set())
     cuts = set()
     for line in found:
         above = line
@@ -121,58 +51,31 @@ def code_chunks(text: Column, ext: Column) -> Column:
     return F.pandas_udf(_chunks, CHUNKS)(text, ext)
 
 
-_FUNC = re.compile(r"func\s*(?:\(\s*(?:\w+\s+)?(\*?)([\w.]+)(?:\[[^\]]*\])?\s*\)\s*)?(\w+)")
-_TYPE = re.compile(r"\s*(\w+)(?:\[[^\]]*\])?\s*(=?)\s*(struct\b|interface\b|func\b|map\b|\S+)?")
-
-
-def _end_of_block(text: str, start: int) -> int:
-    """Offset past the block that the declaration at ``start`` opens; past its line if it opens none."""
-    depth = 0
-    for m in _TOKENS.finditer(text, start):
-        if m[0] == "{":
-            depth += 1
-        elif m[0] == "}":
-            depth -= 1
-            if depth <= 0:
-                return m.end()
-        elif m[0] == "\n" and depth == 0:
-            return m.start()
-    return len(text)
+def byte_offsets(text: str, places: Iterable[int]) -> dict[int, int]:
+    """Offsets in UTF-8 bytes of places in characters, in one pass."""
+    out, last, size = {}, 0, 0
+    for at in sorted(set(places)):
+        size += len(text[last:at].encode())
+        out[at], last = size, at
+    return out
 
 
 def go_declarations(text: str) -> list[dict]:
-    """Functions, methods and types of a Go file with their spans; every type of a group has its own row."""
-    out = []
+    """Functions, methods and types of a Go file with their spans; every type of a group has its own row.
 
-    def add(kind, name, receiver, type_kind, start, end):
-        out.append({
-            "kind": kind, "name": name, "receiver": receiver, "type_name": name if kind == "type" else (receiver or "").lstrip("*") or None, "type_kind": type_kind,
-            "start_line": text.count("\n", 0, start) + 1, "end_line": text.count("\n", 0, end) + 1, "start_byte": len(text[:start].encode()), "end_byte": len(text[:end].encode()),
-        })
-
-    def add_type(start):
-        m = _TYPE.match(text, start)
-        if not m:
-            return start + 1
-        end = _end_of_block(text, start)
-        kind = m[3] if m[3] in ("struct", "interface", "func", "map") else "alias"
-        add("type", m[1], None, kind, m.start(1), end)
-        return end
-
-    for m in re.finditer(r"^(func|type)\b", text, re.M):
-        start = m.start()
-        if m[1] == "func" and (f := _FUNC.match(text, start)):
-            receiver = (f[1] or "") + f[2] if f[2] else None
-            add("method" if receiver else "function", f[3], receiver, None, start, _end_of_block(text, start))
-        elif m[1] == "type":
-            group = re.compile(r"type\s*\(").match(text, start)
-            if not group:
-                add_type(m.end())
-                continue
-            at = group.end()
-            while at < len(text) and (spec := re.compile(r"(?:\s|//[^\n]*\n|/\*.*?\*/)*", re.S).match(text, at)) and not text.startswith(")", spec.end()) and spec.end() < len(text):
-                at = add_type(spec.end())
-    return out
+    receiver is the receiver's type with its pointer (``*T``), receiver_text what stands in the
+    parentheses. type_kind is struct, interface or alias (of a named type), null for others.
+    """
+    found = lexer.go_declarations(text)
+    size = byte_offsets(text, [x for d in found for x in (d.start, d.end)])
+    pointer = lambda d: ("*" if "*" in d.receiver else "") + re.sub(r"\[.*", "", d.receiver, flags=re.S).split()[-1].lstrip("*")
+    return [
+        {
+            "kind": d.kind, "name": d.name, "receiver": pointer(d) if d.receiver else None, "receiver_text": d.receiver, "type_name": d.type_name, "type_kind": d.type_kind,
+            "start_line": d.start_line, "end_line": d.end_line, "start_byte": size[d.start], "end_byte": size[d.end],
+        }
+        for d in found
+    ]
 
 
 def _go(text: pd.Series) -> pd.Series:
@@ -231,7 +134,7 @@ def bounded_chunks(text: str, ext: str, limit: int, count=count_tokens) -> list[
     Where there is none since the chunk began, it runs over the limit to the next one. Blank chunks are dropped.
     """
     lines = text.split("\n")
-    found, remarks = breakpoints(text, ext) if _ALIASES.get(ext, ext) in DECLARATION else ([], set())
+    found, remarks = lexer.points(text, ext) if ext in lexer.LANGUAGES else ([], set())
     cuts = set()
     for line in found:
         above = line
@@ -274,8 +177,46 @@ def line_range(text: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(F.split(text, "\n", -1), start, F.greatest(end - start + 1, F.lit(0))), "\n")
 
 
-#: Beginnings of lines that start a block of their own.
+#: Beginnings of lines that start a block of their own.
 STARTS = ("if ", "else", "switch", "case", "for ", "range", "defer", "go func", "select")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+
+
+def _logical_end(lines: list[str], at: int) -> int:
+    """Where a part that begins at line ``at`` ends: after 15 lines, or within its lines 5 to 25 after the first closing brace that other code follows, else before the last line that starts a block."""
+    end = min(at + 15, len(lines))
+    for i in range(at + 5, min(at + 25, len(lines))):
+        line, after = lines[i].strip(), lines[i + 1].strip() if i + 1 < len(lines) else ""
+        if line == "}" and after and not after.startswith("}"):
+            return i + 1
+        if line.startswith(STARTS):
+            end = i
+    return end
+
+
+def logical_parts(text: str, limit: int, first_line: int = 1, count=count_tokens) -> list[tuple[int, int, str]]:
+    """(start_line, end_line, text) of the parts of a text, none over ``limit`` tokens; a text within it is one part.
+
+    A part ends at a logical line, or earlier where the limit is reached. A single line over the
+    limit is cut between tokens, into parts of the same line. Blank parts are left out.
+    """
+    lines = text.split("\n")
+    if count(text) <= limit:
+        return [(first_line, first_line + len(lines) - 1, text)]
+    parts, at = [], 0
+    while at < len(lines):
+        end = _logical_end(lines, at)
+        while end > at + 1 and count("\n".join(lines[at:end])) > limit:
+            end -= 1
+        part = "\n".join(lines[at:end])
+        if count(part) <= limit:
+            pieces = [part]
+        else:
+            cuts = [0, *[m.start() for m in _TOKEN.finditer(part)][limit::limit], len(part)] if limit > 0 else [0, len(part)]
+            pieces = [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        parts += [(first_line + at, first_line + end - 1, x) for x in pieces if x.strip()]
+        at = end
+    return parts
 
 
 def split_body(text: str, limit: int, count=count_tokens) -> list[tuple[int, int, str]]:
@@ -301,3 +242,70 @@ def split_body(text: str, limit: int, count=count_tokens) -> list[tuple[int, int
         parts.append((at + 1, end, "\n".join(lines[at:end])))
         at = end
     return [p for p in parts if p[2].strip()]
+
+
+def packed_chunks(text: str, ext: str, limit: int, count=count_tokens) -> list[tuple[int, int, int, str]]:
+    """(chunk_number, start_line, end_line, text): neighbouring declarations are merged up to ``limit`` tokens; one that is larger is split at logical lines.
+
+    What precedes the first declaration and what follows the last one belong to the chunks too.
+    """
+    lines = text.split("\n")
+    found, remarks = lexer.points(text, ext) if ext in lexer.LANGUAGES else ([], set())
+    cuts = set()
+    for line in found:
+        while line - 1 in remarks:
+            line -= 1
+        cuts.add(line)
+    bounds = [0, *sorted(cuts - {0}), len(lines)]
+    units = [(a, b, count("\n".join(lines[a:b]))) for a, b in zip(bounds, bounds[1:], strict=False)]
+    merged: list[list[int]] = []
+    for a, b, size in units:
+        if merged and merged[-1][2] + size <= limit:
+            merged[-1][1], merged[-1][2] = b, merged[-1][2] + size
+        else:
+            merged.append([a, b, size])
+    out = [p for a, b, _ in merged for p in logical_parts("\n".join(lines[a:b]), limit, a + 1, count)]
+    return [(n, *p) for n, p in enumerate((p for p in out if p[2].strip()), 1)]
+
+
+def packed_code_chunks(text: Column, ext: Column, limit: int) -> Column:
+    """Array of (chunk_number, start_line, end_line, text), none over ``limit`` tokens. Null text counts as empty."""
+
+    def run(texts: pd.Series, exts: pd.Series) -> pd.Series:
+        names = ("chunk_number", "start_line", "end_line", "text")
+        return pd.Series([[dict(zip(names, c, strict=True)) for c in packed_chunks(t or "", e or "", limit)] for t, e in zip(texts, exts, strict=True)])
+
+    return F.pandas_udf(run, CHUNKS)(text, ext)
+
+
+GO_CHUNKS = "array<struct<kind:string,name:string,receiver:string,type_name:string,type_kind:string,start_line:int,end_line:int,part:int,parts:int,text:string>>"
+
+
+def go_chunks(text: str, limit: int, count=count_tokens) -> list[dict]:
+    """The header of a Go file, then one chunk a function, method or type, or its logical parts where it is over ``limit`` tokens.
+
+    The header reaches from the first line that isn't blank to the end of package and imports; a
+    file without them has none. A type of a group is a chunk of its own. part is 0 for a whole declaration, else
+    from 1.
+    """
+    lines = text.split("\n")
+    out = []
+
+    def add(kind, name, receiver, type_name, type_kind, first, last):
+        parts = logical_parts("\n".join(lines[first - 1 : last]), limit, first, count)
+        for n, (a, b, part) in enumerate(parts, 1):
+            out.append({"kind": kind, "name": name, "receiver": receiver, "type_name": type_name, "type_kind": type_kind, "start_line": a, "end_line": b, "part": n if len(parts) > 1 else 0, "parts": len(parts), "text": part})
+
+    every = list(lexer.tokens(text, "go"))
+    end, _ = lexer.go_header(text, every)
+    if end:
+        begin = next(i for i, x in enumerate(lines, 1) if x.strip())
+        add("header", None, None, None, None, begin, text.count("\n", 0, end) + 1)
+    for d in lexer.go_declarations(text, every):
+        add(d.kind, d.name, d.receiver, d.type_name, d.type_kind, d.start_line, d.end_line)
+    return out
+
+
+def go_code_chunks(text: Column, limit: int) -> Column:
+    """Array of the chunks of a Go file. Null text counts as empty."""
+    return F.pandas_udf(lambda t: t.map(lambda x: go_chunks(x or "", limit)), GO_CHUNKS)(text)

@@ -20,7 +20,7 @@ HINTS = {
 #: Parts of a path that mark tests.
 TESTS = ("/tests/", "/test/", "test_", "_test.", "/__tests__/")
 _NAME = "([A-Za-z_][A-Za-z0-9_]*)"
-#: Patterns of definitions by extension: what their names are called, and whether they lead. Classes come before functions.
+#: Patterns of definitions by extension: what their names are called, and whether they lead. Classes come before functions.
 DEFINITIONS = {
     "py": (("class", rf"^\s*class\s+{_NAME}\s*[:(]"), ("function", rf"^\s*def\s+{_NAME}\s*\(")),
     "ts": (("class", rf"^\s*(?:export\s+)?class\s+{_NAME}\b"), ("function", rf"^\s*(?:export\s+)?(?:async\s+)?function\s+{_NAME}\s*\("), ("function", rf"^\s*const\s+{_NAME}\s*=\s*(?:async\s+)?\(")),
@@ -30,6 +30,7 @@ DEFINITIONS = {
     "php": (("function", rf"^\s*function\s+{_NAME}\s*\("),),
 }
 SAME = {"tsx": "ts", "js": "ts", "jsx": "ts"}
+#: Words of a line that defines something.
 DEFINING = ("def ", "class ", "function ", "func ", "export ")
 
 
@@ -72,19 +73,39 @@ def is_test_path(path: Column) -> Column:
     return F.exists(F.array(*[F.lit(t) for t in TESTS]), lambda t: F.contains(F.lower(path), t))
 
 
+_SCRIPT = ("javascript", "typescript")
+#: What a text is. (languages, pattern, kind): the first row that holds counts, for all languages where it names none.
+KINDS = (
+    (("python", *_SCRIPT), "class ", "class_or_type"),
+    (("python",), r"(?m)^\s*def\s+", "function_or_method"),
+    (_SCRIPT, r"\bfunction\b|=>\s*\{", "function_or_method"),
+    (("go",), "(?s)type .*struct|struct.*type ", "class_or_type"),
+    (("go",), r"(?m)^\s*func\s+", "function_or_method"),
+    ((), "import |from ", "imports"),
+)
+#: What a block is called by its first line. (languages, pattern, label, pattern of a name that follows it).
+SUMMARIES = (
+    (("python",), "def ", "Python function ", r"def ([^(]*)"),
+    (("python",), "class ", "Python class ", r"class ([^(:]*)"),
+    (_SCRIPT, "function |=>", "JavaScript/TypeScript function", None),
+    (_SCRIPT, "class ", "JavaScript/TypeScript class", None),
+    (("go",), "func ", "Go function", None),
+    (("go",), "type ", "Go type definition", None),
+)
+
+
+def _holds(languages: tuple[str, ...], pattern: str, text: Column, language: Column) -> Column:
+    return text.rlike(pattern) & language.isin(*languages) if languages else text.rlike(pattern)
+
+
+def _first(cases: list[tuple[Column, Column]], default: Column) -> Column:
+    """The value of the first case that holds."""
+    return F.coalesce(*[F.when(hit, value) for hit, value in cases], default)
+
+
 def ast_kind(text: Column, language: Column) -> Column:
-    """class_or_type, function_or_method, imports or unknown, by words of the text."""
-    has = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
-    script = language.isin("javascript", "typescript")
-    return (
-        F.when(((language == "python") | script) & has("class "), "class_or_type")
-        .when((language == "python") & text.rlike(r"(?m)^\s*def\s+"), "function_or_method")
-        .when(script & text.rlike(r"\bfunction\b|=>\s*\{"), "function_or_method")
-        .when((language == "go") & has("type ") & has("struct"), "class_or_type")
-        .when((language == "go") & text.rlike(r"(?m)^\s*func\s+"), "function_or_method")
-        .when(has("import ", "from "), "imports")
-        .otherwise("unknown")
-    )
+    """class_or_type, function_or_method, imports or unknown, by KINDS."""
+    return _first([(_holds(names, pattern, text, language), F.lit(kind)) for names, pattern, kind in KINDS], F.lit("unknown"))
 
 
 def import_lines(code: Column, language: Column) -> Column:
@@ -133,7 +154,7 @@ def doc_head(code: Column, language: Column, most: int = 1200) -> Column:
     return F.when(F.length(head) <= most, head).when(F.contains(part, F.lit("\n")), at_line).otherwise(at_word)
 
 
-#: Patterns of names by language, for texts of unknown structure.
+#: Patterns of names by language, for texts of unknown structure.
 MINED = {
     "python": (r"(?m)^\s*def\s+([A-Za-z_]\w*)\s*\(", r"(?m)^\s*class\s+([A-Za-z_]\w*)\s*[\(:]"),
     "javascript": (r"(?:async\s+function|function)\s+([A-Za-z_]\w*)\s*\(", r"const\s+([A-Za-z_]\w*)\s*=\s*\(", r"class\s+([A-Za-z_]\w*)\s*"),
@@ -160,39 +181,33 @@ def guessed_language(question: Column) -> Column:
 
 
 def summary_line(code: Column, language: Column, title: Column) -> Column:
-    """One line on what a block of code is, by its first line."""
+    """One line on what a block of code is, by SUMMARIES."""
     first, n = strip(F.get(lines(code), F.lit(0))), F.size(lines(code)).cast("string")
-    has = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(first, w))
-    after = lambda word, stop: F.get(F.split(F.substr(first, F.instr(first, word) + len(word)), stop), F.lit(0))
-    of = lambda what: F.concat(what, F.lit(" with "), n, F.lit(" lines of code"))
-    script = language.isin("javascript", "typescript")
-    return (
-        F.when((language == "python") & has("def "), of(F.concat(F.lit("Python function "), after("def ", r"\("))))
-        .when((language == "python") & has("class "), of(F.concat(F.lit("Python class "), after("class ", "[(:]"))))
-        .when(script & has("function ", "=>"), of(F.lit("JavaScript/TypeScript function")))
-        .when(script & has("class "), of(F.lit("JavaScript/TypeScript class")))
-        .when((language == "go") & has("func "), of(F.lit("Go function")))
-        .when((language == "go") & has("type "), of(F.lit("Go type definition")))
-        .otherwise(F.concat(title, F.lit(" code block with "), n, F.lit(" lines")))
-    )
+    named = [(_holds(names, pattern, first, language), F.concat(F.lit(label), F.regexp_extract(first, name, 1) if name else F.lit(""), F.lit(" with "), n, F.lit(" lines of code"))) for names, pattern, label, name in SUMMARIES]
+    return _first(named, F.concat(title, F.lit(" code block with "), n, F.lit(" lines")))
 
 
-#: Terms added by the words of a line.
-FRAMEWORKS = {"fastapi": "FastAPI", "django": "Django", "flask": "Flask", "react": "React", "vue": "Vue"}
+#: Terms that a text is given.
 STATUS = ("200", "201", "400", "401", "403", "404", "500")
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH")
 ERRORS = ("Exception", "Error", "ValueError", "TypeError")
+FRAMEWORKS = {"fastapi": "FastAPI", "django": "Django", "flask": "Flask", "react": "React", "vue": "Vue"}
+#: When: (languages, where, pattern, terms); where is the text, its lower case or one of its lines.
+TERMS = (
+    ((), "line", f"(?is)status.*({'|'.join(STATUS)})|({'|'.join(STATUS)}).*status", STATUS),
+    ((), "lower", "|".join(METHODS).lower(), METHODS),
+    (("python",), "text", "|".join(ERRORS), ERRORS),
+    *[((), "lower", word, (name,)) for word, name in FRAMEWORKS.items()],
+)
 
 
 def qa_terms(code: Column, language: Column, most: int = 12) -> Column:
-    """Up to 12 sorted terms on status codes, methods, exceptions and frameworks that lines of the text mention."""
-    text, low, all_lines = code, F.lower(code), lines(code)
-    has = lambda x, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w))
-    none, some = F.array().cast("array<string>"), lambda words: F.array(*[F.lit(w) for w in words])
-    found = [
-        F.when(F.exists(all_lines, lambda x: F.contains(F.lower(x), F.lit("status")) & has(x, STATUS)), some(STATUS)).otherwise(none),
-        F.when(has(low, [m.lower() for m in METHODS]), some(METHODS)).otherwise(none),
-        F.when((language == "python") & has(text, ERRORS), some(ERRORS)).otherwise(none),
-        *[F.when(F.contains(low, F.lit(k)), some([v])).otherwise(none) for k, v in FRAMEWORKS.items()],
-    ]
+    """Up to 12 sorted terms on what lines of the text mention, by TERMS."""
+    none = F.array().cast("array<string>")
+    held = {
+        "text": lambda names, pattern: _holds(names, pattern, code, language),
+        "lower": lambda names, pattern: _holds(names, pattern, F.lower(code), language),
+        "line": lambda names, pattern: F.exists(lines(code), lambda x: _holds(names, pattern, x, language)),
+    }
+    found = [F.when(held[where](names, pattern), F.array(*[F.lit(t) for t in terms])).otherwise(none) for names, where, pattern, terms in TERMS]
     return F.array_join(F.slice(F.array_sort(F.concat(*found)), 1, most), ", ")

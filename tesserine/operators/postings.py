@@ -10,8 +10,11 @@ up those that must and those that should match.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,26 +23,56 @@ from tesserine.functions.text import tokens
 K1, B = 1.2, 0.75
 #: Folders that terms are dealt to, unless told otherwise.
 BUCKETS = 64
+#: Tokens that one task is meant to sort and write.
+POSTINGS = 4_000_000
 
 
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def bucket_of(term: str, buckets: int) -> int:
+    """The same number on the driver: Spark's hash is XXH64 with seed 42, signed."""
+    found = xxhash.xxh64_intdigest(term.encode(), seed=42)
+    return (found - (1 << 64) if found >> 63 else found) % buckets
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a distinct token of each row, with its places."""
+    for batch in batches:
+        tokens = batch.column("tokens")
+        n = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        words = tokens.flatten().dictionary_encode()
+        codes = words.indices.to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((codes, row))  # stable: places stay in order
+        row, codes = row[order], codes[order]
+        head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (codes[1:] != codes[:-1]))) if len(row) else np.zeros(0, np.int64)
+        of = pa.array(row[head])
+        places = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+        tf = np.diff(np.append(head, len(row))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(of), batch.column("field").take(of), words.dictionary.take(pa.array(codes[head])), batch.column("dl").take(of), pa.array(tf), places], ["key", "field", "term", "dl", "tf", "positions"])
+
+
 def build(docs: DataFrame, key: str, fields: Mapping[str, Column], path: str, buckets: int = BUCKETS) -> None:
     """Write the index of the fields (text columns; null counts as empty) below ``path``.
 
-    Each row's tokens are counted within the row; the rows of frequent terms are dealt to
-    several files by range, so no task holds all rows of a term.
+    A row's tokens are counted and placed within the row, so one posting a distinct token is
+    shuffled, once. A bucket is dealt to as many tasks as its share of POSTINGS asks for, by key: no
+    task holds all rows of a frequent term.
     """
     spark = docs.sparkSession
     analysed = docs.select(F.col(key).alias("key"), F.array(*[F.struct(F.lit(name).alias("field"), tokens(F.coalesce(text, F.lit(""))).alias("tokens")) for name, text in fields.items()]).alias("f")).select("key", F.inline("f"))
     sized = analysed.withColumn("dl", F.size("tokens"))
-    placed = sized.select("key", "field", "dl", F.posexplode("tokens").alias("at", "term"))
-    rows = placed.groupBy("key", "field", "term", "dl").agg(F.array_sort(F.collect_list("at")).alias("positions")).withColumn("tf", F.size("positions")).withColumn("bucket", _bucket(F.col("term"), buckets))
-    rows.repartitionByRange("bucket", "field", "term", "key").sortWithinPartitions("bucket", "field", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/fields")
-    spark.read.parquet(f"{path}/postings").groupBy("bucket", "field", "term").agg(F.count("*").alias("df")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
+    total = spark.read.parquet(f"{path}/fields").agg(F.sum(F.col("n") * F.col("avgdl"))).first()[0] or 0
+    salts = 1 + int(total) // (buckets * POSTINGS)
+    kind = docs.schema[key].dataType.simpleString()
+    rows = sized.mapInArrow(_counted, f"key {kind}, field string, term string, dl int, tf int, positions array<int>").withColumn("bucket", _bucket(F.col("term"), buckets))
+    rows.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("key"), F.lit(salts))).sortWithinPartitions("bucket", "field", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    frequent = spark.read.parquet(f"{path}/postings").groupBy("bucket", "field", "term").agg(F.count("*").alias("df"))
+    frequent.repartition("bucket").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 
 class Index:
@@ -53,7 +86,7 @@ class Index:
         self.postings = spark.read.parquet(f"{path}/postings")
 
     def _rows(self, table: str, field: str, terms: Sequence[str]) -> DataFrame:
-        numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), self.buckets)).distinct().collect()]
+        numbers = sorted({bucket_of(t, self.buckets) for t in terms})
         rows = self.postings if table == "postings" else self.spark.read.parquet(f"{self.path}/{table}")
         return rows.where(F.col("bucket").isin(numbers) & (F.col("field") == field) & F.col("term").isin(*terms))
 
@@ -156,7 +189,7 @@ FIELDS = {
     "hybrid": {"text": 2, "path": 1},
 }
 #: Path fragments that raise a chunk's score, much and a little.
-PROMOTED = ("internal/forecasts/", "adapters/", "clients/", "service/", "proxy/foreca")
+PROMOTED = ("adapters/", "clients/", "service/")
 OTHERS = ("cmd/", "serve/", "server/", "grpc", ".pb.go", ".proto", "main.go", "bootstrap", "init")
 
 
@@ -171,7 +204,7 @@ def guarded(index: Index, text: str, topic: Sequence[str], keys: DataFrame, fiel
 
 
 def by_intent(index: Index, text: str, groups: Sequence[Sequence[str]], docs: DataFrame, key: str, path: Column, fields: Mapping[str, float] | None = None, held_in: Sequence[str] = ("text", "symbols", "rel_path"), promoted: Sequence[str] = PROMOTED, others: Sequence[str] = OTHERS) -> DataFrame:
-    """Rows with a word of every group, scored by the groups, the best field and constants for path fragments: 3 for promoted ones, 0.3 for the others."""
+    """Rows with a word of every group, scored by the groups, the best field and constants for path fragments: 3 for promoted ones (a project's own folders are added by the caller), 0.3 for the others."""
     must = [index.best_fields(dict.fromkeys(held_in, 1.0), list(words)) for words in groups]
     paths = constant(docs, key, [(F.contains(path, F.lit(p)), 3.0) for p in promoted] + [(F.contains(path, F.lit(p)), 0.3) for p in others])
     return search(must=must, should=[index.best_fields(fields or FIELDS["v3"], text), paths], keys=docs.select(F.col(key).alias("key")))

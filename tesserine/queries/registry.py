@@ -41,19 +41,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # BM25 --------------------------------------------------------------------------------------
 
-_INDEXES: dict[tuple[str, str], postings.Index] = {}
+_INDEXES: dict[tuple[str, ...], postings.Index] = {}
+
+
+def _stamp(df: DataFrame) -> str:
+    """A value that changes with the files of a table: their paths, sizes and times."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").groupBy("file_path", "file_size", "file_modification_time").count()
+    return str(files.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("*"), F.lit(1 << 31)))).first())
+
+
+def build_index(spark: SparkSession, sf_dir: str) -> str:
+    """Write the index of the documents (text, source, lang); its path."""
+    path = scratch(spark, "index")
+    postings.build(table(spark, sf_dir, "documents"), "doc_id", {"text": F.col("text"), "source": F.col("source"), "lang": F.col("lang")}, path, 8)
+    return path
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> postings.Index:
-    """The stored index of the documents (text, source, lang), built once an application and table."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The stored index of the documents, built once an application and state of the table."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(table(spark, sf_dir, "documents")))
     if key not in _INDEXES:
-        path = scratch(spark, "index")
-        postings.build(table(spark, sf_dir, "documents"), "doc_id", {"text": F.col("text"), "source": F.col("source"), "lang": F.col("lang")}, path, 8)
-        _INDEXES[key] = postings.Index(spark, path)
+        _INDEXES[key] = postings.Index(spark, build_index(spark, sf_dir))
     return _INDEXES[key]
 
 
+_FIELD_TOKENS = " UNION ALL ".join(f"SELECT '{f}' AS field, doc_id, {_TOK.format(f'coalesce({f}, chr(0))')} AS t FROM documents" for f in ("text", "source", "lang"))
+
+
+@query(f"""SELECT field, n, round(avgdl, 6) AS avgdl, coalesce(terms, 0) AS terms, coalesce(rows, 0) AS rows, coalesce(tokens, 0)::BIGINT AS tokens, coalesce(places, 0)::BIGINT AS places
+  FROM (SELECT field, count(*) AS n, avg(len(t)) AS avgdl FROM ({_FIELD_TOKENS}) GROUP BY field)
+  LEFT JOIN (SELECT field, count(DISTINCT term) AS terms, count(*) AS rows, sum(tf) AS tokens, sum(places) AS places
+    FROM (SELECT field, doc_id, term, count(*) AS tf, sum(i) AS places FROM (SELECT field, doc_id, unnest(t) AS term, unnest(range(len(t))) AS i FROM ({_FIELD_TOKENS})) GROUP BY 1, 2, 3) GROUP BY field) USING (field)""")
+def postings_build(spark, sf_dir):
+    """Builds the index and counts what it holds."""
+    path = build_index(spark, sf_dir)
+    places = F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)).alias("places")
+    held = spark.read.parquet(f"{path}/postings").groupBy("field").agg(F.count_distinct("term").alias("terms"), F.count("*").alias("rows"), F.sum("tf").alias("tokens"), places)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return spark.read.parquet(f"{path}/fields").join(held, "field", "left").select("field", "n", F.round("avgdl", 6).alias("avgdl"), *[zero(c) for c in ("terms", "rows", "tokens", "places")])
+
+
 def _matched(spark: SparkSession, sf_dir: str, terms, field: str = "text") -> DataFrame:
     return postings.search(should=[index_of(spark, sf_dir).match(field, list(terms))]).withColumnRenamed("key", "doc_id")
 
