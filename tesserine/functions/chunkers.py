@@ -20,6 +20,11 @@ CHUNKS = "array<struct<chunk_number:int,start_line:int,end_line:int,text:string>
 DECLARATIONS = "array<struct<kind:string,name:string,receiver:string,receiver_text:string,type_name:string,type_kind:string,start_line:int,end_line:int,start_byte:int,end_byte:int>>"
 
 
+def _once(run, schema: str):
+    """A pandas function that the optimizer doesn't repeat, as it would in the filter it infers for an exploded array."""
+    return F.pandas_udf(run, schema).asNondeterministic()
+
+
 def chunk_lines(text: str, ext: str) -> list[tuple[int, int, int, str]]:
     """Chunks cut at every declaration, moved up over the comments right above it.
 
@@ -48,7 +53,7 @@ def _chunks(text: pd.Series, ext: pd.Series) -> pd.Series:
 
 def code_chunks(text: Column, ext: Column) -> Column:
     """Array of (chunk_number, start_line, end_line, text). Null text counts as empty."""
-    return F.pandas_udf(_chunks, CHUNKS)(text, ext)
+    return _once(_chunks, CHUNKS)(text, ext)
 
 
 def byte_offsets(text: str, places: Iterable[int]) -> dict[int, int]:
@@ -83,7 +88,7 @@ def _go(text: pd.Series) -> pd.Series:
 
 
 def go_structure(text: Column) -> Column:
-    return F.pandas_udf(_go, DECLARATIONS)(text)
+    return _once(_go, DECLARATIONS)(text)
 
 
 def go_package(text: Column) -> Column:
@@ -169,7 +174,7 @@ def bounded_code_chunks(text: Column, ext: Column, limit: int, factory=None) ->
         names = ("chunk_number", "start_line", "end_line", "text")
         return pd.Series([[dict(zip(names, c, strict=True)) for c in bounded_chunks(t or "", e or "", limit, lambda x: count_tokens(x, encode))] for t, e in zip(texts, exts, strict=True)])
 
-    return F.pandas_udf(run, CHUNKS)(text, ext)
+    return _once(run, CHUNKS)(text, ext)
 
 
 def line_range(text: Column, start: Column, end: Column) -> Column:
@@ -275,7 +280,7 @@ def packed_code_chunks(text: Column, ext: Column, limit: int) -> Column:
         names = ("chunk_number", "start_line", "end_line", "text")
         return pd.Series([[dict(zip(names, c, strict=True)) for c in packed_chunks(t or "", e or "", limit)] for t, e in zip(texts, exts, strict=True)])
 
-    return F.pandas_udf(run, CHUNKS)(text, ext)
+    return _once(run, CHUNKS)(text, ext)
 
 
 GO_CHUNKS = "array<struct<kind:string,name:string,receiver:string,type_name:string,type_kind:string,start_line:int,end_line:int,part:int,parts:int,text:string>>"
@@ -306,6 +311,13 @@ def go_chunks(text: str, limit: int, count=count_tokens) -> list[dict]:
     return out
 
 
+def _go_chunks(limit: int):
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: go_chunks(x or "", limit))
+
+    return run
+
+
 def go_code_chunks(text: Column, limit: int) -> Column:
     """Array of the chunks of a Go file. Null text counts as empty."""
-    return F.pandas_udf(lambda t: t.map(lambda x: go_chunks(x or "", limit)), GO_CHUNKS)(text)
+    return _once(_go_chunks(limit), GO_CHUNKS)(text)

@@ -108,10 +108,10 @@ _GO = """concat('package orders\\n\\nimport "time"\\n\\n', array_join(transform(
 
 def go_files(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").where("l_linenumber IS NOT NULL AND l_quantity IS NOT NULL")
-    return items.groupBy("l_orderkey").agg(F.expr(_GO).alias("text")).selectExpr("concat('o', l_orderkey, '.go') AS rel_path", "text")
+    return items.groupBy("l_orderkey").agg(F.expr(_GO).alias("text")).selectExpr("concat('o', l_orderkey, '.go') AS rel_path", "text").repartition(spark.sparkContext.defaultParallelism)  # small rows, long walks
 
 
-_UNIT = f"""SELECT l_orderkey, l_linenumber AS n, l_quantity::INT AS q, (5 + coalesce(sum(l_quantity::INT + 4) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS line,
+_UNIT = f"""SELECT l_orderkey, l_linenumber AS n, l_quantity::INT AS q, (5 + coalesce(sum(l_quantity::INT + 4) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS line,
   CASE WHEN 11 + 4 * l_quantity::INT > {LIMIT} THEN (l_quantity::INT + 3 + 14) // 15 ELSE 1 END AS parts FROM lineitem"""
 _PARTS = f"""SELECT *, CASE WHEN parts = 1 THEN line ELSE line + 15 * (p - 1) END AS first, CASE WHEN parts = 1 THEN line + q + 2 ELSE least(line + 15 * p - 1, line + q + 2) END AS last
   FROM (SELECT *, unnest(range(1, parts + 1)) AS p FROM ({_UNIT}))"""
