@@ -36,11 +36,41 @@ def with_retries(call: Callable[[str], str], attempts: int = 3, wait: float = 0.
     return tried
 
 
+def _attempt(model: Callable[[list[str]], list], texts: list[str], caps: Sequence[int]) -> list[tuple[list[float] | None, int | None, str | None]]:
+    """(vector, cap, error) of each text. A window that fails is halved until the texts that fail stand alone; those go on to the next cap."""
+    out: list[tuple[list[float] | None, int | None, str | None]] = [(None, None, "no cap")] * len(texts)
+    left = list(range(len(texts)))
+    for cap in caps:
+        failed, parts = [], [left] if left else []
+        while parts:
+            part = parts.pop()
+            try:
+                vectors = model([texts[i][:cap] for i in part])
+                if len(vectors) != len(part):
+                    raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+                for i, v in zip(part, vectors, strict=True):
+                    out[i] = ([float(x) for x in v], cap, None)
+            except Exception as e:  # the error is a column of the result
+                if len(part) == 1:
+                    out[part[0]] = (None, None, f"{type(e).__name__}: {e}"[:200])
+                    failed.append(part[0])
+                else:
+                    parts += [part[len(part) // 2 :], part[: len(part) // 2]]
+        left = sorted(failed)
+    return out
+
+
 def embed(rows: DataFrame, factory: Factory, text: str = "text", caps: Sequence[int] = (30_000, 8_000, 4_000, 2_000), window: int = 32) -> DataFrame:
-    """The rows with embedding and error. A window that fails is tried again with texts cut shorter; when all caps fail, its rows carry the error and no vector."""
-    from pyspark.sql.types import ArrayType, FloatType, StringType, StructType
+    """The rows with embedding, cap and error.
+
+    A text that fails is tried again cut shorter, alone; cap is the limit in characters that its
+    vector was made under. When all caps fail, the row carries the error and no vector. Null text
+    counts as empty. Columns of these names are replaced.
+    """
+    from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructType
 
-    schema = StructType([*rows.schema.fields]).add("embedding", ArrayType(FloatType())).add("error", StringType())
+    rows = rows.drop("embedding", "cap", "error")
+    schema = StructType([*rows.schema.fields]).add("embedding", ArrayType(FloatType())).add("cap", IntegerType()).add("error", StringType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
@@ -48,15 +78,9 @@ def embed(rows: DataFrame, factory: Factory, text: str = "text", caps: Sequence[
             model = model or factory()
             for at in range(0, len(frame), window):
                 part = frame.iloc[at : at + window].copy()
-                texts = [t or "" for t in part[text]]
-                vectors, error = [None] * len(part), None
-                for cap in caps:
-                    try:
-                        vectors, error = [[float(x) for x in v] for v in model([t[:cap] for t in texts])], None
-                        break
-                    except Exception as e:  # the error is a column of the result
-                        error = f"{type(e).__name__}: {e}"[:200]
-                part["embedding"], part["error"] = pd.Series(vectors, index=part.index, dtype=object), error
+                done = _attempt(model, [t or "" for t in part[text]], caps)
+                for n, column in enumerate(("embedding", "cap", "error")):
+                    part[column] = pd.Series([d[n] for d in done], index=part.index, dtype="Int32" if column == "cap" else object)
                 yield part
 
     return rows.mapInPandas(run, schema)

@@ -28,6 +28,37 @@ def chosen(chunks: DataFrame, path: str | None = None, least_tokens: int | None
     return chunks if sample is None else chunks.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
 
 
+#: Upper bounds of the buckets of tokens, the name of each, and that of the last.
+BUCKETS = ((50, "under_50"), (100, "50_100"), (200, "100_200"), (300, "200_300"))
+OVER = "over_300"
+#: Forms of a path that are counted, the first that holds.
+FORMS = (("go:file_header", "file_headers"), ("interface", "interfaces"), ("struct", "structs"), ("function", "functions"), ("method", "methods"))
+
+
+def profile(chunks: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """(dimension, value, chunks, tokens, mean, least, most, median, p90) of chunks by language, path, form of path, bucket of tokens, import, symbol, flag, and all.
+
+    chunks: language, ast_path, n_tokens, imports_used, symbols_referenced, prev, next,
+    summary_1l, qa_terms. One scan and one exchange of partial sums serve all dimensions; median and
+    p90 are from a quantile sketch. Null tokens count as 0, a null language as unknown, a null path as
+    empty. Imports and symbols count once a chunk and mention. An empty table has no rows.
+    """
+    n = F.coalesce("n_tokens", F.lit(0))
+    path = F.coalesce("ast_path", F.lit(""))
+    bucket = F.coalesce(*[F.when(n < most, F.lit(name)) for most, name in BUCKETS], F.lit(OVER))
+    form = F.coalesce(*[F.when(path == word if i == 0 else F.contains(path, F.lit(word)), F.lit(name)) for i, (word, name) in enumerate(FORMS)])
+    some = lambda c: F.coalesce(F.length(F.col(c)) > 0, F.lit(False))
+    held = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    flags = {"imports": held("imports_used"), "symbols": held("symbols_referenced"), "neighbor": F.col("prev").isNotNull() | F.col("next").isNotNull(), "summary": some("summary_1l"), "qa_terms": some("qa_terms")}
+    pair = lambda dimension, value: F.struct(F.lit(dimension).alias("dimension"), value.alias("value"))
+    single = [pair("all", F.lit("")), pair("language", F.coalesce("language", F.lit("unknown"))), pair("path", path), pair("bucket", bucket), pair("form", form), *[pair("with", F.when(has, F.lit(name))) for name, has in flags.items()]]
+    each = lambda dimension, c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: pair(dimension, v))
+    many = [each("import", "imports_used"), each("symbol", "symbols_referenced")]
+    rows = chunks.select(n.cast("long").alias("n"), F.explode(F.filter(F.concat(F.array(*single), *many), lambda x: x["value"].isNotNull())).alias("x")).select("n", "x.*")
+    at = lambda q: F.percentile_approx("n", q, accuracy)
+    return rows.groupBy("dimension", "value").agg(F.count("*").alias("chunks"), F.sum("n").alias("tokens"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), at(0.5).alias("median"), at(0.9).alias("p90"))
+
+
 def summary(chunks: DataFrame) -> DataFrame:
     """One row: chunks, files, mean, least and greatest number of tokens, and the share with a summary."""
     has = F.length(strip(F.coalesce("summary_en", F.lit("")))) > 0

@@ -1,14 +1,15 @@
-"""Queries over the stored vector index, and their SQL."""
+"""Queries over stored indexes, logs and sinks, source files and chunks, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tesserine.functions import chunkers
-from tesserine.operators import ann, declarations
-from tesserine.plans import ingest
+from tesserine.operators import ann, declarations, sink
+from tesserine.plans import ingest, report
 from tesserine.plans.staging import scratch
 from tesserine.queries.registry import _KNN, QVEC, query, table
+from tesserine.streaming import upsert
 
 #: The recall that the number of lists read is chosen for.
 TARGET = 0.93
@@ -138,3 +139,64 @@ def packed_go_chunks(spark, sf_dir):
     files = go_files(spark, sf_dir).select("rel_path", F.inline(chunkers.packed_code_chunks(F.col("text"), F.lit("go"), LIMIT)))
     n = F.regexp_count("text", F.lit(r"\w+|[^\w\s]"))
     return files.groupBy("rel_path").agg(F.sum(n).alias("tokens"), F.bool_and(n <= LIMIT).alias("within"))
+
+
+# Profiles, logs and sinks ------------------------------------------------------------------
+
+_PROFILED = "doc_id, lang AS language, CASE doc_id % 7 WHEN 0 THEN 'go:file_header' WHEN 1 THEN 'go:type:T (struct)' WHEN 2 THEN 'go:type:I (interface)' WHEN 3 THEN 'go:function:F' WHEN 4 THEN 'go:method:(T).M' WHEN 5 THEN NULL ELSE 'go:block' END AS ast_path, CASE WHEN doc_id % 11 <> 0 THEN n_chars // 10 END AS n_tokens, source"
+
+
+@query(f"""WITH d AS (SELECT {_PROFILED} FROM documents), t AS (SELECT *, coalesce(n_tokens, 0) AS n, coalesce(ast_path, '') AS p FROM d),
+  x AS (SELECT n, 'all' AS dimension, '' AS value FROM t UNION ALL SELECT n, 'language', coalesce(language, 'unknown') FROM t UNION ALL SELECT n, 'path', p FROM t
+    UNION ALL SELECT n, 'bucket', CASE WHEN n < 50 THEN 'under_50' WHEN n < 100 THEN '50_100' WHEN n < 200 THEN '100_200' WHEN n < 300 THEN '200_300' ELSE 'over_300' END FROM t
+    UNION ALL SELECT n, 'form', CASE WHEN p = 'go:file_header' THEN 'file_headers' WHEN contains(p, 'interface') THEN 'interfaces' WHEN contains(p, 'struct') THEN 'structs' WHEN contains(p, 'function') THEN 'functions' WHEN contains(p, 'method') THEN 'methods' END FROM t
+    UNION ALL SELECT n, 'with', 'imports' FROM t WHERE source IS NOT NULL UNION ALL SELECT n, 'with', 'neighbor' FROM t WHERE doc_id % 3 = 0 UNION ALL SELECT n, 'with', 'summary' FROM t WHERE doc_id % 2 = 0
+    UNION ALL SELECT n, 'import', source FROM t)
+  SELECT dimension, value, count(*) AS chunks, sum(n)::BIGINT AS tokens, round(avg(n), 6) AS mean, min(n)::BIGINT AS least, max(n)::BIGINT AS most, quantile_disc(n, 0.5)::BIGINT AS median, quantile_disc(n, 0.9)::BIGINT AS p90 FROM x WHERE value IS NOT NULL GROUP BY 1, 2""")
+def chunk_profile(spark, sf_dir):
+    """All distributions of the chunk report in one scan."""
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "documents").selectExpr(*[c.strip() for c in _PROFILED.replace("n_chars // 10", "n_chars div 10").split(", ")]).select(
+        "language", "ast_path", "n_tokens", F.when(F.col("source").isNotNull(), F.array("source")).alias("imports_used"), F.array().cast("array<string>").alias("symbols_referenced"),
+        F.when(F.col("doc_id") % 3 == 0, "x").alias("prev"), none.alias("next"), F.when(F.col("doc_id") % 2 == 0, "s").otherwise("").alias("summary_1l"), none.alias("qa_terms"),
+    )
+    return report.profile(rows)
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p FROM events WHERE user_id IS NOT NULL) WHERE p = 1")
+def compacted_log(spark, sf_dir):
+    """Events in eight batches by hash, compacted after every other one and as a whole: one run is read, without merging."""
+    events = table(spark, sf_dir, "events")
+    log = upsert.UpsertLog(spark, scratch(spark, "log"), events.schema, "user_id", "ts", "event_id", buckets=8)
+    for number in range(8):
+        log.append(events.where(F.pmod(F.xxhash64("event_id"), F.lit(8)) == number), number)
+        if number % 2:
+            log.compact(fanout=2)
+    log.compact(whole=True)
+    return log.read().select("user_id", "event_id", "value")
+
+
+def _letters():
+    """A stand-in for a model: length and number of a's; it can't take texts of more than 4000 characters, nor any that begins with Q."""
+
+    def model(texts):
+        if any(len(t) > 4000 or t.startswith("Q") for t in texts):
+            raise MemoryError("too much")
+        return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+    return model
+
+
+_CUT = "CASE WHEN length(coalesce(text, '')) > 4000 THEN 2000 ELSE 30000 END"
+
+
+@query(f"SELECT doc_id, CASE WHEN starts_with(coalesce(text, ''), 'Q') THEN NULL ELSE {_CUT} END AS cap, CASE WHEN NOT starts_with(coalesce(text, ''), 'Q') THEN least(length(coalesce(text, '')), {_CUT})::DOUBLE END AS length, CASE WHEN NOT starts_with(coalesce(text, ''), 'Q') THEN (length(left(coalesce(text, ''), {_CUT})) - length(replace(left(coalesce(text, ''), {_CUT}), 'a', '')))::DOUBLE END AS n_a FROM documents")
+def embedding_sink(spark, sf_dir):
+    """Documents embedded into a table by windows, in two runs; texts that fail get a smaller cap alone, the rest are dead letters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = sink.EmbeddingSink(spark, scratch(spark, "sink"), docs.schema, "doc_id")
+    store.run(docs.where("doc_id % 3 = 0"), _letters, windows=2, caps=(30_000, 2_000))
+    store.run(docs, _letters, windows=2, caps=(30_000, 2_000))
+    vectors = store.vectors().select("doc_id", "cap", F.get("embedding", F.lit(0)).cast("double").alias("length"), F.get("embedding", F.lit(1)).cast("double").alias("n_a"))
+    none = F.lit(None).cast("double")
+    return vectors.unionByName(store.dead_letters().select("doc_id", F.lit(None).cast("int").alias("cap"), none.alias("length"), none.alias("n_a")))
