@@ -9,7 +9,7 @@ from tesserine.operators import ann, declarations, sink
 from tesserine.plans import ingest, report
 from tesserine.plans.staging import scratch
 from tesserine.queries.registry import _KNN, QVEC, query, table
-from tesserine.streaming import upsert
+from tesserine.streaming import cache, upsert
 
 #: The recall that the number of lists read is chosen for.
 TARGET = 0.93
@@ -200,3 +200,18 @@ def embedding_sink(spark, sf_dir):
     vectors = store.vectors().select("doc_id", "cap", F.get("embedding", F.lit(0)).cast("double").alias("length"), F.get("embedding", F.lit(1)).cast("double").alias("n_a"))
     none = F.lit(None).cast("double")
     return vectors.unionByName(store.dead_letters().select("doc_id", F.lit(None).cast("int").alias("cap"), none.alias("length"), none.alias("n_a")))
+
+
+@query("""WITH e AS (SELECT user_id, event_id AS seq, ts, event_id % 3 = 0 AS puts, props FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  w AS (SELECT *, last_value(CASE WHEN puts THEN {'ts': ts, 'v': props} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM e),
+  g AS (SELECT *, coalesce(s.v IS NOT NULL AND ts < s.ts + INTERVAL 2 HOUR, false) AS hit FROM w WHERE NOT puts)
+  SELECT user_id::VARCHAR AS cache_key, seq, hit, CASE WHEN hit THEN s.v END AS value, (sum(hit::INT) OVER o)::BIGINT AS hits, (sum((NOT hit)::INT) OVER o)::BIGINT AS misses FROM g WINDOW o AS (PARTITION BY user_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def ttl_cache_stream(spark, sf_dir):
+    """Events as a stream of cache operations: every third sets the user's entry for two hours, the others look it up."""
+    folder = scratch(spark, "ttl")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a stream source can't be a single file
+    op = F.when(F.col("event_id") % 3 == 0, "set").otherwise("get")
+    rows = stream.select(F.col("user_id").cast("string").alias("cache_key"), F.col("event_id").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("at"), op.alias("op"), F.col("props").cast("string").alias("value"), F.lit(7_200_000).cast("long").alias("ttl_ms"))
+    out = cache.lookups(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.schema(cache.LOOKUP).parquet(f"{folder}/out").drop("at")
