@@ -108,7 +108,7 @@ def extension(path: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters, digits and underscores."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: F.length(t) > 0)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
 def meaningful(text: Column) -> Column:

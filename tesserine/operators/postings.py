@@ -65,7 +65,9 @@ def build(docs: DataFrame, key: str, fields: Mapping[str, Column], path: str, bu
     spark = docs.sparkSession
     analysed = docs.select(F.col(key).alias("key"), F.array(*[F.struct(F.lit(name).alias("field"), tokens(F.coalesce(text, F.lit(""))).alias("tokens")) for name, text in fields.items()]).alias("f")).select("key", F.inline("f"))
     sized = analysed.withColumn("dl", F.size("tokens"))
-    sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
+    count = lambda text: F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"))  # noqa: E731  as many as tokens, without an array
+    sizes = docs.select(F.inline(F.array(*[F.struct(F.lit(name).alias("field"), count(text).alias("dl")) for name, text in fields.items()])))
+    sizes.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
     total = spark.read.parquet(f"{path}/fields").agg(F.sum(F.col("n") * F.col("avgdl"))).first()[0] or 0
     salts = 1 + int(total) // (buckets * POSTINGS)
     kind = docs.schema[key].dataType.simpleString()
