@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
+from tesserine.operators import ordered
+from tesserine.plans.staging import staged
 
 
 def top_values(df: DataFrame, group: str, value: str, k: int) -> DataFrame:
@@ -16,15 +18,18 @@ def top_values(df: DataFrame, group: str, value: str, k: int) -> DataFrame:
 
 
 def excerpts(chunks: DataFrame, file: str, order: list[str], size: Column, most: int) -> DataFrame:
-    """Chunks of each file, in order, up to and including the one that passes the limit."""
-    w = Window.partitionBy(file).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("before") <= most).drop("before")
+    """Chunks of each file, in order, up to and including the one that passes the limit. Sizes are never negative; null counts as 0."""
+    return ordered.running(chunks, [file], order, {"__before": size}, {"__before": most}).drop("__before")
+
+
+def budgeted(blocks: DataFrame, group: str, order: list[str], size: Column, most: int) -> DataFrame:
+    """The blocks of each group, in order, that a budget holds; blocks before the first one with a size don't count as held."""
+    return ordered.running(blocks, [group], order, {"__total": size}, {"__total": most}, through=True).where("__total IS NOT NULL").drop("__total")
 
 
 def neighbours(chunks: DataFrame, file: str, key: str, order: list[str]) -> DataFrame:
-    """prev_id and next_id of each chunk within its file."""
-    w = Window.partitionBy(file).orderBy(*order)
-    return chunks.withColumn("prev_id", F.lag(key).over(w)).withColumn("next_id", F.lead(key).over(w))
+    """prev_id and next_id of each chunk within its file; ties of the order by key."""
+    return ordered.beside(chunks, [file], order, key, "prev_id", "next_id")
 
 
 def unpivoted_counts(df: DataFrame, **flags: Column) -> DataFrame:
@@ -100,11 +105,16 @@ METHOD = r"(?m)^func\s*\(([^)]*)\)\s*([A-Za-z_][A-Za-z0-9_]*)\s*\("
 
 
 def enclosing_signature(chunks: DataFrame, file: str, order: list[str], back: int = 2) -> DataFrame:
-    """The chunks with the signature, receiver and name of the first method among the ``back`` chunks before each; null without one."""
-    before = Window.partitionBy(file).orderBy(*order).rowsBetween(-back, -1)
+    """The chunks with the signature, receiver and name of the first method among the ``back`` chunks before each; null without one.
+
+    Chunks are numbered in parts, and what is found is sent on to the numbers that see it, so a file of any size is spread over tasks.
+    """
     part = lambda group: F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), METHOD, group), F.lit(""))
     found = F.when(part(2).isNotNull(), F.struct(part(0).alias("signature"), F.trim(F.coalesce(part(1), F.lit(""))).alias("receiver"), part(2).alias("method")))
-    return chunks.withColumn("enclosing", F.first(found, ignorenulls=True).over(before))
+    rows = staged(ordered.numbered(chunks.drop("enclosing"), [file], order, "__at"), "numbered")
+    seen = rows.select(file, "__at", found.alias("found")).where("found IS NOT NULL").withColumn("sees", F.explode(F.sequence(F.col("__at") + 1, F.col("__at") + back)))
+    nearest = seen.groupBy(file, F.col("sees").alias("__at")).agg(F.min_by("found", F.col("__at")).alias("enclosing"))
+    return ordered.with_few(rows, nearest, [file, "__at"]).drop("__at")
 
 
 def owner(spans: DataFrame, declarations: DataFrame, file: str, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions.names import is_test_path
 from tesserine.functions.text import clean_terms, lines, strip
+from tesserine.operators import ordered
 from tesserine.operators.packs import top_values
 
 #: Patterns of files that start a program.
@@ -19,6 +20,11 @@ ENTRYPOINTS = (r"(^|/)(main\.py|app\.py|server\.py|manage\.py)$", r"(^|/)cli/.*\
 _LAST = 10**9
 
 
+def _in_file() -> list[Column]:
+    """The order of a file's chunks; those without a line or number come last."""
+    return [F.coalesce("start_line", F.lit(_LAST)), F.coalesce("chunk_number", F.lit(_LAST))]
+
+
 def repositories(chunks: DataFrame, most: int = 10_000) -> DataFrame:
     """(repo_id, count), the largest first."""
     return chunks.groupBy("repo_id").count().orderBy(F.desc("count"), "repo_id").limit(most)
@@ -50,10 +56,9 @@ def heads(chunks: DataFrame, files: DataFrame, most_lines: int = 50, most_chars:
 
     The chunk that crosses the limit is cut; last is the greatest end line of the chunks looked at.
     """
-    order = Window.partitionBy("repo_id", "rel_path").orderBy(F.coalesce("start_line", F.lit(_LAST)), F.coalesce("chunk_number", F.lit(_LAST)))
-    rows = chunks.join(files.select("repo_id", "rel_path", "place"), ["repo_id", "rel_path"])
-    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("code", lines(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.size("code")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < most_lines)
+    rows = chunks.join(files.select("repo_id", "rel_path", "place"), ["repo_id", "rel_path"]).withColumn("code", lines(F.coalesce("text", F.lit(""))))
+    rows = ordered.running(rows, ["repo_id", "rel_path"], _in_file(), {"at": F.lit(1), "before": F.size("code")}, {"before": most_lines - 1})
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("at", "before")})
     piece = F.array_join(F.slice("code", F.lit(1), F.least(F.size("code"), (F.lit(most_lines) - F.col("before")).cast("int"))), "\n")
     out = rows.groupBy("repo_id", "rel_path", "place").agg(F.min("start_line").alias("first"), F.max("end_line").alias("last"), F.array_sort(F.collect_list(F.struct("at", piece.alias("piece")))).alias("p"))
     head = F.array_join(F.transform("p", lambda x: x["piece"]), "\n")
@@ -168,11 +173,9 @@ def changed(rows: DataFrame, stored: DataFrame, keys: Sequence[str], digest: str
 
 def file_guides(chunks: DataFrame, most_lines: int = 400, most_chars: int = 20_000) -> DataFrame:
     """(repo_id, rel_path, first, last, excerpt, excerpt_sha1): what a guide of each file is written from. Chunks follow each other until the limits are passed; the one that passes them is kept."""
-    order = Window.partitionBy("repo_id", "rel_path").orderBy(F.coalesce("start_line", F.lit(_LAST)), F.coalesce("chunk_number", F.lit(_LAST)))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     text = F.coalesce("text", F.lit(""))
-    sums = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    rows = chunks.withColumn("at", F.row_number().over(order)).withColumn("chars", sums(F.length(text))).withColumn("n_lines", sums(F.size(lines(text)))).where((F.col("chars") <= most_chars) & (F.col("n_lines") <= most_lines))
+    sums = {"at": F.lit(1), "chars": F.length(text), "n_lines": F.size(lines(text))}
+    rows = ordered.running(chunks, ["repo_id", "rel_path"], _in_file(), sums, {"chars": most_chars, "n_lines": most_lines}).withColumn("at", F.coalesce("at", F.lit(0)))
     out = rows.groupBy("repo_id", "rel_path").agg(F.min("start_line").alias("first"), F.max("end_line").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("text")))), lambda x: x["text"]), "\n").alias("excerpt"))
     return out.withColumn("excerpt_sha1", F.sha1(F.col("excerpt").cast("binary")))
 

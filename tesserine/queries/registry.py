@@ -232,9 +232,7 @@ def guarded_filter(spark, sf_dir):
 
 @query("SELECT doc_id, source, round(1 - (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / count(*) OVER (PARTITION BY source)::DOUBLE, 9) AS score FROM documents")
 def fallback_scores(spark, sf_dir):
-    w = Window.partitionBy("source")
-    place = F.row_number().over(w.orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.round(1 - place / F.count("*").over(w), 9).alias("score"))
+    return filtering.fallback_scores(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"])
 
 
 def _text_query(name: str, sql: str, build: Callable[[], object], alias: str = "value", source: str = "documents", key: str = "doc_id") -> None:
@@ -416,8 +414,8 @@ def evidence_block(spark, sf_dir):
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM conversations) WHERE total <= 1000")
 def prompt_budget(spark, sf_dir):
     """The greedy prefix of blocks within a budget of characters."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("total")).where("total <= 1000").select("conv_id", "turn")
+    blocks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return packs.budgeted(blocks, "conv_id", ["turn"], F.col("n"), 1000).select("conv_id", "turn")
 
 
 @query(f"""WITH l AS (SELECT source, string_agg(lang, ', ' ORDER BY place) AS languages FROM ({ORACLES["router_languages"]}) GROUP BY source),
