@@ -141,6 +141,13 @@ def citations(answer: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))))
 
 
+def normalized_list(items: Column, most: int | None = None) -> Column:
+    """Trimmed items that aren't empty, cut to ``most``, distinct by lower case in first-seen order. Null has no items."""
+    kept = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), strip), lambda x: F.length(x) > 0)
+    kept = kept if most is None else F.slice(kept, 1, most)
+    return F.filter(kept, lambda x, i: F.array_position(F.transform(kept, F.lower), F.lower(x)) == i + 1)
+
+
 def clean_terms(terms: Column, most: int = 120) -> Column:
     """Split at commas and semicolons, trimmed, cut to ``most``, distinct by lower case in first-seen order."""
     items = F.slice(F.filter(F.transform(F.split(terms, "[;,]"), strip), lambda x: F.length(x) > 0), 1, most)

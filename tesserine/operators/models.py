@@ -86,6 +86,72 @@ def embed(rows: DataFrame, factory: Factory, text: str = "text", caps: Sequence[
     return rows.mapInPandas(run, schema)
 
 
+def json_object(reply: str | None) -> dict | None:
+    """The JSON object of a reply, with a code fence or words around it or without; None if there is none."""
+    body = reply or ""
+    begin, end = body.find("{"), body.rfind("}")
+    try:
+        found = json.loads(body[begin : end + 1]) if 0 <= begin < end else None
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _replies(model: Callable[[list[str]], list], prompts: list[str], attempts: int, wait: float) -> list[tuple[str | None, str | None]]:
+    """(reply, error) of each prompt. A window that fails is halved, so that only the prompts that fail are tried again, after wait, 2 wait, 4 wait, ..."""
+    try:
+        replies = model(prompts)
+        if len(replies) != len(prompts):
+            raise ValueError(f"{len(replies)} replies for {len(prompts)} prompts")
+        return [(r, None) for r in replies]
+    except Exception as e:  # the error is a column of the result
+        if len(prompts) > 1:
+            half = len(prompts) // 2
+            return _replies(model, prompts[:half], attempts, wait) + _replies(model, prompts[half:], attempts, wait)
+        if attempts > 1:
+            time.sleep(wait)
+            return _replies(model, prompts, attempts - 1, 2 * wait)
+        return [(None, f"{type(e).__name__}: {e}"[:200])]
+
+
+def ask_json(rows: DataFrame, factory: Factory, prompts: Sequence[str], required: str, attempts: int = 3, wait: float = 0.5, window: int = 32) -> DataFrame:
+    """The rows with reply (JSON text), step and error.
+
+    The prompt columns are asked in turn until a reply is a JSON object whose ``required`` field
+    is text that isn't blank; step is the number of that prompt. Rows answered by one prompt
+    don't see the next, and a null prompt is passed over. A call that fails is tried again alone; the last error
+    is kept where no prompt got an answer. Columns of these names are replaced.
+    """
+    from pyspark.sql.types import IntegerType, StringType, StructType
+
+    rows = rows.drop("reply", "step", "error")
+    schema = StructType([*rows.schema.fields]).add("reply", StringType()).add("step", IntegerType()).add("error", StringType())
+
+    def answers(model: Callable[[list[str]], list], part: pd.DataFrame) -> list[tuple[str | None, int | None, str | None]]:
+        out: list[tuple[str | None, int | None, str | None]] = [(None, None, "no prompt")] * len(part)
+        for step, column in enumerate(prompts, 1):
+            texts = part[column]
+            left = [i for i, (reply, *_) in enumerate(out) if reply is None and isinstance(texts.iloc[i], str)]
+            for i, (reply, error) in zip(left, _replies(model, [texts.iloc[i] for i in left], attempts, wait) if left else [], strict=True):
+                found = json_object(reply)
+                good = found is not None and isinstance(found.get(required), str) and found[required].strip() != ""
+                out[i] = (json.dumps(found), step, None) if good else (None, None, error or "invalid reply")
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for frame in frames:
+            model = model or factory()
+            for at in range(0, len(frame), window):
+                part = frame.iloc[at : at + window].copy()
+                done = answers(model, part)
+                for n, column in enumerate(("reply", "step", "error")):
+                    part[column] = pd.Series([d[n] for d in done], index=part.index, dtype="Int32" if column == "step" else object)
+                yield part
+
+    return rows.mapInPandas(run, schema)
+
+
 def decision(reply: str | None) -> tuple[int, str] | None:
     """(score 0 to 4, reason of up to 100 characters) of a JSON reply; None if it isn't one."""
     try:
