@@ -108,8 +108,10 @@ _GO = """concat('package orders\\n\\nimport "time"\\n\\n', array_join(transform(
 
 
 def go_files(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber IS NOT NULL AND l_quantity IS NOT NULL")
-    return items.groupBy("l_orderkey").agg(F.expr(_GO).alias("text")).selectExpr("concat('o', l_orderkey, '.go') AS rel_path", "text").repartition(spark.sparkContext.defaultParallelism)  # small rows, long walks
+    items = table(spark, sf_dir, "lineitem").where("l_linenumber IS NOT NULL AND l_quantity IS NOT NULL").select("l_orderkey", "l_linenumber", "l_quantity")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = items.repartition(tasks, "l_orderkey").groupBy("l_orderkey")  # small rows, long walks: the items are dealt out, not their texts
+    return files.agg(F.expr(_GO).alias("text")).selectExpr("concat('o', l_orderkey, '.go') AS rel_path", "text")
 
 
 _UNIT = f"""SELECT l_orderkey, l_linenumber AS n, l_quantity::INT AS q, (5 + coalesce(sum(l_quantity::INT + 4) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS line,

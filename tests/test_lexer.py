@@ -1,6 +1,7 @@
 """Declarations by tokens: what stands in strings, comments, templates and functions isn't one."""
 
 import random
+import re
 import time
 
 import pytest
@@ -210,3 +211,33 @@ def test_go_chunks_of_a_file():
     split = [c for c in chunkers.go_chunks(GO, 30) if c["name"] == "Run"]
     assert [c["part"] for c in split] == list(range(1, len(split) + 1)) and "".join("".join(c["text"].split()) for c in split) == "".join("".join(GO.split("\n")[11:16]).split())
     assert chunkers.go_chunks("", 10) == [] and [c["kind"] for c in chunkers.go_chunks("func A() {}", 10)] == ["function"]
+
+
+def test_go_tokens_leave_out_braces():
+    """As many tokens whatever the bodies hold, and the same declarations as from all tokens."""
+    pieces = ["func ", "type ", "F ", "(", ")", "{", "}", "[", "]", "\n", "//c{\n", "/* { \n */", '"s{"', "'}'", "`r\n{`", "struct ", "import ", "=", ";", "+", "func A() {\n x += 1 }\n", "type (\n A struct { b int }\n B = c\n)\n"]
+    rng = random.Random(5)
+    texts = [GO, *["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(2000)]]
+    for text in texts:
+        every = list(lexer.tokens(text, "go"))
+        assert lexer.go_declarations(text) == lexer.go_declarations(text, every) and lexer.go_header(text) == lexer.go_header(text, every), text
+        assert {t for t in lexer.go_tokens(text) if t.kind == "c"} == {t for t in every if t.kind == "c"}, text
+    body = lambda n: "func A(x int) {\n" + "\tif x { x += 1 }\n" * n + "}\n"
+    assert len(lexer.go_tokens(body(500))) == len(lexer.go_tokens(body(1)))
+
+
+def test_tokens_are_counted_without_a_list():
+    rng = random.Random(6)
+    signs = [chr(i) for i in range(128)] + ["é", "\u2028", "漢"]
+    for n in range(500):
+        text = "".join(rng.choice(signs[: 128 if n % 2 else None]) for _ in range(50))
+        assert chunkers.count_tokens(text) == len(re.findall(r"\w+|[^\w\s]", text)), text
+
+
+def test_packed_chunks_count_a_text_once(monkeypatch):
+    """Texts of whole declarations within the limit aren't counted again once they are merged."""
+    seen = []
+    count = chunkers.count_tokens
+    monkeypatch.setattr(chunkers, "count_tokens", counted := lambda text, encode=None: seen.append(text) or count(text, encode))
+    text = "".join(f"func F{i}() {{\n\tx()\n}}\n" for i in range(6))
+    assert len(chunkers.packed_chunks(text, "go", 1000, counted)) == 1 and seen and text not in seen
