@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.functions.numbers import rounded
 from tesserine.operators import ordered
 from tesserine.plans.staging import staged
 
@@ -28,7 +31,8 @@ def guarded(rows: DataFrame, query: str, key: str, threshold: int = 3, min_survi
     few = rated.where("NOT guard AND at IS NULL").withColumn("place", best).where(F.col("place") <= 2 * min_survivors).drop("place")
     kept = rated.where("guard OR filter_score >= at").unionByName(few)
     lane = F.when(F.col("guard"), F.lit("guard")).when(F.col("at").isNull(), F.lit("retriever")).otherwise(F.concat(F.lit("at_"), F.col("at").cast("string")))
-    hybrid = F.round(F.when(F.col("guard"), F.col("retriever_score")).otherwise(F.col("retriever_score") + alpha * F.col("filter_score") / 4), 6)
+    share = (F.lit(Decimal(str(alpha))) * F.col("filter_score")).cast("double") / 4  # 0.3 * 3 is 0.9, which it isn't in doubles
+    hybrid = rounded(F.when(F.col("guard"), F.col("retriever_score")).otherwise(F.col("retriever_score") + share), 6)
     out = kept.select(query, key, lane.alias("lane"), hybrid.alias("hybrid"))
     return ordered.numbered(out, [query], [F.desc("hybrid"), key], "rank").withColumn("rank", F.col("rank").cast("int"))
 
