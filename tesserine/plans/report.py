@@ -5,9 +5,10 @@ from __future__ import annotations
 import difflib
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.functions.numbers import rounded
 from tesserine.functions.text import strip
 
 MOST = 100
@@ -35,13 +36,13 @@ OVER = "over_300"
 FORMS = (("go:file_header", "file_headers"), ("interface", "interfaces"), ("struct", "structs"), ("function", "functions"), ("method", "methods"))
 
 
-def profile(chunks: DataFrame, accuracy: int = 10_000) -> DataFrame:
+def profile(chunks: DataFrame) -> DataFrame:
     """(dimension, value, chunks, tokens, mean, least, most, median, p90) of chunks by language, path, form of path, bucket of tokens, import, symbol, flag, and all.
 
     chunks: language, ast_path, n_tokens, imports_used, symbols_referenced, prev, next,
-    summary_1l, qa_terms. One scan and one exchange of partial sums serve all dimensions; median and
-    p90 are from a quantile sketch. Null tokens count as 0, a null language as unknown, a null path as
-    empty. Imports and symbols count once a chunk and mention. An empty table has no rows.
+    summary_1l, qa_terms. One scan serves all dimensions; median and p90 are exact, from the counts of
+    each number of tokens, which are one row a value and number. Null tokens count as 0, a null language as
+    unknown, a null path as empty. Imports and symbols count once a chunk and mention. An empty table has no rows.
     """
     n = F.coalesce("n_tokens", F.lit(0))
     path = F.coalesce("ast_path", F.lit(""))
@@ -55,8 +56,12 @@ def profile(chunks: DataFrame, accuracy: int = 10_000) -> DataFrame:
     each = lambda dimension, c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: pair(dimension, v))
     many = [each("import", "imports_used"), each("symbol", "symbols_referenced")]
     rows = chunks.select(n.cast("long").alias("n"), F.explode(F.filter(F.concat(F.array(*single), *many), lambda x: x["value"].isNotNull())).alias("x")).select("n", "x.*")
-    at = lambda q: F.percentile_approx("n", q, accuracy)
-    return rows.groupBy("dimension", "value").agg(F.count("*").alias("chunks"), F.sum("n").alias("tokens"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), at(0.5).alias("median"), at(0.9).alias("p90"))
+    counted = rows.groupBy("dimension", "value", "n").agg(F.count("*").alias("c"))
+    group = Window.partitionBy("dimension", "value")
+    counted = counted.withColumn("upto", F.sum("c").over(group.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(group))
+    at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("all") * tenths, F.col("n")))
+    tokens = F.sum(F.col("n") * F.col("c"))
+    return counted.groupBy("dimension", "value").agg(F.sum("c").alias("chunks"), tokens.alias("tokens"), rounded(tokens / F.sum("c"), 6).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), at(5).alias("median"), at(9).alias("p90"))
 
 
 def summary(chunks: DataFrame) -> DataFrame:

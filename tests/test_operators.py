@@ -65,3 +65,32 @@ def test_entry_points(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 40
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_hybrid_scores_round_as_decimals(spark):
+    """0.3 * 3 / 4 is 0.225: a score that ends in a half is rounded up."""
+    rows = [("a", i, 0.0006035 if i < 8 else 0.5, 3 if i < 8 else 0) for i in range(16)]
+    got = filtering.guarded(spark.createDataFrame(rows, "q string, id int, retriever_score double, filter_score int"), "q", "id").collect()
+    assert {(r.id, r.hybrid, r["rank"]) for r in got} == {(i, 0.225604, i + 1) for i in range(8)}
+
+
+def test_survivors_round_as_decimals(spark):
+    from tesserine.operators import rag
+
+    rows = [("a", i, i + 1, 0.0006035 if i < 8 else 0.5, 3 if i < 8 else 0) for i in range(16)]
+    got = rag.survivors(spark.createDataFrame(rows, "query string, id int, rank int, retriever_score double, filter_score int")).collect()
+    assert {(r.id, r.hybrid) for r in got} == {(i, 0.225604) for i in range(8)}
+
+
+def test_profile_quantiles_are_exact(spark):
+    from tesserine.plans import report
+
+    rows = spark.range(0, 60_001, 1, 4).selectExpr(
+        "'go' AS language", "'p' AS ast_path", "int(id * id % 100003) AS n_tokens", "CAST(NULL AS array<string>) AS imports_used", "CAST(NULL AS array<string>) AS symbols_referenced",
+        "CAST(NULL AS string) AS prev", "CAST(NULL AS string) AS next", "CAST(NULL AS string) AS summary_1l", "CAST(NULL AS string) AS qa_terms",
+    )
+    n = sorted(i * i % 100003 for i in range(60_001))
+    got = {r.dimension: r for r in report.profile(rows).where("dimension IN ('all', 'language')").collect()}
+    for r in got.values():
+        assert (r.chunks, r.tokens, r.least, r.most, r.median, r.p90) == (len(n), sum(n), n[0], n[-1], n[30_000], n[54_000])
+    assert len(got) == 2
