@@ -141,17 +141,22 @@ def citations(answer: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))))
 
 
+def _first_by_case(items: Column) -> Column:
+    """The first of items that are equal in lower case. The items and their lower case are bound to names: within a lambda an expression is evaluated for every item."""
+    lowered = lambda x: F.transform(F.array(F.transform(x, F.lower)), lambda low: F.filter(x, lambda _, i: F.array_position(low, F.get(low, i)) == i + 1))
+    return F.get(F.get(F.transform(F.array(items), lowered), F.lit(0)), F.lit(0))
+
+
 def normalized_list(items: Column, most: int | None = None) -> Column:
     """Trimmed items that aren't empty, cut to ``most``, distinct by lower case in first-seen order. Null has no items."""
     kept = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), strip), lambda x: F.length(x) > 0)
-    kept = kept if most is None else F.slice(kept, 1, most)
-    return F.filter(kept, lambda x, i: F.array_position(F.transform(kept, F.lower), F.lower(x)) == i + 1)
+    return _first_by_case(kept if most is None else F.slice(kept, 1, most))
 
 
 def clean_terms(terms: Column, most: int = 120) -> Column:
     """Split at commas and semicolons, trimmed, cut to ``most``, distinct by lower case in first-seen order."""
     items = F.slice(F.filter(F.transform(F.split(terms, "[;,]"), strip), lambda x: F.length(x) > 0), 1, most)
-    return F.filter(items, lambda x, i: F.array_position(F.transform(items, F.lower), F.lower(x)) == i + 1)
+    return _first_by_case(items)
 
 
 def rerank_snippet(path: Column, start: Column, end: Column, summary: Column, language: Column, code: Column, most: int = 800) -> Column:

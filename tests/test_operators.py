@@ -94,3 +94,12 @@ def test_profile_quantiles_are_exact(spark):
     for r in got.values():
         assert (r.chunks, r.tokens, r.least, r.most, r.median, r.p90) == (len(n), sum(n), n[0], n[-1], n[30_000], n[54_000])
     assert len(got) == 2
+
+
+def test_lists_are_normalised_once(spark):
+    """The items aren't evaluated again for each item: their expression stands once in the plan."""
+    frame = spark.createDataFrame([("B a b A  c",), ("",), (None,)], "t string")
+    lists = frame.select(T.normalized_list(F.split("t", " "), 4).alias("v"), T.clean_terms(F.regexp_replace("t", " ", ";")).alias("c"))
+    assert [(r.v, r.c) for r in lists.collect()] == [(["B", "a"], ["B", "a", "c"]), ([], []), ([], None)]
+    plan = frame.select(T.normalized_list(F.split("t", " "), 4).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
