@@ -11,20 +11,22 @@ up those that must and those that should match.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.functions.text import tokens
-
 K1, B = 1.2, 0.75
 #: Folders that terms are dealt to, unless told otherwise.
 BUCKETS = 64
-#: Tokens that one task is meant to sort and write.
-POSTINGS = 4_000_000
+#: Tokens that one task is meant to sort and write, the bytes of a text that count as a token, and the bytes of texts whose postings are made together.
+POSTINGS, TOKEN, BLOCK = 2_000_000, 6, 16 << 20
+#: Whether a byte belongs to a token.
+_WORD = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", np.uint8))
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -37,44 +39,106 @@ def bucket_of(term: str, buckets: int) -> int:
     return (found - (1 << 64) if found >> 63 else found) % buckets
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a distinct token of each row, with its places."""
-    for batch in batches:
-        tokens = batch.column("tokens")
-        n = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        words = tokens.flatten().dictionary_encode()
-        codes = words.indices.to_numpy()
-        row = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((codes, row))  # stable: places stay in order
-        row, codes = row[order], codes[order]
-        head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (codes[1:] != codes[:-1]))) if len(row) else np.zeros(0, np.int64)
-        of = pa.array(row[head])
-        places = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
-        tf = np.diff(np.append(head, len(row))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("key").take(of), batch.column("field").take(of), words.dictionary.take(pa.array(codes[head])), batch.column("dl").take(of), pa.array(tf), places], ["key", "field", "term", "dl", "tf", "positions"])
+def _places(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of lower-case texts, in order: their terms, their rows, their places in the row; and the number of tokens of each row."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    size = int(ends[-1] - ends[0])
+    data = np.frombuffer(texts.buffers()[2], np.uint8, size, ends[0]) if size else np.zeros(0, np.uint8)
+    ends -= ends[0]
+    held = _WORD[data]
+    border = np.zeros(size + 1, bool)  # a token doesn't go on in the next row
+    border[ends] = True
+    starts = held.copy()
+    starts[1:] &= ~held[:-1] | border[1:-1]
+    lasts = held.copy()
+    lasts[:-1] &= ~held[1:] | border[1:-1]
+    starts, lasts = np.flatnonzero(starts), np.flatnonzero(lasts)
+    until = np.append(0, np.cumsum(lasts - starts + 1)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(until), pa.py_buffer(data[held])).dictionary_encode()
+    first = np.searchsorted(starts, ends)
+    n = np.diff(first)
+    return words, np.repeat(np.arange(len(n)), n), np.arange(len(starts)) - np.repeat(first[:-1], n), n
+
+
+def _by_code(codes: np.ndarray) -> np.ndarray:
+    """A stable order of non-negative codes; sixteen bits at a time, which numpy sorts in linear time."""
+    order = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
+    return order if len(codes) == 0 or codes.max() < 1 << 16 else order[np.argsort((codes[order] >> 16).astype(np.uint16), kind="stable")]
+
+
+def _block(field: str, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """One row a distinct term of the texts, with its postings in the order of the rows."""
+    words, row, place, n = _places(texts)
+    codes = words.indices.to_numpy()
+    order = _by_code(codes)
+    row, codes = row[order], codes[order]
+    new = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
+    head = np.flatnonzero(new | np.append(True, row[1:] != row[:-1])[: len(codes)])
+    until = np.append(head, len(codes)).astype(np.int32)
+    places = pa.ListArray.from_arrays(pa.array(until), pa.array(place[order].astype(np.int32)))
+    of = row[head]
+    rows = pa.StructArray.from_arrays([keys.take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(np.diff(until)), places], ["key", "dl", "tf", "positions"])
+    term = np.flatnonzero(new[head])
+    blocks = pa.ListArray.from_arrays(pa.array(np.append(term, len(head)).astype(np.int32)), rows)
+    names = words.dictionary.take(pa.array(codes[head[term]]))
+    return pa.RecordBatch.from_arrays([pa.array([field] * len(names), pa.string()), names, blocks], ["field", "term", "rows"])
+
+
+def _blocks(names: Sequence[str], most: int):
+    """Rows of key and lower-case texts, ``most`` bytes of texts at a time and a whole text at least, as blocks of postings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [batch.column(i + 1) for i in range(len(names))]
+            size = np.cumsum(sum(pc.binary_length(t).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+                for name, text in zip(names, texts, strict=True):
+                    yield _block(name, batch.column(0).slice(at, to - at), text.slice(at, to - at))
+                at = to
+
+    return run
+
+
+@contextmanager
+def _as_they_come(spark: SparkSession, folders: int) -> Iterator[None]:
+    """Writes of up to so many folders a task don't sort their rows by folder again."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, folders)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def build(docs: DataFrame, key: str, fields: Mapping[str, Column], path: str, buckets: int = BUCKETS) -> None:
     """Write the index of the fields (text columns; null counts as empty) below ``path``.
 
-    A row's tokens are counted and placed within the row, so one posting a distinct token is
-    shuffled, once. A bucket is dealt to as many tasks as its share of POSTINGS asks for, by key: no
-    task holds all rows of a frequent term.
+    The tokens of BLOCK bytes of rows are counted and placed together, so what is shuffled, once,
+    is one row a distinct term of a block, with its postings. A bucket is dealt to as many tasks as
+    its share of POSTINGS asks for, by a block's first key: no task holds all rows of a frequent
+    term. Lengths are added up from the postings, so texts are cut once.
     """
     spark = docs.sparkSession
-    analysed = docs.select(F.col(key).alias("key"), F.array(*[F.struct(F.lit(name).alias("field"), tokens(F.coalesce(text, F.lit(""))).alias("tokens")) for name, text in fields.items()]).alias("f")).select("key", F.inline("f"))
-    sized = analysed.withColumn("dl", F.size("tokens"))
-    count = lambda text: F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"))  # noqa: E731  as many as tokens, without an array
-    sizes = docs.select(F.inline(F.array(*[F.struct(F.lit(name).alias("field"), count(text).alias("dl")) for name, text in fields.items()])))
-    sizes.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
-    total = spark.read.parquet(f"{path}/fields").agg(F.sum(F.col("n") * F.col("avgdl"))).first()[0] or 0
-    salts = 1 + int(total) // (buckets * POSTINGS)
+    n = docs.count()
+    texts = [F.coalesce(text, F.lit("")) for text in fields.values()]
+    size = docs.agg(F.sum(sum((F.octet_length(t).cast("long") for t in texts), F.lit(0).cast("long")))).first()[0] or 0
+    salts = 1 + size // (buckets * POSTINGS * TOKEN)
     kind = docs.schema[key].dataType.simpleString()
-    rows = sized.mapInArrow(_counted, f"key {kind}, field string, term string, dl int, tf int, positions array<int>").withColumn("bucket", _bucket(F.col("term"), buckets))
-    rows.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("key"), F.lit(salts))).sortWithinPartitions("bucket", "field", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    frequent = spark.read.parquet(f"{path}/postings").groupBy("bucket", "field", "term").agg(F.count("*").alias("df"))
+    lower = docs.select(F.col(key).alias("key"), *[F.lower(t).alias(f"f{i}") for i, t in enumerate(texts)])
+    blocks = lower.mapInArrow(_blocks(list(fields), BLOCK), f"field string, term string, rows array<struct<key: {kind}, dl: int, tf: int, positions: array<int>>>").withColumn("bucket", _bucket(F.col("term"), buckets))
+    part = F.col("bucket") * salts + F.pmod(F.xxhash64(F.col("rows")[0]["key"]), F.lit(salts)).cast("int")
+    dealt = blocks.repartitionById(buckets * salts, part).sortWithinPartitions("bucket", "field", "term", F.col("rows")[0]["key"])
+    with _as_they_come(spark, buckets):
+        dealt.select("field", "term", "bucket", F.inline("rows")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    frequent = spark.read.parquet(f"{path}/postings").groupBy("bucket", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tokens"))
     frequent.repartition("bucket").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    total = dict(spark.read.parquet(f"{path}/terms").groupBy("field").agg(F.sum("tokens")).collect())  # one row a field
+    stats = [(name, n, total.get(name, 0) / n, buckets) for name in fields] if n else []
+    spark.createDataFrame(stats, "field string, n long, avgdl double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
 
 
 class Index:

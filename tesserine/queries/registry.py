@@ -76,7 +76,8 @@ def postings_build(spark, sf_dir):
     """Builds the index and counts what it holds."""
     path = build_index(spark, sf_dir)
     places = F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)).alias("places")
-    held = spark.read.parquet(f"{path}/postings").groupBy("field").agg(F.count_distinct("term").alias("terms"), F.count("*").alias("rows"), F.sum("tf").alias("tokens"), places)
+    terms = spark.read.parquet(f"{path}/terms").groupBy("field").agg(F.count("*").alias("terms"))  # one row a term
+    held = spark.read.parquet(f"{path}/postings").groupBy("field").agg(F.count("*").alias("rows"), F.sum("tf").alias("tokens"), places).join(terms, "field")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return spark.read.parquet(f"{path}/fields").join(held, "field", "left").select("field", "n", F.round("avgdl", 6).alias("avgdl"), *[zero(c) for c in ("terms", "rows", "tokens", "places")])
 

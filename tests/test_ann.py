@@ -1,6 +1,7 @@
 """The stored vector index: exact over all lists, measured over few, pruned on disk."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,16 @@ def test_postings_of_rows(spark, tmp_path):
     words = ["", "a", "license", "é", "x" * 100]
     got = spark.createDataFrame([(w,) for w in words], "w string").select(postings._bucket(F.col("w"), 64)).collect()
     assert [r[0] for r in got] == [postings.bucket_of(w, 64) for w in words]
+
+
+def test_blocks_hold_a_term_once():
+    """What the build shuffles: a row a term of a block, not a posting; tokens end with their row, and a text over the block's bytes is a block of its own."""
+    keys, texts = [3, 1, 2, 9], ["a b a", "a", "", "é_x b" + " b" * 40]
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(texts)], ["key", "f0"])
+    whole = pa.Table.from_batches(list(postings._blocks(["t"], 1 << 20)([rows, rows.slice(1, 0)]))).to_pylist()
+    place = lambda key, dl, *at: {"key": key, "dl": dl, "tf": len(at), "positions": list(at)}
+    assert {r["term"]: r["rows"] for r in whole} == {"a": [place(3, 3, 0, 2), place(1, 1, 0)], "b": [place(3, 3, 1), place(9, 42, *range(1, 42))], "_x": [place(9, 42, 0)]}
+    parts = pa.Table.from_batches(list(postings._blocks(["t"], 6)([rows.slice(0, 2), rows.slice(2)]))).to_pylist()
+    assert [(r["term"], [p["key"] for p in r["rows"]]) for r in parts] == [("a", [3, 1]), ("b", [3]), ("_x", [9]), ("b", [9])]
+    codes = np.array([70000, 3, 65539, 3, 70000, 0])
+    assert postings._by_code(codes).tolist() == np.argsort(codes, kind="stable").tolist()
