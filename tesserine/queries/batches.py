@@ -39,7 +39,7 @@ def _questions(spark, sf_dir):
 @query(_ranked(_MATCHED, 300))
 def batch_bm25(spark, sf_dir):
     """The lexical candidates of every question, in one plan."""
-    return batch.best(batch.matches(index_of(spark, sf_dir), _questions(spark, sf_dir), _FIELDS), 300)
+    return batch.best(batch.matches(index_of(spark, sf_dir), _questions(spark, sf_dir), _FIELDS, most=300), 300)
 
 
 @query(_POOL)

@@ -79,3 +79,20 @@ def test_sql_surface(spark):
         spark.sql("SELECT * FROM code_chunks(1, 'go')").collect()
     with pytest.raises(AnalysisException):
         spark.sql("SELECT * FROM code_chunks('a', 'go', -1)").collect()
+
+
+def test_most_hands_on_few_rows(spark, stored, monkeypatch):
+    """With ``most`` a task keeps the best of each question, ties to the smaller key, however few scores it holds at a time; beyond ASKED words the join is a shuffle with the same rows."""
+    _, index, _ = stored
+    asked = spark.createDataFrame([*ASKED, (6, "w3 w5"), (None, "w7")], "query int, text string")
+    rows = lambda df: sorted((r.query or 0, r.key, r.score) for r in df.collect())
+    whole = batch.matches(index, asked, FIELDS)
+    everything, want = rows(whole), rows(batch.best(whole, 7))
+    for held in (1, 50, 1 << 20):
+        monkeypatch.setattr(batch, "ROWS", held)
+        assert rows(batch.matches(index, asked, FIELDS)) == everything
+        few = batch.matches(index, asked, FIELDS, most=7)
+        assert rows(batch.best(few, 7)) == want and few.count() < len(everything)
+    monkeypatch.setattr(batch, "ASKED", 0)
+    assert rows(batch.matches(index, asked, FIELDS)) == everything
+    assert batch.matches(index, asked.where("query = 3"), FIELDS).collect() == []
