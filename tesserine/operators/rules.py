@@ -3,7 +3,7 @@
 Chunks have: path, chunk_id, start_line, ast_path, text, core, header_context, summary_1l,
 qa_terms, imports_used, symbols_defined, symbols_referenced and neighbors (prev, next). A null
 counts as empty. Rules on one row need no shuffle; the two that look at a whole file share one
-window partitioning.
+set of range parts.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.operators import ordered
+
 #: The codes and messages of the rules below, which callers compare, and names that are built in, so never imports.
 BUILTINS = ("error", "nil", "true", "false", "string", "int", "bool")
 HEADER = "go:file_header"
@@ -69,27 +71,32 @@ def _row_rules() -> dict[str, list[Column]]:
 
 
 def _file_rules() -> dict[str, list[Column]]:
-    """Messages of the rules that compare a chunk with the others of its file."""
-    w = Window.partitionBy("path")
-    ordered = w.orderBy("start_line", "chunk_id")
-    headers = F.sum((_text("ast_path") == HEADER).cast("int")).over(w)
-    place = F.row_number().over(ordered)
-    header = _text("ast_path") == HEADER
-    first, last = place == 1, place == F.count(F.lit(1)).over(w)
-    before, after = F.lag("chunk_id").over(ordered), F.lead("chunk_id").over(ordered)
+    """Messages of the rules that compare a chunk with the others of its file: ``headers`` of the file, and the chunks ``before`` and ``after``, structs that are null at its ends."""
+    headers, header = F.coalesce("headers", F.lit(0)), _text("ast_path") == HEADER
+    first, last = F.col("before").isNull(), F.col("after").isNull()
     wrong = lambda side, want: F.when(~F.col(f"neighbors.{side}").eqNullSafe(want), F.concat(F.lit(f"{side} should be "), F.coalesce(want, F.lit("null")), F.lit(", got "), F.coalesce(F.col(f"neighbors.{side}"), F.lit("null"))))
     edges = [F.when(first & F.col("neighbors.prev").isNotNull(), F.lit("First chunk should have prev = null")), F.when(last & F.col("neighbors.next").isNotNull(), F.lit("Last chunk should have next = null"))]
-    middle = [F.when(~first & ~last, wrong("prev", before)), F.when(~first & ~last, wrong("next", after))]
+    middle = [F.when(~first & ~last, wrong("prev", F.col("before.chunk_id"))), F.when(~first & ~last, wrong("next", F.col("after.chunk_id")))]
     missing = F.when(headers == 0, F.lit("No go:file_header chunk found")).when((headers > 1) & header, F.lit("Multiple go:file_header chunks found")).when((headers == 1) & header & ~first, F.lit("go:file_header chunk is not first"))
     return {"GO_HEADER_PRESENT_FIRST": [missing], "GO_NEIGHBOR_CHAIN": [*edges, *middle]}
 
 
-def violations(chunks: DataFrame) -> DataFrame:
-    """(path, chunk_id, code, message): one row per broken rule and message. Chunks of a file are ordered by start_line, ties by chunk_id."""
-    rules = _file_rules() | _row_rules()
+def _broken(rules: dict[str, list[Column]]) -> Column:
     found = F.array(*[F.struct(F.lit(code).alias("code"), message.alias("message")) for code, messages in rules.items() for message in messages])
-    rows = chunks.select("path", F.coalesce("chunk_id", F.lit("unknown")).alias("chunk_id"), found.alias("found"))
-    return rows.select("path", "chunk_id", F.inline(F.filter("found", lambda v: v["message"].isNotNull())))
+    return F.filter(found, lambda v: v["message"].isNotNull())
+
+
+def violations(chunks: DataFrame) -> DataFrame:
+    """(path, chunk_id, code, message): one row per broken rule and message. Chunks of a file are ordered by start_line, ties by chunk_id.
+
+    Rules on one row are applied first, so that no text is sorted; a file may have any number of
+    chunks, since its rows and their neighbours are found in range parts.
+    """
+    rows = chunks.select("path", "start_line", "ast_path", "neighbors", F.struct("chunk_id").alias("at"), _broken(_row_rules()).alias("found"))
+    headers = chunks.where(_text("ast_path") == HEADER).groupBy("path").agg(F.count("*").alias("headers"))
+    placed = ordered.with_few(ordered.beside(rows, ["path"], ["start_line"], "at", "before", "after"), headers, ["path"])
+    found = F.concat(_broken(_file_rules()), "found")
+    return placed.select("path", F.coalesce("at.chunk_id", F.lit("unknown")).alias("chunk_id"), found.alias("found")).select("path", "chunk_id", F.inline("found"))
 
 
 def repaired(chunks: DataFrame) -> DataFrame:

@@ -109,3 +109,15 @@ def test_cache(spark):
     keys = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), (None,)], "cache_key string")
     got = {r.cache_key: (r.hit, r.value) for r in models.cached(keys, cache, F.lit(10)).collect()}
     assert got == {"a": (True, "new"), "b": (False, None), "c": (True, "kept"), "d": (False, None), None: (False, None)}
+
+
+def test_a_file_of_many_chunks(spark):
+    """Neighbours are found in range parts: no window holds a file, and no text is written with the rows."""
+    n = 300
+    rows = [chunk(i // 2, **({"ast": rules.HEADER} if i == 0 else {}), chunk_id=f"a.go#{i:04}", neighbors=(f"a.go#{i - 1:04}" if i else None, f"a.go#{i + 1:04}" if i < n - 1 else None)) for i in range(n)]
+    wrong = rows[:150] + [chunk(75, chunk_id="a.go#0150", neighbors=("a.go#0149", None))] + rows[151:]
+    found = rules.violations(spark.createDataFrame(wrong, CHUNK))
+    assert [(r.chunk_id, r.code, r.message) for r in found.collect()] == [("a.go#0150", "GO_NEIGHBOR_CHAIN", "next should be a.go#0151, got null")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "__first" not in line and "__n" not in line]
+    assert windows and all("__part" in line for line in windows) and "header_context" not in plan.split("Window [", 1)[1].split("Aggregate", 1)[0]
