@@ -109,11 +109,11 @@ def routed(index: postings.Index, question: str, generation: str = "router_v1",
     return postings.fielded(index, generation, question).where("score > 0").orderBy(F.desc("score"), "key").limit(most)
 
 
-def hybrid_search(chunks: DataFrame, embeddings: DataFrame, index: postings.Index, vector: Sequence[float], clauses: Sequence[tuple[str, str, float]], question: str, repos: Sequence[str] = (), language: str = "", identifiers: Sequence[str] = (), file_hints: Sequence[str] = (), semantic_only: bool = False, k: int = TOP, with_text: int | None = WITH_TEXT, fields: tuple[str, str] = ("summary_en", "text")) -> DataFrame:
+def hybrid_search(chunks: DataFrame, embeddings: DataFrame, index: postings.Index | None, vector: Sequence[float], clauses: Sequence[tuple[str, str, float]], question: str, repos: Sequence[str] = (), language: str = "", identifiers: Sequence[str] = (), file_hints: Sequence[str] = (), semantic_only: bool = False, k: int = TOP, with_text: int | None = WITH_TEXT, fields: tuple[str, str] = ("summary_en", "text")) -> DataFrame:
     """Fused search: kNN and planned BM25 under the same filters, reciprocal ranks, boosts, a cap a file, the best k, text for the first ``with_text`` (None: all).
 
     chunks: id, repo_id, rel_path, language, primary_symbol, all_symbols, all_roles, text.
-    embeddings: id, embedding. Returns the chunk's columns but text with score, rank and text.
+    embeddings: id, embedding. ``semantic_only`` needs no index. Returns the chunk's columns but text with score, rank and text.
     """
     kept = chunks.where(F.col("repo_id").isin(*repos)) if repos else chunks
     allowed = kept.where(F.col("language") == language) if language else kept

@@ -53,7 +53,7 @@ def semantic_search(spark, sf_dir):
     """Vectors alone, texts of all hits; one file a document, no roles."""
     chunks = _chunks(spark, sf_dir).withColumn("rel_path", F.col("id").cast("string")).withColumn("all_roles", F.array().cast("array<string>"))
     embeddings = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(chunks.select("id"), "id", "left_semi")
-    found = rag.hybrid_search(chunks, embeddings, index_of(spark, sf_dir), QVEC, (), "", semantic_only=True, k=5, with_text=None)
+    found = rag.hybrid_search(chunks, embeddings, None, QVEC, (), "", semantic_only=True, k=5, with_text=None)
     return found.select("id", "score", "rank", "text")
 
 
