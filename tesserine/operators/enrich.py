@@ -7,7 +7,7 @@ or fallback (rules). Nothing is asked twice, and what the model gave is returned
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,8 @@ from tesserine.operators.gates import valid_summary
 ASK = "Summarise the code in one English sentence of up to 160 characters and give six to eight keywords of two to four words. Reply with JSON: {\"summary_en\": \"\", \"keywords_en\": []}."
 TIGHTEN = "The reply broke the rules. One ASCII sentence of up to 160 characters, only what the code shows."
 _ANSWER = "summary string, keywords array<string>"
+#: Prompts of one call of a model.
+WINDOW = 256
 
 
 def prompt(kind: Column, symbol: Column, synopsis: Column, text: Column, most: int = 6000) -> Column:
@@ -46,24 +48,27 @@ def parsed(reply: str | None) -> tuple[str, list[str]] | None:
 
 
 def _asked(rows: DataFrame, factory: models.Factory) -> DataFrame:
-    """The rows with summary and keywords: a reply that isn't valid is asked for once more, with a reminder."""
-    from pyspark.sql.types import ArrayType, StringType, StructType
+    """The rows with summary and keywords: a reply that isn't valid is asked for once more, with a reminder. Only prompts leave the JVM, and a model is asked WINDOW of them at a time."""
 
     def good(answer: tuple[str, list[str]] | None) -> bool:
         return answer is not None and 0 < len(answer[0].strip()) <= 160 and answer[0].isascii() and "\n" not in answer[0]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replies(model: Callable[[list[str]], list], prompts: list[str]) -> list[tuple[str | None, list[str]]]:
+        found = [parsed(r) for r in model(prompts)]
+        again = [i for i, a in enumerate(found) if not good(a)]
+        for i, reply in zip(again, model([f"{prompts[i]}\n{TIGHTEN}" for i in again]) if again else [], strict=True):
+            found[i] = parsed(reply) or found[i]
+        return [a or (None, []) for a in found]
+
+    @F.pandas_udf(_ANSWER)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = None
-        for frame in frames:
+        for prompts in batches:
             model = model or factory()
-            prompts = list(frame["prompt"])
-            found = [parsed(r) for r in model(prompts)]
-            again = [i for i, a in enumerate(found) if not good(a)]
-            for i, reply in zip(again, model([f"{prompts[i]}\n{TIGHTEN}" for i in again]) if again else [], strict=True):
-                found[i] = parsed(reply) or found[i]
-            yield frame.assign(summary=[a[0] if a else None for a in found], keywords=pd.Series([a[1] if a else [] for a in found], index=frame.index, dtype=object))
-
-    return rows.mapInPandas(run, StructType([*rows.schema.fields]).add("summary", StringType()).add("keywords", ArrayType(StringType())))
+            got = [a for at in range(0, len(prompts), WINDOW) for a in replies(model, list(prompts.iloc[at : at + WINDOW]))]
+            yield pd.DataFrame({"summary": pd.Series([a[0] for a in got], dtype=object), "keywords": pd.Series([a[1] for a in got], dtype=object)})
+
+    return rows.withColumn("answer", run.asNondeterministic()("prompt")).withColumns({c: F.col(f"answer.{c}") for c in ("summary", "keywords")}).drop("answer")
 
 
 def enriched(chunks: DataFrame, cache: DataFrame, factory: models.Factory, version: str = "v1", overwrite: bool = False, dry_run: bool = False) -> DataFrame:

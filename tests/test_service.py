@@ -144,3 +144,28 @@ def test_router_documents(spark):
     assert doc.short_title == "Title" and doc.summary and doc.languages == ["python"] and "Run" in doc.key_symbols
     stored = repos.file_guides(chunks).where("rel_path = 'x.go'")
     assert [r.rel_path for r in repos.changed(repos.file_guides(chunks), stored, ["repo_id", "rel_path"], "excerpt_sha1").collect()] == ["src/main.py"]
+
+
+def test_models_are_asked_in_windows(spark):
+    """However many rows a batch has, a model and its worker hold a bounded number of prompts, and nothing of a row but its prompt."""
+    from pyspark.sql.types import StringType, StructType
+
+    def model():
+        def ask(prompts):
+            assert len(prompts) <= 256
+            return ["{}" if "\n1" in p and enrich.TIGHTEN not in p else json.dumps({"summary_en": "Runs orders.", "keywords_en": ["order book"]}) for p in prompts]
+
+        return ask
+
+    rows = spark.range(3000).coalesce(1).selectExpr("id", "concat('ask', char(10), id) AS prompt", "repeat('x', 100) AS text")
+    got = enrich._asked(rows, model)
+    assert got.schema["summary"].dataType == StringType() and isinstance(got.schema, StructType)
+    assert {(r.summary, tuple(r.keywords)) for r in got.collect()} == {("Runs orders.", ("order book",))} and got.count() == 3000
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_semantic_search_builds_no_index(spark, monkeypatch):
+    from tesserine.queries import service as queries
+
+    monkeypatch.setattr(queries, "index_of", lambda *_: pytest.fail("an index that nothing reads"))
+    assert [r["rank"] for r in queries.semantic_search(spark, "/root/testdata/sf0.001").orderBy("rank").collect()] == [1, 2, 3, 4, 5]
