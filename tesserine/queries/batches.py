@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserine.operators import batch, rag
 from tesserine.plans import surface
+from tesserine.plans.staging import staged
 from tesserine.queries.indexes import _UNIT, go_files, vector_index
 from tesserine.queries.registry import _TOK, index_of, query, table
 
@@ -57,7 +58,7 @@ def _by_length():
   FROM (SELECT p.query, p.key, score, rank, CASE WHEN rank <= 60 THEN (length(coalesce(text, '')) % 17)::DOUBLE END AS rerank_score FROM ({_POOL}) p LEFT JOIN documents d ON p.key = d.doc_id)) WHERE rerank_rank <= 10""")
 def batch_reranked(spark, sf_dir):
     """The ten best of every question after its first sixty fused hits are reranked."""
-    hits = batch.retrieve(_questions(spark, sf_dir), index_of(spark, sf_dir), _FIELDS, vector_index(spark, sf_dir))
+    hits = staged(batch.retrieve(_questions(spark, sf_dir), index_of(spark, sf_dir), _FIELDS, vector_index(spark, sf_dir)), "pool")  # read twice
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("pair_text"))
     return batch.fused_and_reranked(hits, hits.select("query", "key").join(docs, "key"), _by_length)
 
@@ -81,7 +82,7 @@ def _answers():
 def answer_plan(spark, sf_dir):
     """Recall, filter, rerank, evidence and answer of every question in one plan, with stand-ins for the models. Fewer than eight good rows relax the threshold until all stay."""
     questions = _questions(spark, sf_dir)
-    hits = batch.retrieve(questions, index_of(spark, sf_dir), _FIELDS, vector_index(spark, sf_dir))
+    hits = staged(batch.retrieve(questions, index_of(spark, sf_dir), _FIELDS, vector_index(spark, sf_dir)), "pool")  # its size decides how texts are met
     none = F.lit(None).cast("string")
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("key"), F.coalesce("source", F.lit("none")).alias("repo_id"), F.concat(F.lit("d"), "doc_id").alias("rel_path"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.col("lang").alias("language"),

@@ -96,3 +96,11 @@ def test_most_hands_on_few_rows(spark, stored, monkeypatch):
     monkeypatch.setattr(batch, "ASKED", 0)
     assert rows(batch.matches(index, asked, FIELDS)) == everything
     assert batch.matches(index, asked.where("query = 3"), FIELDS).collect() == []
+
+
+def test_a_pool_is_found_once(spark):
+    """The reranked query reads its pool twice, and its plan finds it no time: it was written."""
+    from tesserine.queries import batches
+
+    plan = batches.batch_reranked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" not in plan and plan.count("pool-") in (0, 2)
