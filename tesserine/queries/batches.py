@@ -10,13 +10,17 @@ from tesserine.plans.staging import staged
 from tesserine.queries.indexes import _UNIT, go_files, vector_index
 from tesserine.queries.registry import _TOK, index_of, query, table
 
-#: Benchmark items are the questions: their first words, and the vector of the same number.
+#: Benchmark items are the questions: their texts or first words, and the vector of the same number.
 _FIELDS = {"text": 1.0, "source": 2.0}
-_ASKED = "array_to_string(string_split(coalesce(text, ''), ' ')[1:5], ' ')"
+_WORDS = "array_to_string(string_split(coalesce(text, ''), ' ')[1:5], ' ')"
+_WHOLE = "coalesce(text, '')"
 _POSTED = " UNION ALL ".join(f"SELECT '{f}' AS field, {b}::DOUBLE AS boost, doc_id, {_TOK.format(f'coalesce({f}, chr(0))')} AS t FROM documents" for f, b in _FIELDS.items())
-_MATCHED = f"""SELECT query, doc_id AS key, round(max(score), 6) AS score FROM (
+
+
+def _matched(asked: str) -> str:
+    return f"""SELECT query, doc_id AS key, round(max(score), 6) AS score FROM (
   SELECT query, doc_id, p.field, any_value(boost) * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
-  FROM (SELECT DISTINCT item_id AS query, unnest({_TOK.format(_ASKED)}) AS term FROM benchmark) q
+  FROM (SELECT DISTINCT item_id AS query, unnest({_TOK.format(asked)}) AS term FROM benchmark) q
   JOIN (SELECT field, any_value(boost) AS boost, doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT field, boost, doc_id, unnest(t) AS term, len(t) AS dl FROM ({_POSTED})) GROUP BY field, doc_id, term) p USING (term)
   JOIN (SELECT field, term, count(*) AS df FROM (SELECT DISTINCT field, doc_id, unnest(t) AS term FROM ({_POSTED})) GROUP BY 1, 2) d ON p.field = d.field AND p.term = d.term
   JOIN (SELECT field, count(*) AS n, avg(len(t)) AS avgdl FROM ({_POSTED}) GROUP BY field) s ON p.field = s.field GROUP BY query, doc_id, p.field) GROUP BY query, doc_id"""
@@ -27,26 +31,31 @@ def _ranked(rows: str, k: int) -> str:
 
 
 _NEAR = "SELECT b.item_id AS query, e.vec_id AS key, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM benchmark b JOIN embeddings q ON b.item_id = q.vec_id CROSS JOIN embeddings e"
-_POOL = _ranked(f"SELECT query, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ({_ranked(_MATCHED, 300)} UNION ALL {_ranked(_NEAR, 50)}) GROUP BY query, key", 200)
 
 
-def _questions(spark, sf_dir):
+def _pool(asked: str) -> str:
+    return _ranked(f"SELECT query, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ({_ranked(_matched(asked), 300)} UNION ALL {_ranked(_NEAR, 50)}) GROUP BY query, key", 200)
+
+
+def _questions(spark, sf_dir, whole=False):
+    """The questions: ``whole`` texts, or the five words that some queries' SQL asks for."""
     items = table(spark, sf_dir, "benchmark")
-    words = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " ", -1), 1, 5), " ")
+    text = F.coalesce("text", F.lit(""))
+    words = text if whole else F.array_join(F.slice(F.split(text, " ", -1), 1, 5), " ")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     return items.join(vectors, "item_id", "left").select(F.col("item_id").alias("query"), words.alias("text"), "vector")
 
 
-@query(_ranked(_MATCHED, 300))
+@query(_ranked(_matched(_WORDS), 300))
 def batch_bm25(spark, sf_dir):
     """The lexical candidates of every question, in one plan."""
     return batch.best(batch.matches(index_of(spark, sf_dir), _questions(spark, sf_dir), _FIELDS, most=300), 300)
 
 
-@query(_POOL)
+@query(_pool(_WHOLE))
 def batch_hybrid(spark, sf_dir):
-    """The fused pool of every question: BM25 and vectors."""
-    return batch.retrieve(_questions(spark, sf_dir), index_of(spark, sf_dir), _FIELDS, vector_index(spark, sf_dir))
+    """The fused pool of every question, taken whole: BM25 and vectors."""
+    return batch.retrieve(_questions(spark, sf_dir, whole=True), index_of(spark, sf_dir), _FIELDS, vector_index(spark, sf_dir))
 
 
 def _by_length():
@@ -55,7 +64,7 @@ def _by_length():
 
 
 @query(f"""SELECT query, key, score, rank, rerank_score, rerank_rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rerank_score DESC NULLS LAST, rank, key)::INT AS rerank_rank
-  FROM (SELECT p.query, p.key, score, rank, CASE WHEN rank <= 60 THEN (length(coalesce(text, '')) % 17)::DOUBLE END AS rerank_score FROM ({_POOL}) p LEFT JOIN documents d ON p.key = d.doc_id)) WHERE rerank_rank <= 10""")
+  FROM (SELECT p.query, p.key, score, rank, CASE WHEN rank <= 60 THEN (length(coalesce(text, '')) % 17)::DOUBLE END AS rerank_score FROM ({_pool(_WORDS)}) p LEFT JOIN documents d ON p.key = d.doc_id)) WHERE rerank_rank <= 10""")
 def batch_reranked(spark, sf_dir):
     """The ten best of every question after its first sixty fused hits are reranked."""
     hits = staged(batch.retrieve(_questions(spark, sf_dir), index_of(spark, sf_dir), _FIELDS, vector_index(spark, sf_dir)), "pool")  # read twice
@@ -76,7 +85,7 @@ def _answers():
     return lambda prompts: [f"{p.count('[1]') > 0} [1]" for p in prompts]
 
 
-@query(f"""WITH p AS (SELECT * FROM ({_POOL}) JOIN (SELECT doc_id AS key FROM documents) USING (key)), r AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY rank)::INT AS rank FROM p),
+@query(f"""WITH p AS (SELECT * FROM ({_pool(_WORDS)}) JOIN (SELECT doc_id AS key FROM documents) USING (key)), r AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY rank)::INT AS rank FROM p),
   c AS (SELECT query, count(*) AS recalled, count_if(key % 10 > 6) AS good FROM r WHERE rank <= 100 GROUP BY query)
   SELECT item_id AS query, coalesce(recalled, 0) AS recalled, (CASE WHEN good >= 8 THEN good ELSE coalesce(recalled, 0) END)::BIGINT AS kept, CASE WHEN recalled > 0 THEN 'True [1]' ELSE 'No relevant chunks found to answer your question.' END AS answer, coalesce(least(8, recalled), 0)::INT AS evidence FROM benchmark LEFT JOIN c ON item_id = query""")
 def answer_plan(spark, sf_dir):

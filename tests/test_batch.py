@@ -104,3 +104,19 @@ def test_a_pool_is_found_once(spark):
 
     plan = batches.batch_reranked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" not in plan and "MapInArrow" not in plan and plan.count("pool-") in (0, 2)
+
+
+def _tables(spark, folder):
+    """Documents of which the second holds only the last word of a question of eight words, with no vectors near."""
+    rows = {"documents": ("doc_id long, text string, source string, lang string", [(1, "one two", "a", "en"), (2, "eight", "b", "en"), (3, "none of them", "c", "en")]), "benchmark": ("item_id long, text string", [(7, "one x2 x3 x4 x5 x6 x7\neight"), (8, None)])}
+    rows["embeddings"] = ("vec_id long, embedding array<float>, label int", [(1, [1.0, 0.0], 0)])
+    for name, (schema, values) in rows.items():
+        spark.createDataFrame(values, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_a_question_is_taken_whole(spark, tmp_path):
+    from tesserine.queries import batches
+
+    got = batches.batch_hybrid(spark, _tables(spark, tmp_path)).collect()
+    assert {(r.query, r.key) for r in got} == {(7, 1), (7, 2)}
