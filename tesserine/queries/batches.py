@@ -64,10 +64,10 @@ def _by_length():
 
 
 @query(f"""SELECT query, key, score, rank, rerank_score, rerank_rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rerank_score DESC NULLS LAST, rank, key)::INT AS rerank_rank
-  FROM (SELECT p.query, p.key, score, rank, CASE WHEN rank <= 60 THEN (length(coalesce(text, '')) % 17)::DOUBLE END AS rerank_score FROM ({_pool(_WORDS)}) p LEFT JOIN documents d ON p.key = d.doc_id)) WHERE rerank_rank <= 10""")
+  FROM (SELECT p.query, p.key, score, rank, CASE WHEN rank <= 60 THEN (length(coalesce(text, '')) % 17)::DOUBLE END AS rerank_score FROM ({_pool(_WHOLE)}) p LEFT JOIN documents d ON p.key = d.doc_id)) WHERE rerank_rank <= 10""")
 def batch_reranked(spark, sf_dir):
-    """The ten best of every question after its first sixty fused hits are reranked."""
-    hits = staged(batch.retrieve(_questions(spark, sf_dir), index_of(spark, sf_dir), _FIELDS, vector_index(spark, sf_dir)), "pool")  # read twice
+    """The ten best of every question, taken whole, after its first sixty fused hits are reranked."""
+    hits = staged(batch.retrieve(_questions(spark, sf_dir, whole=True), index_of(spark, sf_dir), _FIELDS, vector_index(spark, sf_dir)), "pool")  # read twice
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("pair_text"))
     return batch.fused_and_reranked(hits, hits.select("query", "key").join(docs, "key"), _by_length)
 

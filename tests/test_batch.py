@@ -120,3 +120,10 @@ def test_a_question_is_taken_whole(spark, tmp_path):
 
     got = batches.batch_hybrid(spark, _tables(spark, tmp_path)).collect()
     assert {(r.query, r.key) for r in got} == {(7, 1), (7, 2)}
+
+
+def test_a_reranked_question_is_taken_whole(spark, tmp_path):
+    from tesserine.queries import batches
+
+    got = batches.batch_reranked(spark, _tables(spark, tmp_path)).collect()
+    assert {(r.query, r.key, r.rerank_score) for r in got} == {(7, 1, 7.0), (7, 2, 5.0)}
