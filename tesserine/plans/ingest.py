@@ -40,14 +40,14 @@ def go_chunks(files: DataFrame, repo_id: str, limit: int = 1000) -> DataFrame:
     """One row a chunk of (rel_path, text) Go files: the header, then each declaration, or its logical parts where it holds more than ``limit`` tokens.
 
     The cut and the walk over the declarations happen in a worker; imports, symbols, the minimal header
-    that every part repeats, paths and ids are expressions on the chunk's row. Neighbours are
-    looked up in the file's own row, so nothing is shuffled. Repeated rows are files like others;
+    that every part repeats, paths and ids are expressions on the chunk's row, which knows the lines
+    of its neighbours, so nothing is shuffled. Repeated rows are files like others;
     their ids are equal. Null text has no chunks.
     """
     text = F.col("text")
     read = files.select("rel_path", F.sha1(F.coalesce(text, F.lit("")).cast("binary")).alias("file_sha"), chunkers.go_package(text).alias("package"), chunkers.go_imports(text).alias("imports"), chunkers.go_aliases(text).alias("aliases"), chunkers.go_code_chunks(text, limit).alias("chunks"))
-    ids = F.transform("chunks", lambda c, i: F.concat(F.lit(f"{repo_id}/"), F.col("rel_path"), F.lit("#"), c["start_line"].cast("string"), F.lit("-"), c["end_line"].cast("string"), F.lit("#"), i.cast("string")))
-    rows = read.withColumn("ids", ids).select(*[c for c in read.columns if c != "chunks"], "ids", F.posexplode("chunks").alias("at", "c")).select("*", "c.*").drop("c")
+    rows = read.select(*[c for c in read.columns if c != "chunks"], F.posexplode("chunks").alias("at", "c")).select("*", "c.*").drop("c")
+    id_of = lambda which, at: F.concat(F.lit(f"{repo_id}/"), F.col("rel_path"), F.lit("#"), F.col(f"{which}start_line").cast("string"), F.lit("-"), F.col(f"{which}end_line").cast("string"), F.lit("#"), at.cast("string"))
     header, part = F.col("kind") == "header", F.col("part") > 0
     used = F.when(header, F.col("imports")).otherwise(go.used_imports(F.col("text"), F.coalesce("aliases", F.create_map().cast("map<string,string>"))))
     node = F.when(header, "package_declaration").otherwise(F.concat("kind", F.lit("_declaration")))
@@ -56,13 +56,14 @@ def go_chunks(files: DataFrame, repo_id: str, limit: int = 1000) -> DataFrame:
     rows = rows.withColumn("strict", go.strict_symbols(F.col("text"), F.coalesce("aliases", F.create_map().cast("map<string,string>"))))
     rows = rows.withColumn("packages", go.qualifying(F.col("strict")))
     symbols = go.without_own(F.col("strict"), F.col("packages"), F.coalesce("name", F.lit("")))
-    rows = rows.withColumn("imports_used", used).withColumn("ast_path", F.when(part, F.concat(path, F.lit("#part"), F.col("part").cast("string"), F.lit("_"), go.block_label(F.col("text"), F.col("part") - 1))).otherwise(path))
+    label = F.when(F.col("tokens").isNotNull(), F.coalesce("label", F.concat(F.lit("block"), F.col("part").cast("string")))).otherwise(go.block_label(F.col("text"), F.col("part") - 1))
+    rows = rows.withColumn("imports_used", used).withColumn("ast_path", F.when(part, F.concat(path, F.lit("#part"), F.col("part").cast("string"), F.lit("_"), label)).otherwise(path))
     rows = rows.withColumn("header_context", go.header_context(F.col("package"), F.col("imports_used"), F.col("kind"), F.coalesce("receiver", F.lit(""))))
     rows = rows.withColumn("symbols_referenced", F.when(header, F.array().cast("array<string>")).otherwise(symbols)).withColumn("symbols_defined", F.when(header, F.array().cast("array<string>")).otherwise(F.array("name")))
     n_tokens = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))
     return rows.select(
-        F.lit(repo_id).alias("repo_id"), "rel_path", "file_sha", F.get("ids", F.col("at")).alias("chunk_id"), F.get("ids", F.col("at") - 1).alias("prev"), F.get("ids", F.col("at") + 1).alias("next"), F.col("at").alias("chunk_number"), F.when(header, "header").otherwise(F.col("kind")).alias("node_kind"), "name", "receiver", "type_name", "type_kind",
-        "start_line", "end_line", "part", "parts", "ast_path", "header_context", "imports_used", "symbols_defined", "symbols_referenced", n_tokens(F.col("text")).alias("n_tokens"), n_tokens(F.col("header_context")).alias("header_tokens"), "text",
+        F.lit(repo_id).alias("repo_id"), "rel_path", "file_sha", id_of("", F.col("at")).alias("chunk_id"), id_of("before_", F.col("at") - 1).alias("prev"), id_of("after_", F.col("at") + 1).alias("next"), F.col("at").alias("chunk_number"), F.when(header, "header").otherwise(F.col("kind")).alias("node_kind"), "name", "receiver", "type_name", "type_kind",
+        "start_line", "end_line", "part", "parts", "ast_path", "header_context", "imports_used", "symbols_defined", "symbols_referenced", F.coalesce("tokens", n_tokens(F.col("text"))).alias("n_tokens"), n_tokens(F.col("header_context")).alias("header_tokens"), "text",
     )
 
 

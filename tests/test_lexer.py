@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from tesserine.functions import chunkers, lexer
+from tesserine.functions import chunkers, go, lexer
 
 GO = '''package main
 
@@ -241,3 +241,33 @@ def test_packed_chunks_count_a_text_once(monkeypatch):
     monkeypatch.setattr(chunkers, "count_tokens", counted := lambda text, encode=None: seen.append(text) or count(text, encode))
     text = "".join(f"func F{i}() {{\n\tx()\n}}\n" for i in range(6))
     assert len(chunkers.packed_chunks(text, "go", 1000, counted)) == 1 and seen and text not in seen
+
+
+def test_known_chunks_are_those_of_the_walk():
+    """Texts cut together, with plain functions taken by a pattern and tokens counted once, give the chunks of a walk over each; tokens and labels too."""
+    pieces = ["package p\n", 'import "time"\n', "import (\nfunc x() {}\n)\n", "// note\n", "/* {\nfunc No() {}\n*/\n", "type T struct {\n\ta int\n}\n", "const s = `r\nfunc No() {}\n`\n", "\n", "func A() {}\n", "func (s *T) M(a []int) (int, error) {\n\tif x {\n\t\ty()\n\t}\n\treturn nil\n}\n",
+              "func (T) N() struct{ a int } {\n}\n", "func D() interface{} { return 1 }\n", "func E() {\n\ts := \"}\"\n\tlog.Print(s) // }\n}\n", "func L() {\n" + "\tx += 1\n" * 20 + "}\n", "func K() {\n" + "\tif err := json.Marshal(a); err != nil {\n\t\treturn wrap(error)\n\t}\n" * 4 + "}\n", "func Half() {\n", ")\n", "func Ü() {}\n", "x\x1cy\n"]
+    rng = random.Random(9)
+    seen = set()
+    for _ in range(1500):
+        texts = ["".join(rng.choices(pieces if rng.random() < 0.4 else [pieces[0], *pieces[7:10], *pieces[12:15]], k=rng.randrange(9))) for _ in range(3)]
+        limit = rng.choice([0, 1, 5, 17, 60, 1000])
+        for text, got in zip(texts, chunkers._known_chunks(texts, limit), strict=True):
+            assert [r[:-2] for r in got] == [tuple(c.values()) for c in chunkers.go_chunks(text, limit)], (text, limit)
+            for r in got:
+                low, known = r[9].lower(), r[10] is not None
+                assert known == (text.isascii() and "\x1c" not in text) and (not known or r[10] == chunkers.count_tokens(r[9]))
+                assert not known or not r[7] or r[11] == next((label for label, groups in go.BLOCKS if all(any(w in low for w in g) for g in groups)), None)
+                seen.add(r[11])
+            plain = lexer.go_plain(text)
+            assert plain is None or plain == (lexer.go_header(text)[0], [d[:7] for d in lexer.go_declarations(text)]), text
+    assert {None, "json_ops", "error_handling", "logging"} <= seen
+
+
+def test_plain_functions_make_no_tokens(monkeypatch):
+    """A file of clauses and plain functions is cut without the walk over its tokens."""
+    text = 'package p\n\nimport "time"\n\n' + "func A(x int) error {\n" + "\tx += 1\n" * 40 + "\treturn nil\n}\n\n" * 1
+    want = [tuple(c.values()) for c in chunkers.go_chunks(text, 30)]
+    monkeypatch.setattr(lexer, "go_tokens", None)
+    monkeypatch.setattr(chunkers, "count_tokens", None)
+    assert [r[:-2] for r in chunkers._known_chunks([text], 30)[0]] == want and len(want) > 3
